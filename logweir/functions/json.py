@@ -26,18 +26,35 @@ STRING_FIELDS = [c for c in LOG_COLUMNS if c not in ("timestamp", "attributes")]
 _OBJECT = "map<string,variant>"
 
 
-def parse_whole(text: Column) -> Column:
-    """VARIANT of a text that is one JSON value and nothing else, else NULL.
+def evaluated_once(df: DataFrame, **values: Column) -> DataFrame:
+    """Add costly columns that are not computed again for every later use.
+
+    A filter moves below a projection and takes copies of its expressions along;
+    it does not move below a generator. Separate steps also keep the generated
+    methods small enough for the JVM to compile.
+    """
+    row = F.struct(*[value.alias(name) for name, value in values.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
+def parse_whole(lines: DataFrame, value: str, root: str) -> DataFrame:
+    """Add the VARIANT of a text that is one JSON value and nothing else, else NULL.
 
     The parser stops after the first complete value, so trailing garbage would
     pass. Wrapped as a two-element array that ends in the text's own hash, the
     text parses to exactly those two elements only if it is one JSON value.
     """
-    seal = F.xxhash64(text)
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), seal, F.lit("]")))
-    sealed = F.try_variant_get(wrapped, "$[1]", "bigint") == seal
-    single = F.try_variant_get(wrapped, "$[2]", "variant").isNull()
-    return F.when(sealed & single, F.variant_get(wrapped, "$[0]", "variant"))
+    seal = F.xxhash64(value)
+    text = F.concat(F.lit("["), value, F.lit(","), seal, F.lit("]"))
+    kept = lines.columns
+    sealed = evaluated_once(lines, _sealed=F.try_parse_json(text))
+    wrapped = F.col("_sealed")
+    whole = (F.try_variant_get(wrapped, "$[1]", "bigint") == seal) & F.try_variant_get(
+        wrapped, "$[2]", "variant"
+    ).isNull()
+    return sealed.select(
+        *kept, F.when(whole, F.variant_get(wrapped, "$[0]", "variant")).alias(root)
+    )
 
 
 def object_map(value: Column) -> Column:
@@ -47,11 +64,21 @@ def object_map(value: Column) -> Column:
 
 def fold_keys(members: Column) -> Column:
     """Lower-case the keys; U+017F is the one other letter that folds to ASCII s."""
-    return F.transform_keys(members, lambda k, _: F.lower(F.replace(k, F.lit("\u017f"), F.lit("s"))))
+
+    def fold(text: Column) -> Column:
+        return F.lower(F.replace(text, F.lit("\u017f"), F.lit("s")))
+
+    keys = F.array_join(F.map_keys(members), "\n")
+    folded = F.transform_keys(members, lambda k, _: fold(k))
+    return F.when(keys == fold(keys), members).otherwise(folded)
+
+
+def _kind(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
 
 
 def _is_text(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value), F.lit("VOID")).isin("STRING", "VOID")
+    return _kind(value).isin("STRING", "VOID")
 
 
 def _text(value: Column) -> Column:
@@ -59,55 +86,69 @@ def _text(value: Column) -> Column:
 
 
 def _event_time(value: Column) -> Column:
-    """Event time; the zero time counts as missing."""
-    parsed = parse_rfc3339(value.try_cast("string"))
-    return F.when(parsed != ntz(datetime(1, 1, 1)), parsed)
+    return F.when(_is_text(value), parse_rfc3339(value.try_cast("string")))
+
+
+def _bad_time(value: Column, time: Column) -> Column:
+    return time.isNull() & (_kind(value) != "VOID")
+
+
+def _known_time(time: Column) -> Column:
+    """The zero time counts as missing."""
+    return F.when(time != ntz(datetime(1, 1, 1)), time)
 
 
-def _bad_time(value: Column) -> Column:
-    present = F.coalesce(F.schema_of_variant(value), F.lit("VOID")) != "VOID"
-    return present & (~_is_text(value) | parse_rfc3339(value.try_cast("string")).isNull())
+def with_members(rows: DataFrame, root: Column) -> DataFrame:
+    """Add the members of a parsed event as columns `_<field>`, and the parsed
+    time as `_time`. `_object` tells whether there is an object at all."""
+    return split_members(evaluated_once(rows, _members=fold_keys(object_map(root))))
 
 
-def event_error(root: Column, members: Column) -> Column:
-    """Why a parsed value is not a log event; NULL when it is one.
+def split_members(mapped: DataFrame) -> DataFrame:
+    members = F.col("_members")
+    split = evaluated_once(
+        mapped, _object=members.isNotNull(), **{f"_{c}": members[c] for c in LOG_COLUMNS}
+    ).drop("_members")
+    return evaluated_once(split, _time=_event_time(F.col("_timestamp")))
+
 
-    JSON null is an event with no fields set, which the format allows.
+def event_error(root: Column) -> Column:
+    """Why the value in `root`, split by with_members(), is not a log event.
+
+    NULL when it is one. JSON null is an event without any field.
     """
-    error = F.when(root.isNull(), F.lit("unmarshal: invalid JSON"))
-    error = error.when(
-        members.isNull() & ~F.is_variant_null(root), F.lit("unmarshal: not an object")
+    attributes = F.col("_attributes")
+    not_object = object_map(attributes).isNull() & (_kind(attributes) != "VOID")
+    error = F.when(root.isNull(), F.lit("unmarshal: invalid JSON")).when(
+        ~F.col("_object") & ~F.is_variant_null(root), F.lit("unmarshal: not an object")
     )
     for name in STRING_FIELDS:
-        error = error.when(
-            ~_is_text(members[name]), F.lit(f"unmarshal: {name} is not a string")
-        )
-    attributes = members["attributes"]
-    not_object = (
-        attributes.isNotNull()
-        & ~F.coalesce(F.is_variant_null(attributes), F.lit(False))
-        & object_map(attributes).isNull()
-    )
-    error = error.when(
-        _bad_time(members["timestamp"]), F.lit("unmarshal: timestamp is not RFC 3339")
+        error = error.when(~_is_text(F.col(f"_{name}")), F.lit(f"unmarshal: {name} is not a string"))
+    return error.when(
+        _bad_time(F.col("_timestamp"), F.col("_time")), F.lit("unmarshal: timestamp is not RFC 3339")
+    ).when(not_object, F.lit("unmarshal: attributes is not an object"))
+
+
+def is_malformed(root: Column, members: Column) -> Column:
+    """event_error() as a flag on a value and its members, for use inside arrays."""
+    mistyped = F.map_filter(members, lambda k, v: k.isin(STRING_FIELDS) & ~_is_text(v))
+    timestamp, attributes = members["timestamp"], members["attributes"]
+    return (
+        F.coalesce(members.isNull() & ~F.is_variant_null(root), F.lit(False))
+        | (F.coalesce(F.size(mistyped), F.lit(0)) > 0)
+        | _bad_time(timestamp, _event_time(timestamp))
+        | (object_map(attributes).isNull() & (_kind(attributes) != "VOID"))
     )
-    return error.when(not_object, F.lit("unmarshal: attributes is not an object"))
 
 
-def event_fields(members: Column) -> list[Column]:
-    """The ten event columns. Absent text is empty, absent time is NULL,
-    attributes stay VARIANT."""
-    columns = []
-    for name in LOG_COLUMNS:
-        value = members[name]
-        if name == "timestamp":
-            columns.append(_event_time(value).alias(name))
-        elif name == "attributes":
-            absent = F.coalesce(F.is_variant_null(value), F.lit(True))
-            columns.append(F.when(~absent, value).alias(name))
-        else:
-            columns.append(_text(value).alias(name))
-    return columns
+def event_fields() -> list[Column]:
+    """The ten event columns after with_members(). Absent text is empty, absent
+    time is NULL, attributes stay VARIANT."""
+    special = {
+        "timestamp": _known_time(F.col("_time")),
+        "attributes": F.when(_kind(F.col("_attributes")) != "VOID", F.col("_attributes")),
+    }
+    return [special.get(c, _text(F.col(f"_{c}"))).alias(c) for c in LOG_COLUMNS]
 
 
 def decode_events(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -117,23 +158,32 @@ def decode_events(lines: DataFrame, value: str = "value") -> DataFrame:
     raw line stays in `value` and other columns pass through. A type error in
     any field fails the whole event.
     """
-    parsed = lines.withColumn("_root", parse_whole(F.col(value)))
-    parsed = parsed.withColumn("_members", fold_keys(object_map(F.col("_root"))))
     kept = [c for c in lines.columns if c not in LOG_COLUMNS]
-    members = F.col("_members")
-    return parsed.select(
-        *kept, *event_fields(members), event_error(F.col("_root"), members).alias("decode_error")
-    )
+    parsed = with_members(parse_whole(lines.select(*kept), value, "_root"), F.col("_root"))
+    checked = evaluated_once(parsed, decode_error=event_error(F.col("_root")))
+    return checked.select(*kept, *event_fields(), "decode_error")
+
 
+def with_routing(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Add service and time of raw lines, both NULL when either cannot be read.
 
-def routing_fields(value: Column) -> Column:
-    """Struct of service and timestamp only; NULL when either cannot be read."""
-    members = fold_keys(object_map(parse_whole(value)))
-    service, timestamp = members["service"], members["timestamp"]
-    readable = members.isNotNull() & _is_text(service) & ~_bad_time(timestamp)
-    return F.when(
-        readable,
-        F.struct(_text(service).alias("service"), _event_time(timestamp).alias("timestamp")),
+    Nothing else of the event is looked at.
+    """
+    kept = lines.columns
+    parsed = parse_whole(lines, value, "_root")
+    mapped = evaluated_once(parsed, _members=fold_keys(object_map(F.col("_root"))))
+    members = F.col("_members")
+    split = evaluated_once(mapped, _service=members["service"], _timestamp=members["timestamp"])
+    timed = evaluated_once(split, _time=_event_time(F.col("_timestamp")))
+    readable = (
+        members.isNotNull()
+        & _is_text(F.col("_service"))
+        & ~_bad_time(F.col("_timestamp"), F.col("_time"))
+    )
+    return timed.select(
+        *kept,
+        F.when(readable, _text(F.col("_service"))).alias("_service"),
+        F.when(readable, _known_time(F.col("_time"))).alias("_time"),
     )
 
 

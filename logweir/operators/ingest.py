@@ -7,7 +7,15 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweir.functions.json import event_error, event_fields, event_json, fold_keys, object_map
+from logweir.functions.json import (
+    evaluated_once,
+    event_fields,
+    event_json,
+    fold_keys,
+    is_malformed,
+    object_map,
+    split_members,
+)
 from logweir.functions.text import partition_key
 from logweir.functions.times import time_slice
 from logweir.operators.normalize import default_event_id, default_timestamp
@@ -18,26 +26,36 @@ def explode_requests(requests: DataFrame, body: str = "body") -> DataFrame:
     """One row per event of `{"events": [...]}`, with its arrival position.
 
     A request that is not such an object, or that holds an event of the wrong
-    type, is refused as a whole: it yields one row with `request_error` set.
+    type, is refused as a whole: it yields one row without a position and with
+    `request_error` set. A request without events yields one empty row.
     """
     kept = [c for c in requests.columns if c != body]
-    parsed = requests.select(
-        *kept, fold_keys(object_map(F.try_parse_json(F.col(body)))).alias("_request")
-    ).withColumn("_events", F.col("_request")["events"].try_cast("array<variant>"))
+    parsed = evaluated_once(
+        requests, _request=fold_keys(object_map(F.try_parse_json(F.col(body))))
+    )
     listed = F.col("_request")["events"]
-    absent = listed.isNull() | F.coalesce(F.is_variant_null(listed), F.lit(True))
+    split = evaluated_once(parsed, _listed=listed, _list=listed.try_cast("array<variant>"))
+    mapped = evaluated_once(
+        split,
+        _events=F.transform(
+            "_list", lambda e: F.struct(e.alias("root"), fold_keys(object_map(e)).alias("members"))
+        ),
+    )
+    absent = F.coalesce(F.is_variant_null(F.col("_listed")), F.lit(True))
     error = (
         F.when(F.col("_request").isNull(), F.lit("unmarshal: not a request"))
-        .when(~absent & F.col("_events").isNull(), F.lit("unmarshal: events is not an array"))
+        .when(~absent & F.col("_list").isNull(), F.lit("unmarshal: events is not an array"))
+        .when(
+            F.exists("_events", lambda e: is_malformed(e["root"], e["members"])),
+            F.lit("unmarshal: malformed event"),
+        )
     )
-    rows = parsed.select(*kept, error.alias("_shape_error"), F.posexplode_outer("_events"))
-    rows = rows.withColumn("_members", fold_keys(object_map(F.col("col"))))
-    bad_event = F.when(F.col("pos").isNotNull(), event_error(F.col("col"), F.col("_members")))
-    return rows.select(
-        *kept,
-        F.col("pos").cast("bigint").alias("pos"),
-        *event_fields(F.col("_members")),
-        F.coalesce("_shape_error", bad_event).alias("request_error"),
+    checked = evaluated_once(mapped, request_error=error)
+    good = F.when(F.col("request_error").isNull(), F.col("_events"))
+    rows = checked.select(*kept, "request_error", F.posexplode_outer(good).alias("pos", "_event"))
+    events = split_members(rows.withColumn("_members", F.col("_event.members")))
+    return events.select(
+        *kept, F.col("pos").cast("bigint").alias("pos"), *event_fields(), "request_error"
     )
 
 
@@ -58,7 +76,11 @@ def is_valid() -> Column:
 
 
 def validate(events: DataFrame) -> DataFrame:
-    return events.withColumn("valid", is_valid())
+    """Add `valid`; rows that stand for a request without events have none."""
+    valid = is_valid()
+    if "pos" in events.columns:
+        valid = F.when(F.col("pos").isNotNull(), valid)
+    return events.withColumn("valid", valid)
 
 
 def keyed(events: DataFrame) -> DataFrame:
@@ -80,7 +102,7 @@ def request_outcome(events: DataFrame, request: str) -> DataFrame:
 def service_outcome(events: DataFrame) -> DataFrame:
     """Events by service and status; rejected ones belong to no known service."""
     valid = F.col("valid")
-    return events.groupBy(
+    return events.filter(valid.isNotNull()).groupBy(
         F.when(valid, F.col("service")).otherwise("unknown").alias("service"),
         F.when(valid, "accepted").otherwise("rejected").alias("status"),
     ).agg(F.count("*").alias("events"))

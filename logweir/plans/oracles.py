@@ -87,52 +87,52 @@ ALERTS = f"""alerts AS (
 
 
 def chain(source: str, key: str, gap: str, strict: bool) -> str:
-    """Recursive CTE `chain(key, at)`: greedy spacing of (key, at) in `source`."""
+    """Recursive CTE `chain(key, tick)`: greedy spacing of (key, tick) in `source`."""
     compare = ">" if strict else ">="
     return f"""chain AS (
-  SELECT {key}, min(at) AS at FROM {source} GROUP BY {key}
+  SELECT {key}, min(tick) AS tick FROM {source} GROUP BY {key}
   UNION ALL
-  SELECT c.{key}, (SELECT min(s.at) FROM {source} s WHERE s.{key} = c.{key} AND s.at {compare} c.at + {gap})
+  SELECT c.{key}, (SELECT min(s.tick) FROM {source} s WHERE s.{key} = c.{key} AND s.tick {compare} c.tick + {gap})
   FROM chain c
-  WHERE EXISTS (SELECT 1 FROM {source} s WHERE s.{key} = c.{key} AND s.at {compare} c.at + {gap}))"""
+  WHERE EXISTS (SELECT 1 FROM {source} s WHERE s.{key} = c.{key} AND s.tick {compare} c.tick + {gap}))"""
 
 
 def recurring(events: str) -> list[str]:
     return [
         f"""hits AS (
-  SELECT service, {TEMPLATE.format('message')} AS template, date_trunc('milliseconds', timestamp) AS at
+  SELECT service, {TEMPLATE.format('message')} AS template, date_trunc('milliseconds', timestamp) AS tick
   FROM {events} WHERE {ERROR})""",
         """gaps AS (
-  SELECT *, CASE WHEN at - lag(at) OVER (PARTITION BY service, template ORDER BY at) <= INTERVAL 2 DAY
+  SELECT *, CASE WHEN tick - lag(tick) OVER (PARTITION BY service, template ORDER BY tick) <= INTERVAL 2 DAY
     THEN 0 ELSE 1 END AS fresh FROM hits)""",
         """seen AS (
   SELECT *, concat(service, '|', template, '|',
-    sum(fresh) OVER (PARTITION BY service, template ORDER BY at)) AS session FROM gaps)""",
+    sum(fresh) OVER (PARTITION BY service, template ORDER BY tick)) AS session FROM gaps)""",
         """counted AS (
-  SELECT *, row_number() OVER (PARTITION BY session ORDER BY at) AS n FROM seen)""",
+  SELECT *, row_number() OVER (PARTITION BY session ORDER BY tick) AS n FROM seen)""",
         "over_limit AS (SELECT * FROM counted WHERE n > 20)",
         chain("over_limit", "session", "INTERVAL 15 MINUTE", True),
         """fired AS (
-  SELECT o.service, o.template, concat(o.service, ':', md5(o.template)) AS fingerprint, o.at, min(o.n) AS n
-  FROM over_limit o JOIN chain c ON o.session = c.session AND o.at = c.at
+  SELECT o.service, o.template, concat(o.service, ':', md5(o.template)) AS fingerprint, o.tick, min(o.n) AS n
+  FROM over_limit o JOIN chain c ON o.session = c.session AND o.tick = c.tick
   GROUP BY ALL)""",
         """recurring AS (
-  SELECT concat('alert-fp-', fingerprint, '-', CAST(epoch_ms(at) AS VARCHAR)) AS id,
+  SELECT concat('alert-fp-', fingerprint, '-', CAST(epoch_ms(tick) AS VARCHAR)) AS id,
     'recurring-error' AS rule_id, service, fingerprint, 'ERROR' AS severity, CAST(n AS DOUBLE) AS value,
     concat('Recurring error pattern detected ', n, ' times: ', template) AS message,
-    at AS triggered_at, 'firing' AS status FROM fired)""",
+    tick AS triggered_at, 'firing' AS status FROM fired)""",
     ]
 
 
 def anchored(events: str) -> list[str]:
     return [
-        f"instants AS (SELECT *, date_trunc('milliseconds', timestamp) AS at FROM {events})",
+        f"instants AS (SELECT *, date_trunc('milliseconds', timestamp) AS tick FROM {events})",
         chain("instants", "service", "INTERVAL 1 DAY", True),
     ]
 
 
-ANCHORED_BODY = f"""SELECT i.service, c.at AS window_start, count(*) AS total, count(*) FILTER (WHERE {ERROR}) AS errors
-  FROM instants i JOIN chain c ON i.service = c.service AND i.at >= c.at AND i.at <= c.at + INTERVAL 1 DAY
+ANCHORED_BODY = f"""SELECT i.service, c.tick AS window_start, count(*) AS total, count(*) FILTER (WHERE {ERROR}) AS errors
+  FROM instants i JOIN chain c ON i.service = c.service AND i.tick >= c.tick AND i.tick <= c.tick + INTERVAL 1 DAY
   GROUP BY 1, 2"""
 
 
@@ -545,10 +545,10 @@ ORACLES: dict[str, str] = {
     "recurring_errors": sql(WIRE, *recurring("logs_wire"), "SELECT * FROM recurring"),
     "alert_cooldown": sql(
         WIRE, RUNNING, ALERTS,
-        "timed AS (SELECT *, date_trunc('milliseconds', triggered_at) AS at FROM alerts)",
+        "timed AS (SELECT *, date_trunc('milliseconds', triggered_at) AS tick FROM alerts)",
         chain("timed", "fingerprint", "INTERVAL 15 MINUTE", False),
         """SELECT min(id) AS id, t.fingerprint, arg_min(triggered_at, id) AS triggered_at, arg_min(message, id) AS message
-  FROM timed t JOIN chain c ON t.fingerprint = c.fingerprint AND t.at = c.at GROUP BY t.fingerprint, t.at""",
+  FROM timed t JOIN chain c ON t.fingerprint = c.fingerprint AND t.tick = c.tick GROUP BY t.fingerprint, t.tick""",
     ),
     # streams
     "stream_source": sql(
@@ -575,10 +575,10 @@ ORACLES: dict[str, str] = {
     "stream_cooldown": sql(
         WIRE, GOOD,
         f"""timed AS (SELECT concat('alert-', service, '-', event_id) AS id, concat('error_rate_', service) AS fingerprint,
-    date_trunc('milliseconds', timestamp) AS at FROM good WHERE {ERROR})""",
+    date_trunc('milliseconds', timestamp) AS tick FROM good WHERE {ERROR})""",
         chain("timed", "fingerprint", "INTERVAL 15 MINUTE", False),
-        """SELECT min(id) AS id, t.fingerprint, t.at AS triggered_at
-  FROM timed t JOIN chain c ON t.fingerprint = c.fingerprint AND t.at = c.at GROUP BY t.fingerprint, t.at""",
+        """SELECT min(id) AS id, t.fingerprint, t.tick AS triggered_at
+  FROM timed t JOIN chain c ON t.fingerprint = c.fingerprint AND t.tick = c.tick GROUP BY t.fingerprint, t.tick""",
     ),
     "stream_dedup": sql(WIRE, GOOD, "SELECT event_id, timestamp, service FROM good"),
 }

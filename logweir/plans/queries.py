@@ -779,7 +779,7 @@ def stream_window_state(spark, sf_dir):
 def stream_recurring(spark, sf_dir):
     run = _Run(spark, sf_dir)
     stream = jobs.recurring_errors_stream(jobs.event_stream(run.lines), DETECTION, DELAY)
-    return spark.read.parquet(run.write(stream)).drop("batch")
+    return spark.read.schema(stream.schema).parquet(run.write(stream)).select(*stream.columns)
 
 
 @query

@@ -87,7 +87,11 @@ SELECT * FROM {logs} WHERE CAST(event_id AS BIGINT) % 20 = 0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One that is a single small file is spread over the cores;
+    a large one already comes in more partitions than that."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _sql(spark: SparkSession, text: str, source: DataFrame) -> DataFrame:

@@ -8,7 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logweir.functions.json import attributes_text, decode_events, event_json, routing_fields
+from logweir.functions.json import (
+    attributes_text,
+    decode_events,
+    event_json,
+    with_routing,
+)
 from logweir.operators.normalize import accepted, default_timestamp
 from logweir.operators.search import in_range
 from logweir.schema import ARCHIVE_SCHEMA, LOG_COLUMNS
@@ -24,10 +29,9 @@ def routed(lines: DataFrame, ingest_time: datetime | Column, value: str = "value
     `_unknown`, one without a time to the time of ingest. Every line is filed
     under its own time, also when a batch spans midnight.
     """
-    route = lines.withColumn("_route", routing_fields(F.col(value)))
-    time = default_timestamp(F.col("_route.timestamp"), ingest_time)
-    service = F.coalesce(F.nullif("_route.service", F.lit("")), F.lit(UNKNOWN_SERVICE))
-    return route.select(
+    time = default_timestamp(F.col("_time"), ingest_time)
+    service = F.coalesce(F.nullif("_service", F.lit("")), F.lit(UNKNOWN_SERVICE))
+    return with_routing(lines, value).select(
         F.col(value).alias("value"),
         F.to_date(time).alias("day"),
         F.hour(time).alias("hour"),

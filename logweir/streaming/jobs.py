@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,7 +25,7 @@ from logweir.params import DetectionConfig
 from logweir.schema import ALERT_COLUMNS, LOG_COLUMNS
 from logweir.sources.archive import LAYOUT, write_archive
 from logweir.sources.hot import append_hot
-from logweir.streaming.processors import AnchoredWindows, Cooldown, RecurringErrors
+from logweir.streaming.processors import AnchoredWindows, Cooldown, RecurringErrors, merge_instants
 
 NORMALIZE_TRIGGER = {"processingTime": "250 milliseconds"}
 ARCHIVE_TRIGGER = {"processingTime": "10 seconds"}
@@ -177,13 +176,6 @@ def anchored_alerts(stored: DataFrame, config: DetectionConfig) -> DataFrame:
     return firing.select(*error_rate_alert("triggered_at", config.threshold, F.col("event_id")))
 
 
-def _merge_instants(batches):
-    """Map-side sum: an error storm shrinks to one row per pattern and instant."""
-    for rows in batches:
-        keys = ["service", "template", "timestamp", "at"]
-        yield rows.groupby(keys, as_index=False, sort=False)["n"].sum()
-
-
 def recurring_errors_stream(
     events: DataFrame, config: DetectionConfig, delay: timedelta
 ) -> DataFrame:
@@ -195,7 +187,7 @@ def recurring_errors_stream(
         millis(F.col("timestamp")).alias("at"),
         F.lit(1).cast("bigint").alias("n"),
     )
-    merged = found.mapInPandas(_merge_instants, found.schema)
+    merged = found.mapInPandas(merge_instants, found.schema)
     fired = (
         merged.withWatermark("timestamp", window_text(delay))
         .groupBy("service", "template")

@@ -79,6 +79,13 @@ class AnchoredWindows(StatefulProcessor):
         pass
 
 
+def merge_instants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Map-side sum: an error storm shrinks to one row per pattern and instant."""
+    for rows in batches:
+        keys = ["service", "template", "timestamp", "at"]
+        yield rows.groupby(keys, as_index=False, sort=False)["n"].sum()
+
+
 class RecurringErrors(StatefulProcessor):
     """Count of an error pattern since it was first seen, and its alerts."""
 
