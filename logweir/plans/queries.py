@@ -27,7 +27,6 @@ from logweir.plans.tables import (
     logs_raw,
     logs_wire,
     once,
-    raw_dup,
     samples,
     table,
 )
@@ -716,9 +715,8 @@ class _Run:
         self.session = configure(spark.newSession())
         cores = spark.sparkContext.defaultParallelism
         self.session.conf.set("spark.sql.shuffle.partitions", str(cores))
-        make, name = (raw_dup, "lines_dup") if dup else (logs_raw, "lines")
-        path = line_files(spark, sf_dir, name, make(spark, sf_dir))
-        self.lines = file_source(self.session, path, files_per_trigger=1)
+        path, files = line_files(spark, sf_dir, dup)
+        self.lines = file_source(self.session, path, files)
         self.folder = f"{workspace(spark)}/stream-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:

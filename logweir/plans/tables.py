@@ -86,12 +86,12 @@ SELECT * FROM {logs} WHERE CAST(event_id AS BIGINT) % 20 = 0
 """
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     """A given table. One that is a single small file is spread over the cores;
     a large one already comes in more partitions than that."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def _sql(spark: SparkSession, text: str, source: DataFrame) -> DataFrame:
@@ -100,9 +100,9 @@ def _sql(spark: SparkSession, text: str, source: DataFrame) -> DataFrame:
     return spark.sql(text, source=source)
 
 
-def logs_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+def logs_wire(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
     configure(spark)
-    events = table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events", spread)
     return _sql(spark, WIRE_SQL.replace("FROM events", "FROM \0"), events)
 
 
@@ -120,11 +120,11 @@ def logs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logs_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, DUP_SQL.format(logs="\0"), logs_wire(spark, sf_dir))
+    return _dup(spark, logs_wire(spark, sf_dir))
 
 
-def raw_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _raw(spark, logs_dup(spark, sf_dir))
+def _dup(spark: SparkSession, logs: DataFrame) -> DataFrame:
+    return _sql(spark, DUP_SQL.format(logs="\0"), logs)
 
 
 def logs_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,18 +171,28 @@ def archive(spark: SparkSession, sf_dir: str) -> str:
     return once(spark, sf_dir, "archive", write)
 
 
-def line_files(spark: SparkSession, sf_dir: str, name: str, lines: DataFrame, parts: int = 3) -> str:
-    """Lines as text files that arrive in the order of their events."""
+def line_files(
+    spark: SparkSession, sf_dir: str, duplicates: bool = False, parts: int = 3
+) -> tuple[str, int]:
+    """The raw lines as text files that arrive in `parts` steps of event time.
+
+    Returns the folder and the number of files of a step, which a trigger has to
+    take together: within a step files have no order.
+    """
+    logs = logs_wire(spark, sf_dir, spread=False)
+    lines = _raw(spark, _dup(spark, logs) if duplicates else logs)
+    files = lines.rdd.getNumPartitions()
 
     def write(path: str) -> None:
         first = datetime(2024, 1, 1)
         step = (AS_OF - first) / parts
-        time = F.col("event_time")
+        number = F.floor((F.unix_micros(F.col("event_time").cast("timestamp"))
+                          - F.unix_micros(F.lit(first))) / F.lit(step // timedelta(microseconds=1)))
+        # Events before or after the month belong to the outer steps.
+        number = F.least(F.greatest(number, F.lit(0)), F.lit(parts - 1))
         for i in range(parts):
-            start, end = F.lit(first + i * step), F.lit(first + (i + 1) * step)
-            here = (time >= start) if i == parts - 1 else (time < end)
-            if 0 < i < parts - 1:
-                here = here & (time >= start)
-            lines.filter(here).select("value").write.mode("append").text(path)
+            here = lines.filter(number == i).select("value").repartition(files)
+            here.write.mode("append").text(path)
 
-    return once(spark, sf_dir, name, write)
+    name = "lines_dup" if duplicates else "lines"
+    return once(spark, sf_dir, name, write), files
