@@ -89,13 +89,15 @@ def service_breakdown(counts: DataFrame) -> DataFrame:
 
 def severity_distribution(counts: DataFrame) -> DataFrame:
     """Known severities that occur, gravest first, as share of all events."""
-    totals = counts.groupBy("severity").agg(F.sum("count").alias("count"))
+    # Six groups at most: unknown severities only count towards the whole.
+    known = F.when(F.col("severity").isin(SEVERITY_ORDER), F.col("severity"))
+    totals = counts.groupBy(known.alias("severity")).agg(F.sum("count").alias("count"))
     shared = totals.withColumn(
         "pct", F.col("count") / F.sum("count").over(Window.partitionBy()) * 100
     )
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITY_ORDER]), F.col("severity"))
     return (
-        shared.filter(F.col("severity").isin(SEVERITY_ORDER))
+        shared.filter(F.col("severity").isNotNull())
         .withColumn("rank", rank)
         .orderBy("rank")
         .select("severity", "count", "pct")

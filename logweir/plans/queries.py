@@ -34,6 +34,7 @@ from logweir.schema import LOG_COLUMNS
 from logweir.session import configure, workspace
 from logweir.sources import archive as cold_store
 from logweir.sources import hot as hot_store
+from logweir.sources.deadletters import read_dead_letters
 from logweir.sources.logstream import file_source
 from logweir.streaming import jobs
 
@@ -172,6 +173,10 @@ def _hot_table(spark: SparkSession, sf_dir: str) -> str:
     )
 
 
+def _hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hot_store.read_hot(spark, _hot_table(spark, sf_dir)).select(*LOG_COLUMNS, "day")
+
+
 @query
 def hot_append(spark, sf_dir):
     return hot_store.read_hot(spark, _hot_table(spark, sf_dir)).groupBy(
@@ -384,14 +389,14 @@ def log_preview(spark, sf_dir):
 @query
 def filter_time(spark, sf_dir):
     req = SearchRequest(start=datetime(2024, 1, 10, 12), end=datetime(2024, 1, 11, 12))
-    return search.filter_hot(logs_hot(spark, sf_dir), req).select("event_id", "timestamp")
+    return search.filter_hot(_hot(spark, sf_dir), req).select("event_id", "timestamp")
 
 
 @query
 def filter_severity_hot(spark, sf_dir):
     req = SearchRequest(severity="FATAL").resolved(AS_OF)
     req = replace(req, start=datetime(2024, 1, 1))
-    return search.filter_hot(logs_hot(spark, sf_dir), req).select("event_id", "severity")
+    return search.filter_hot(_hot(spark, sf_dir), req).select("event_id", "severity")
 
 
 @query
@@ -403,7 +408,7 @@ def filter_severity_cold(spark, sf_dir):
 @query
 def search_text(spark, sf_dir):
     req = SearchRequest(search="Charged", start=datetime(2024, 1, 1), end=AS_OF)
-    return search.filter_hot(logs_hot(spark, sf_dir), req).select("event_id", "message")
+    return search.filter_hot(_hot(spark, sf_dir), req).select("event_id", "message")
 
 
 @query
@@ -421,19 +426,20 @@ def error_events(spark, sf_dir):
 
 @query
 def attribute_filter(spark, sf_dir):
-    return logs_hot(spark, sf_dir).filter(search.attribute_at_least("http.status_code", 400)).select(
+    return _hot(spark, sf_dir).filter(search.attribute_at_least("http.status_code", 400)).select(
         "event_id", "service"
     )
 
 
 @query
 def search_hot(spark, sf_dir):
-    return search.page_of(search.filter_hot(logs_hot(spark, sf_dir), HOT_REQUEST), HOT_REQUEST)
+    hot, cold = _tiers(spark, sf_dir)
+    return search.search(hot, cold, HOT_REQUEST, AS_OF).page
 
 
 @query
 def search_total(spark, sf_dir):
-    return search.total_of(search.filter_hot(logs_hot(spark, sf_dir), HOT_REQUEST))
+    return search.total_of(search.filter_hot(_hot(spark, sf_dir), HOT_REQUEST))
 
 
 def _tiers(spark: SparkSession, sf_dir: str):
@@ -503,16 +509,16 @@ def rule_table(spark, sf_dir):
 
 @query
 def timeline_5m(spark, sf_dir):
-    return aggregates.timeline(logs_hot(spark, sf_dir), AS_OF, hours=168)
+    return aggregates.timeline(_hot(spark, sf_dir), AS_OF, hours=168)
 
 
 @query
 def timeline_1h(spark, sf_dir):
-    return aggregates.timeline(logs_hot(spark, sf_dir), AS_OF, hours=720, service="payment")
+    return aggregates.timeline(_hot(spark, sf_dir), AS_OF, hours=720, service="payment")
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.service_severity_counts(logs_hot(spark, sf_dir))
+    return aggregates.service_severity_counts(_hot(spark, sf_dir))
 
 
 @query
@@ -542,7 +548,7 @@ def severity_distribution(spark, sf_dir):
 
 @query
 def timeline_scaled(spark, sf_dir):
-    scaled = aggregates.scale_timeline(aggregates.timeline(logs_hot(spark, sf_dir), AS_OF, hours=720))
+    scaled = aggregates.scale_timeline(aggregates.timeline(_hot(spark, sf_dir), AS_OF, hours=720))
     return scaled.withColumns(
         {"count_share": F.round("count_share", 6), "error_share": F.round("error_share", 6)}
     )
@@ -741,7 +747,7 @@ def stream_normalize(spark, sf_dir):
     hot, dead = run.path("hot"), run.path("dead")
     jobs.normalize_job(run.lines, hot, dead, run.path("checkpoint"), ONCE).awaitTermination()
     rows = hot_store.read_hot(spark, hot).select(F.lit("hot").alias("tier"), "service", "severity")
-    bad = spark.read.parquet(dead).select(
+    bad = read_dead_letters(spark, dead).select(
         F.lit("dead").alias("tier"), F.lit("").alias("service"), F.col("error").alias("severity")
     )
     return rows.unionByName(bad).groupBy("tier", "service", "severity").agg(F.count("*").alias("events"))

@@ -21,6 +21,14 @@ from logweir.schema import ARCHIVE_SCHEMA, LOG_COLUMNS
 UNKNOWN_SERVICE = "_unknown"
 LAYOUT = ("day", "hour", "service")
 
+# The binary source's own columns.
+_FILE_FIELDS = [
+    T.StructField("path", T.StringType(), False),
+    T.StructField("modificationTime", T.TimestampType(), False),
+    T.StructField("length", T.LongType(), False),
+    T.StructField("content", T.BinaryType(), True),
+]
+
 
 def routed(lines: DataFrame, ingest_time: datetime | Column, value: str = "value") -> DataFrame:
     """Raw lines with their partition columns.
@@ -142,8 +150,9 @@ def list_partitions(
 ) -> DataFrame:
     """Days (and services) that have data. Only file names are read: the binary
     source does not open a file whose content is not selected."""
-    files = spark.read.format("binaryFile").load(path)
-    days = files.select(*[F.col(c).cast(ARCHIVE_SCHEMA[c].dataType) for c in layout if c != "hour"])
+    columns = [c for c in layout if c != "hour"]
+    schema = T.StructType([*_FILE_FIELDS, *[ARCHIVE_SCHEMA[c] for c in layout]])
+    days = spark.read.format("binaryFile").schema(schema).load(path).select(*columns)
     if service:
         days = days.filter(F.col("service") == service)
     return days.distinct()

@@ -24,6 +24,7 @@ from logweir.operators.spacing import from_millis, millis
 from logweir.params import DetectionConfig
 from logweir.schema import ALERT_COLUMNS, LOG_COLUMNS
 from logweir.sources.archive import LAYOUT, write_archive
+from logweir.sources.deadletters import write_batch
 from logweir.sources.hot import append_hot
 from logweir.streaming.processors import AnchoredWindows, Cooldown, RecurringErrors, merge_instants
 
@@ -44,37 +45,27 @@ def _start(
     )
 
 
-def _batch_files(path: str) -> Callable[[DataFrame, int], None]:
-    def write(batch: DataFrame, number: int) -> None:
-        (
-            batch.withColumn("batch", F.lit(number).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
-            .parquet(path)
-        )
-
-    return write
-
-
 def write_batches(
     stream: DataFrame, path: str, checkpoint: str, mode: str = "append", trigger: dict | None = None
 ) -> StreamingQuery:
     """Write a stream as Parquet, one folder per micro-batch."""
-    return _start(stream, _batch_files(path), checkpoint, trigger or DETECTION_TRIGGER, mode)
+
+    def sink(batch: DataFrame, number: int) -> None:
+        write_batch(batch, path, number)
+
+    return _start(stream, sink, checkpoint, trigger or DETECTION_TRIGGER, mode)
 
 
 def normalize_job(
     lines: DataFrame, hot: str, dead: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
     """Lines to the hot table; undecodable ones to the dead letters."""
-    write_dead = _batch_files(dead)
 
     def sink(batch: DataFrame, number: int) -> None:
         decoded = decode_events(batch).persist()
         try:
             append_hot(normalize(accepted(decoded), F.col("arrived")), hot, number)
-            write_dead(dead_letters(decoded, F.col("arrived")), number)
+            write_batch(dead_letters(decoded, F.col("arrived")), dead, number)
         finally:
             decoded.unpersist()
 
