@@ -73,12 +73,13 @@ def fold_keys(members: Column) -> Column:
     return F.when(keys == fold(keys), members).otherwise(folded)
 
 
-def _kind(value: Column) -> Column:
+def kind(value: Column) -> Column:
+    """Type of a VARIANT; absent and JSON null are both VOID."""
     return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
 
 
 def _is_text(value: Column) -> Column:
-    return _kind(value).isin("STRING", "VOID")
+    return kind(value).isin("STRING", "VOID")
 
 
 def _text(value: Column) -> Column:
@@ -90,7 +91,7 @@ def _event_time(value: Column) -> Column:
 
 
 def _bad_time(value: Column, time: Column) -> Column:
-    return time.isNull() & (_kind(value) != "VOID")
+    return time.isNull() & (kind(value) != "VOID")
 
 
 def _known_time(time: Column) -> Column:
@@ -118,7 +119,7 @@ def event_error(root: Column) -> Column:
     NULL when it is one. JSON null is an event without any field.
     """
     attributes = F.col("_attributes")
-    not_object = object_map(attributes).isNull() & (_kind(attributes) != "VOID")
+    not_object = object_map(attributes).isNull() & (kind(attributes) != "VOID")
     error = F.when(root.isNull(), F.lit("unmarshal: invalid JSON")).when(
         ~F.col("_object") & ~F.is_variant_null(root), F.lit("unmarshal: not an object")
     )
@@ -137,7 +138,7 @@ def is_malformed(root: Column, members: Column) -> Column:
         F.coalesce(members.isNull() & ~F.is_variant_null(root), F.lit(False))
         | (F.coalesce(F.size(mistyped), F.lit(0)) > 0)
         | _bad_time(timestamp, _event_time(timestamp))
-        | (object_map(attributes).isNull() & (_kind(attributes) != "VOID"))
+        | (object_map(attributes).isNull() & (kind(attributes) != "VOID"))
     )
 
 
@@ -146,7 +147,7 @@ def event_fields() -> list[Column]:
     time is NULL, attributes stay VARIANT."""
     special = {
         "timestamp": _known_time(F.col("_time")),
-        "attributes": F.when(_kind(F.col("_attributes")) != "VOID", F.col("_attributes")),
+        "attributes": F.when(kind(F.col("_attributes")) != "VOID", F.col("_attributes")),
     }
     return [special.get(c, _text(F.col(f"_{c}"))).alias(c) for c in LOG_COLUMNS]
 

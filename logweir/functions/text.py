@@ -116,11 +116,12 @@ def fixed2(value: Column) -> Column:
     scale = 1 << 53
     whole = F.floor(value).cast("bigint")
     part = (value - whole) * F.lit(float(scale))
-    bits = part.cast("bigint") * F.lit(100)
+    tail = (part - F.floor(part)) * F.lit(100.0)
+    bits = F.floor(part) * F.lit(100) + F.floor(tail)
     down = F.shiftright(bits, 53)
     rest = bits.bitwiseAND(F.lit(scale - 1))
     half = F.lit(scale >> 1)
-    tie = (rest == half) & (part == F.floor(part))
+    tie = (rest == half) & (tail == F.floor(tail))
     up = (rest > half) | ((rest == half) & ~tie) | (tie & (down % 2 == 1))
     cents = whole * 100 + down + up.cast("bigint")
     return F.concat(

@@ -13,6 +13,7 @@ from logweir.functions.json import (
     event_json,
     fold_keys,
     is_malformed,
+    kind,
     object_map,
     split_members,
 )
@@ -41,7 +42,7 @@ def explode_requests(requests: DataFrame, body: str = "body") -> DataFrame:
             "_list", lambda e: F.struct(e.alias("root"), fold_keys(object_map(e)).alias("members"))
         ),
     )
-    absent = F.coalesce(F.is_variant_null(F.col("_listed")), F.lit(True))
+    absent = kind(F.col("_listed")) == "VOID"
     error = (
         F.when(F.col("_request").isNull(), F.lit("unmarshal: not a request"))
         .when(~absent & F.col("_list").isNull(), F.lit("unmarshal: events is not an array"))
