@@ -221,6 +221,18 @@ def attributes_text(attributes: Column) -> Column:
     return F.coalesce(F.to_json(attributes), F.lit("null"))
 
 
+def redacted_text(attributes: Column) -> Column:
+    """attributes_text() of redacted attributes.
+
+    Members are looked at one by one only where the text, which holds every key,
+    contains one of the words at all.
+    """
+    text = F.to_json(attributes)
+    suspicious = F.lower(text).rlike("|".join(SENSITIVE_KEYS))
+    redacted = F.to_json(redact_attributes(attributes))
+    return F.coalesce(F.when(suspicious, redacted).otherwise(text), F.lit("null"))
+
+
 def upsert_attributes(attributes: Column, values: dict[str, str]) -> Column:
     """Set text attributes, replacing those that exist."""
     members = F.coalesce(object_map(attributes), F.expr(f"CAST(map() AS {_OBJECT})"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from logweir.functions.json import (
     as_variant,
     attributes_text,
-    redact_attributes,
+    redacted_text,
     upsert_attributes,
 )
 from logweir.functions.text import normalize_severity, redact_secrets
@@ -46,7 +46,7 @@ def normalize(events: DataFrame, ingest_time: datetime | Column) -> DataFrame:
         "service",
         normalize_severity(F.col("severity")).alias("severity"),
         redact_secrets(F.col("message")).alias("message"),
-        attributes_text(redact_attributes(as_variant(events))).alias("attributes"),
+        redacted_text(as_variant(events)).alias("attributes"),
         *LOG_COLUMNS[6:],
     )
 

@@ -13,16 +13,17 @@ import uuid
 from datetime import timedelta
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweir.functions.chain import spaced_positions
 from logweir.functions.times import micros, seconds
-from logweir.session import workspace
+from logweir.session import stored, workspace
 
 # Most instants of one key that one task may hold: 160 MB of 64-bit times, or
-# five and a half hours with an instant in every millisecond.
+# five and a half hours with an event in every millisecond.
 MAX_INSTANTS = 20_000_000
 _MINUTE = 60_000
 
@@ -42,65 +43,62 @@ def spaced(
     strict: bool = False,
     max_instants: int = MAX_INSTANTS,
 ) -> DataFrame:
-    """The kept (keys, at) of rows with a BIGINT millisecond column `at`.
-
-    The rows are read more than once, so pass a stored table.
-    """
-    instants = rows.select(*keys, "at").distinct()
-    densest = (
-        instants.groupBy(*keys, F.floor(F.col("at") / _MINUTE).alias("minute"))
-        .agg(F.count("*").alias("n"))
-        .groupBy(*keys)
-        .agg(F.sum("n").alias("key_total"), F.max("n").alias("peak"))
-        .agg(F.max("key_total"), F.max("peak"))
+    """The kept (keys, at) of rows with a BIGINT millisecond column `at`."""
+    minute = F.floor(F.col("at") / _MINUTE).cast("bigint")
+    offset = (F.col("at") - minute * _MINUTE).cast("int")
+    # A minute's instants are one short array, so that the keys, which may be
+    # long texts, do not travel with every instant.
+    minutes = stored(
+        rows.groupBy(*keys, minute.alias("minute")).agg(F.collect_set(offset).alias("offsets"))
+    )
+    total, peak = (
+        minutes.groupBy(*keys)
+        .agg(F.sum(F.size("offsets")).alias("total"), F.max(F.size("offsets")).alias("peak"))
+        .agg(F.max("total"), F.max("peak"))
         .first()
     )
     gap_ms = seconds(gap) * 1000
-    if not densest[0] or densest[0] <= max_instants:
-        return _chain(instants, None, keys, gap_ms, strict)
+    if not total or total <= max_instants:
+        return _chain(minutes, None, keys, gap_ms, strict)
     # A minute has 60,000 distinct milliseconds at most, so this always divides.
-    stretch = max(1, max_instants // densest[1]) * _MINUTE
-    return _chain_in_stretches(instants, keys, gap_ms, strict, stretch)
+    return _chain_in_stretches(minutes, keys, gap_ms, strict, max(1, max_instants // peak))
 
 
 def _chain(
-    instants: DataFrame, state: DataFrame | None, keys: list[str], gap_ms: int, strict: bool
+    minutes: DataFrame, state: DataFrame | None, keys: list[str], gap_ms: int, strict: bool
 ) -> DataFrame:
-    def keep(times: pd.DataFrame, last: int | None) -> pd.DataFrame:
-        times = times.sort_values("at", ignore_index=True)
-        return times.iloc[spaced_positions(times["at"].to_numpy(), gap_ms, strict, last)]
+    def keep(group: pd.DataFrame, last: int | None) -> pd.DataFrame:
+        parts = [m * _MINUTE + np.asarray(o, "int64") for m, o in zip(group["minute"], group["offsets"])]
+        times = np.sort(np.concatenate(parts))
+        kept = times[spaced_positions(times, gap_ms, strict, last)]
+        return pd.DataFrame({**{k: group[k].iloc[0] for k in keys}, "at": kept}, columns=[*keys, "at"])
 
-    schema = instants.select(*keys, "at").schema
+    schema = minutes.select(*keys, F.col("minute").alias("at")).schema
     if state is None:
-        return instants.groupBy(*keys).applyInPandas(lambda times: keep(times, None), schema)
+        return minutes.groupBy(*keys).applyInPandas(lambda group: keep(group, None), schema)
 
-    def keep_after(times: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        return keep(times, int(before["at"].iloc[0]) if len(before) else None)
+    def keep_after(group: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if not len(group):
+            return pd.DataFrame(columns=[*keys, "at"])
+        return keep(group, int(before["at"].iloc[0]) if len(before) else None)
 
-    return (
-        instants.groupBy(*keys)
-        .cogroup(state.groupBy(*keys))
-        .applyInPandas(keep_after, schema)
-    )
+    return minutes.groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(keep_after, schema)
 
 
 def _chain_in_stretches(
-    instants: DataFrame, keys: list[str], gap_ms: int, strict: bool, stretch: int
+    minutes: DataFrame, keys: list[str], gap_ms: int, strict: bool, length: int
 ) -> DataFrame:
-    spark = instants.sparkSession
+    """Walk stretches of `length` minutes in order, each from the state before it."""
+    spark = minutes.sparkSession
     folder = f"{workspace(spark)}/spacing-{uuid.uuid4().hex}"
-    part = F.floor(F.col("at") / stretch).cast("bigint")
-    instants.withColumn("stretch", part).hint("rebalance", "stretch").write.partitionBy(
-        "stretch"
-    ).parquet(f"{folder}/instants")
-    stored = spark.read.schema(
-        instants.withColumn("stretch", part).schema
-    ).parquet(f"{folder}/instants")
-    order = [r[0] for r in stored.select("stretch").distinct().orderBy("stretch").collect()]
+    parts = minutes.withColumn("stretch", F.floor(F.col("minute") / length).cast("bigint"))
+    parts.hint("rebalance", "stretch").write.partitionBy("stretch").parquet(f"{folder}/minutes")
+    by_stretch = spark.read.schema(parts.schema).parquet(f"{folder}/minutes")
+    order = [r[0] for r in parts.select("stretch").distinct().orderBy("stretch").collect()]
 
     kept, last = [], None
     for number in order:
-        now = stored.filter(F.col("stretch") == number).drop("stretch")
+        now = by_stretch.filter(F.col("stretch") == number).drop("stretch")
         path = f"{folder}/kept/stretch={number}"
         _chain(now, last, keys, gap_ms, strict).write.mode("overwrite").parquet(path)
         kept.append(path)
@@ -108,5 +106,5 @@ def _chain_in_stretches(
         if last is not None:
             latest = latest.unionByName(last)
         # Stored, so that the plan of each step stays short.
-        last = latest.groupBy(*keys).agg(F.max("at").alias("at")).checkpoint()
+        last = stored(latest.groupBy(*keys).agg(F.max("at").alias("at")))
     return reduce(DataFrame.unionByName, [spark.read.parquet(p) for p in kept])

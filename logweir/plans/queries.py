@@ -312,9 +312,8 @@ def message_template(spark, sf_dir):
 def _attributes(spark: SparkSession, sf_dir: str, redact: bool) -> DataFrame:
     wire = logs_wire(spark, sf_dir)
     parsed = F.try_parse_json("attributes")
-    return wire.select(
-        "event_id", fj.attributes_text(fj.redact_attributes(parsed) if redact else parsed).alias("attributes")
-    )
+    text = fj.redacted_text(parsed) if redact else fj.attributes_text(parsed)
+    return wire.select("event_id", text.alias("attributes"))
 
 
 @query
