@@ -18,7 +18,6 @@ from logweir.params import AlertRule, SearchRequest
 from logweir.plans.tables import (
     ARCHIVE_LAYOUT,
     AS_OF,
-    CUTOFF,
     DETECTION,
     archive,
     line_files,

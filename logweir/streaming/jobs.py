@@ -28,7 +28,8 @@ from logweir.sources.deadletters import write_batch
 from logweir.sources.hot import append_hot
 from logweir.streaming.processors import AnchoredWindows, Cooldown, RecurringErrors, merge_instants
 
-NORMALIZE_TRIGGER = {"processingTime": "250 milliseconds"}
+# Searchable within ten seconds, in files that do not become too small.
+NORMALIZE_TRIGGER = {"processingTime": "5 seconds"}
 ARCHIVE_TRIGGER = {"processingTime": "10 seconds"}
 DETECTION_TRIGGER = {"processingTime": "5 seconds"}
 
@@ -223,6 +224,16 @@ def cooldown_stream(alerts: DataFrame, quiet: timedelta, delay: timedelta) -> Da
     return kept.withColumn("triggered_at", from_millis(F.col("at"))).select(*ALERT_COLUMNS)
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came behind the watermark and were dropped, as far as the
+    query's recent progress tells."""
+    return sum(
+        operator["numRowsDroppedByWatermark"]
+        for progress in query.recentProgress
+        for operator in progress["stateOperators"]
+    )
+
+
 def notify_job(
     alerts: DataFrame, deliver: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:

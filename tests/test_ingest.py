@@ -1,9 +1,6 @@
 import json
 from datetime import datetime, timedelta
 
-import pytest
-from pyspark.sql import functions as F
-
 from logweir.operators import ingest
 
 NOW = datetime(2024, 1, 31)

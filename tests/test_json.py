@@ -1,7 +1,6 @@
 import json
 from datetime import datetime
 
-import pytest
 from pyspark.sql import functions as F
 
 from logweir.functions import json as fj

@@ -162,3 +162,18 @@ def test_dedup(spark, feed, tmp_path, rows):
     feed.add([line(r) for r in rows[100:900]])
     stored = run(spark, jobs.dedup_stream(jobs.event_stream(feed.source()), DELAY), tmp_path)
     assert stored.count() == 1500 and stored.select("event_id").distinct().count() == 1500
+
+
+def test_late_rows_are_counted(spark, feed, tmp_path, rows):
+    paths = str(tmp_path / "out"), str(tmp_path / "check")
+    short = timedelta(seconds=1)
+
+    def start():
+        stream = jobs.error_rate_windows(jobs.event_stream(feed.source()), CONFIG, short)
+        query = jobs.write_batches(stream, *paths, "update", ONCE)
+        query.awaitTermination()
+        return query
+
+    assert jobs.late_rows(start()) == 0
+    feed.add([line(("late", *rows[0][1:]))])
+    assert jobs.late_rows(start()) == 1
