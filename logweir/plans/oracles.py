@@ -207,6 +207,7 @@ ORACLES: dict[str, str] = {
         WIRE, RAW, ROUTED,
         "SELECT day, count(*) AS scanned FROM routed WHERE day BETWEEN '2024-01-10' AND '2024-01-12' GROUP BY 1",
     ),
+    "normalize_events": sql(WIRE, HOT, f"SELECT {COLUMNS} FROM logs_hot"),
     "hot_scan": sql(WIRE, HOT, f"SELECT {COLUMNS} FROM logs_hot"),
     "list_partitions": sql(
         WIRE, RAW, ROUTED, "SELECT DISTINCT day, service FROM routed WHERE service = 'payment'"

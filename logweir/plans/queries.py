@@ -41,8 +41,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+def query(fn: Query, name: str = "") -> Query:
+    QUERIES[name or fn.__name__] = fn
     return fn
 
 
@@ -124,9 +124,14 @@ def scan_budget(spark, sf_dir):
     ).select(F.col("day").cast("string").alias("day"), "scanned")
 
 
+@query
+def normalize_events(spark, sf_dir):
+    return logs_hot(spark, sf_dir)
+
+
 @query
 def hot_scan(spark, sf_dir):
-    return logs_hot(spark, sf_dir).select(*LOG_COLUMNS)
+    return _hot(spark, sf_dir).select(*LOG_COLUMNS)
 
 
 @query
@@ -286,12 +291,15 @@ def normalize_severity(spark, sf_dir):
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All texts of the tables: log messages, documents and conversations."""
     configure(spark)
-    messages = logs_wire(spark, sf_dir).select(F.concat(F.lit("e"), "event_id").alias("id"), F.col("message").alias("text"))
+    messages = logs_wire(spark, sf_dir).select(
+        F.concat(F.lit("e"), "event_id").alias("id"), F.col("message").alias("text")
+    )
     documents = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text"
     )
+    turn = F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     turns = table(spark, sf_dir, "conversations").select(
-        F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string")).alias("id"), "text"
+        F.concat(F.lit("c"), turn).alias("id"), "text"
     )
     return messages.unionByName(documents).unionByName(turns)
 
@@ -519,12 +527,8 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.service_severity_counts(_hot(spark, sf_dir))
 
 
-@query
-def aggregates_by_service(spark, sf_dir):
-    return _counts(spark, sf_dir)
-
-
-QUERIES["aggregates"] = QUERIES.pop("aggregates_by_service")
+# Its own name is taken by the module.
+query(_counts, "aggregates")
 
 
 @query
