@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logweir.llm.byte_bpe import digests
 from logweir.llm.common import table
 from logweir.llm.fingerprints import edited_likeness
 from logweir.llm.line_dedup import line_dedup
+from logweir.llm.mixing import mix_sizes
 from logweir.llm.quality_rules import quality_rules
 from logweir.llm.url_filters import Rule, url_filters
 
@@ -19,6 +21,10 @@ URL_RULES = [
 ]
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sizes(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"), counted="n_dropped")
 
@@ -31,13 +37,19 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
     "op3_url_filters": op3_url_filters,
     "op8_fingerprints": op8_fingerprints,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
