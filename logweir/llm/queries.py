@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from logweir.llm.byte_bpe import digests
 from logweir.llm.common import table
 from logweir.llm.fingerprints import edited_likeness
+from logweir.llm.line_crf import line_quality
 from logweir.llm.line_dedup import line_dedup
 from logweir.llm.mixing import mix_sizes
 from logweir.llm.quality_rules import quality_rules
+from logweir.llm.toxicity import toxicity
 from logweir.llm.url_filters import Rule, url_filters
 
 #: The rules that the query applies.
@@ -33,6 +35,14 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -49,6 +59,8 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
     "op3_url_filters": op3_url_filters,
+    "op4_toxicity": op4_toxicity,
+    "op6_quality": op6_quality,
     "op8_fingerprints": op8_fingerprints,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
