@@ -10,7 +10,8 @@ forward recursion over the word's positions sums them to the word's marginal pro
 with one distribution for pieces that begin a word and one for those inside, and q the
 chance that a word ends. The piece scores start from the vocabulary's order and are fitted
 to all training documents by expectation maximisation (forward-backward over the table of
-distinct words, weighted by their counts). A training word is also an edge of its own
+distinct words; each weighs the same, as each gives the same mass to the lattice). A
+training word is also an edge of its own
 over the whole lattice, with an absolutely discounted count; the discounted mass goes to
 the lattice of pieces:
 
@@ -229,14 +230,14 @@ def fit(words: DataFrame, path: str, rounds: int) -> Lattice:
             own = sent.value
             total = [np.zeros(n) for n in own.sizes]
             for batch in batches:
-                counts = batch.column("c").to_numpy(zero_copy_only=False).astype(float)
-                for t, x in zip(total, own.expected(batch.column("word").to_pylist(), counts), strict=True):
+                words = batch.column("word").to_pylist()
+                for t, x in zip(total, own.expected(words, np.ones(len(words))), strict=True):
                     t += x
             every = np.concatenate(total)
             used = np.flatnonzero(every)
             yield pa.record_batch({"piece": pa.array(used, pa.int64()), "n": pa.array(every[used], pa.float64())})
 
-        found = words.where("c > 0").select("word", "c").mapInArrow(run, "piece bigint, n double")
+        found = words.where("c > 0").select("word").mapInArrow(run, "piece bigint, n double")
         found = found.groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
         every = np.full(sum(lattice.sizes), 1e-3)
         every[found["piece"].to_numpy()] += found["n"].to_numpy()

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from logweir.llm.byte_bpe import digests
 from logweir.llm.common import table
 from logweir.llm.fingerprints import edited_likeness
+from logweir.llm.jaccard_join import jaccard_join
+from logweir.llm.lattice_lm import lm_scores
 from logweir.llm.line_crf import line_quality
 from logweir.llm.line_dedup import line_dedup
 from logweir.llm.mixing import mix_sizes
@@ -39,10 +41,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -60,7 +70,9 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_url_filters": op3_url_filters,
     "op4_toxicity": op4_toxicity,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_quality": op6_quality,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_fingerprints": op8_fingerprints,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
