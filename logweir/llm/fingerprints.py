@@ -71,7 +71,7 @@ def with_next(docs: DataFrame, rows_per_range: int = 8192, max_ranges: int = 20_
     Rows follow by descending doc_id; after the last comes the first. They are dealt into
     ranges of doc_id, so that no task holds more than its range; of the ranges' bounds and
     heads (at most `max_ranges` numbers each) the driver makes a table, and only the head
-    row of each range is brought to the range before it.
+    row of each range is copied to the range before it.
     """
     spark = docs.sparkSession
     n = docs.count()
@@ -86,16 +86,16 @@ def with_next(docs: DataFrame, rows_per_range: int = 8192, max_ranges: int = 20_
     used = sorted(first, reverse=True)
     follows = [(r, after, first[after]) for r, after in zip(used, used[1:] + used[:1], strict=True)]
     follows = spark.createDataFrame(follows, "before int, h_range int, h_id bigint")
-    heads = docs.join(follows, (F.col("range") == F.col("h_range")) & F.col("doc_id").eqNullSafe(F.col("h_id")))
-    heads = with_sketch(heads.groupBy("before").agg(F.max("text").alias("text")), "text", "sketch")
-    heads = heads.select("before", F.struct("text", "sketch").alias("head"))
-    w = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    rows = with_sketch(docs, "text", "sketch").withColumn("next", F.lead(F.struct("text", "sketch")).over(w))
-    # Only the last row of a range has no next one: the rest is joined by no key.
-    last = F.when(F.col("next").isNull(), F.col("range"))
-    return rows.join(heads, last == F.col("before"), "left").select(
-        "doc_id", "text", "sketch", F.coalesce("next", "head").alias("next")
+    heads = docs.join(F.broadcast(follows), (F.col("range") == F.col("h_range")) & F.col("doc_id").eqNullSafe(F.col("h_id")))
+    heads = heads.groupBy("before").agg(F.max("text").alias("text"))
+    # A copy of each head row stands last in the range before it; texts cross once, sketches not at all.
+    rows = docs.select("range", F.lit(0).alias("copied"), "doc_id", "text").unionByName(
+        heads.select(F.col("before").alias("range"), F.lit(1).alias("copied"), F.lit(None).cast("bigint").alias("doc_id"), "text")
     )
+    rows = with_sketch(rows.repartition("range"), "text", "sketch")
+    w = Window.partitionBy("range").orderBy("copied", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    rows = rows.withColumn("next", F.lead(F.struct("text", "sketch")).over(w))
+    return rows.where("copied = 0").select("doc_id", "text", "sketch", "next")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
