@@ -193,7 +193,7 @@ def append_ack(spark, sf_dir):
     """Rows sent and rows found, for a batch that is written twice."""
     path = f"{workspace(spark)}/ack-{uuid.uuid4().hex}"
     for _ in range(2):
-        sent = hot_store.append_hot(logs_hot(spark, sf_dir), path, batch=7)
+        sent = hot_store.append_hot(logs_hot(spark, sf_dir), path, batch=7, job="ack")
     return hot_store.read_hot(spark, path).agg(
         F.lit(sent).cast("bigint").alias("sent_rows"), F.count("*").alias("committed_rows")
     )
@@ -760,7 +760,7 @@ def stream_archive(spark, sf_dir):
     run = _Run(spark, sf_dir)
     path = run.path("archive")
     jobs.archive_job(run.lines, path, run.path("checkpoint"), ONCE, ARCHIVE_LAYOUT).awaitTermination()
-    lines = cold_store.read_archive(spark, path, layout=ARCHIVE_LAYOUT, batched=True)
+    lines = cold_store.read_archive(spark, path, layout=ARCHIVE_LAYOUT)
     return lines.groupBy("service").agg(
         F.count("*").alias("lines"), F.count_distinct("value").alias("distinct_lines")
     )

@@ -17,6 +17,7 @@ from logweir.functions.json import (
 from logweir.operators.normalize import accepted, default_timestamp
 from logweir.operators.search import in_range
 from logweir.schema import ARCHIVE_SCHEMA, LOG_COLUMNS
+from logweir.sources.commits import append, identity
 
 UNKNOWN_SERVICE = "_unknown"
 LAYOUT = ("day", "hour", "service")
@@ -54,15 +55,16 @@ def write_archive(
     layout: tuple[str, ...] = LAYOUT,
     batch: int | None = None,
     compression: str = "gzip",
+    job: str = "",
 ) -> None:
     """Append raw lines to the archive.
 
     Rebalancing keeps one service's files together without giving all of a busy
-    service to one task. With a batch number the write replaces what an earlier
-    attempt at the same batch left behind.
+    service to one task. A batch is known by its job and number; repeating one
+    that is in the archive adds nothing.
     """
     placed = routed(lines, ingest_time).select("value", *layout)
-    _write_text(placed, path, layout, batch, compression)
+    _write_text(placed, path, layout, identity(job, batch), compression)
 
 
 def write_normalized_archive(
@@ -75,24 +77,16 @@ def write_normalized_archive(
         F.hour("timestamp").alias("hour"),
         "service",
     ).select("value", *layout)
-    _write_text(placed, path, layout, None, compression)
+    _write_text(placed, path, layout, identity("", None), compression)
 
 
-def _write_text(
-    placed: DataFrame, path: str, layout: tuple[str, ...], batch: int | None, compression: str
-) -> None:
+def _write_text(placed: DataFrame, path: str, layout: tuple[str, ...], name: str, compression: str) -> None:
     columns = list(layout)
-    placed = placed.hint("rebalance", *columns)
-    if batch is None:
-        writer = placed.write.mode("append")
-    else:
-        columns.append("batch")
-        writer = (
-            placed.withColumn("batch", F.lit(batch))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-        )
-    writer.partitionBy(*columns).option("compression", compression).text(path)
+
+    def write(folder: str) -> None:
+        placed.hint("rebalance", *columns).write.partitionBy(*columns).option("compression", compression).text(folder)
+
+    append(placed.sparkSession, path, name, write)
 
 
 def read_archive(
@@ -102,15 +96,12 @@ def read_archive(
     end: datetime | None = None,
     service: str = "",
     layout: tuple[str, ...] = LAYOUT,
-    batched: bool = False,
 ) -> DataFrame:
     """Raw lines of the days of a range; all of them without one.
 
     The day, hour and service predicates prune folders.
     """
     fields = [ARCHIVE_SCHEMA["value"], *[ARCHIVE_SCHEMA[c] for c in layout]]
-    if batched:
-        fields.append(T.StructField("batch", T.LongType()))
     lines = spark.read.schema(T.StructType(fields)).text(path)
     if start is not None:
         lines = lines.filter(F.col("day") >= F.lit(start.date()))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -11,53 +11,62 @@ from pyspark.sql import types as T
 from logweir.functions.times import interval, ntz
 from logweir.params import Retention
 from logweir.schema import HOT_SCHEMA, LOG_COLUMNS
+from logweir.sources.commits import append, compact, drop_folders, identity
+from logweir.sources.commits import AppendMismatch  # noqa: F401
 
 SORT = ["day", "service", "severity", "timestamp"]
 
 
-class AppendMismatch(RuntimeError):
-    """The table does not hold the rows that were sent."""
+def append_hot(rows: DataFrame, path: str, batch: int | None = None, job: str = "") -> int:
+    """Append hot rows, check what was written, return how many were sent.
 
-
-def append_hot(rows: DataFrame, path: str, batch: int = 0) -> int:
-    """Write a batch of hot rows, check what arrived, return the row count.
-
-    The batch number is part of the path: repeating a batch replaces its rows.
-    Within a day's files rows are sorted, so that Parquet statistics skip row
-    groups by service, severity and time.
+    A batch is known by its job and number: repeating one that is in the table adds
+    nothing, batches of other jobs and plain appends (no batch) stand beside it. Within a
+    day's files rows are sorted, so that Parquet statistics skip row groups by service,
+    severity and time.
     """
     spark = rows.sparkSession
     sent = Observation()
     placed = (
         rows.select(*LOG_COLUMNS)
         .observe(sent, F.count("*").alias("rows"))
-        .withColumns({"day": F.to_date("timestamp"), "batch": F.lit(batch).cast("bigint")})
+        .withColumn("day", F.to_date("timestamp"))
         .hint("rebalance", "day")
         .sortWithinPartitions(*SORT)
     )
-    (
-        placed.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day", "batch")
-        .parquet(path)
-    )
-    expected = sent.get.get("rows", 0)
-    if expected:
-        # Only this batch's folders are listed, however many batches there are.
-        written = spark.read.option("basePath", path).parquet(f"{path}/day=*/batch={batch}")
-        stored = written.count()
-        if stored != expected:
-            raise AppendMismatch(f"batch {batch}: {stored} of {expected} rows committed")
-    return expected
+
+    def write(folder: str) -> int:
+        placed.write.partitionBy("day").parquet(folder)
+        return sent.get.get("rows", 0)
+
+    count = lambda folder: spark.read.schema(HOT_SCHEMA).parquet(folder).count()
+    if append(spark, path, identity(job, batch), write, count):
+        return sent.get.get("rows", 0)
+    return rows.count()
+
+
+def compact_day(spark: SparkSession, path: str, day: date) -> tuple[int, int]:
+    """Merge the small files that many batches left for a day; returns files before and after."""
+
+    def write(source: str, target: str) -> None:
+        rows = spark.read.schema(HOT_SCHEMA).parquet(source)
+        rows.hint("rebalance").sortWithinPartitions(*SORT[1:]).write.parquet(target)
+
+    return compact(spark, path, f"day={day.isoformat()}", write)
+
+
+def expire_hot(spark: SparkSession, path: str, as_of: datetime, retention: Retention = Retention()) -> list[str]:
+    """Remove the day folders whose rows are all past their time to live."""
+    last = (as_of - timedelta(days=retention.hot_days)).date()
+    name = lambda folder: folder.removeprefix("day=")
+    return drop_folders(spark, path, lambda f: f.startswith("day=") and name(f) < last.isoformat())
 
 
 def read_hot(
     spark: SparkSession, path: str, start: datetime | None = None, end: datetime | None = None
 ) -> DataFrame:
     """Hot rows; a range also prunes day folders."""
-    schema = T.StructType(
-        [*HOT_SCHEMA.fields, T.StructField("day", T.DateType()), T.StructField("batch", T.LongType())]
-    )
+    schema = T.StructType([*HOT_SCHEMA.fields, T.StructField("day", T.DateType())])
     rows = spark.read.schema(schema).parquet(path)
     if start is not None:
         rows = rows.filter((F.col("day") >= F.lit(start.date())) & (F.col("timestamp") >= ntz(start)))

@@ -2,7 +2,8 @@
 
 A source is any stream with `value` (a JSON line) and `arrived`, see
 `sources.logstream`; its rate limit bounds a micro-batch. Sinks are written per
-micro-batch under the batch number, so a repeated batch replaces its output.
+micro-batch under the job's identity, kept beside its checkpoint, and the batch
+number: a repeated batch adds nothing, and jobs that share a table don't meet.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from logweir.operators.spacing import from_millis, millis
 from logweir.params import DetectionConfig
 from logweir.schema import ALERT_COLUMNS, LOG_COLUMNS
 from logweir.sources.archive import LAYOUT, write_archive
+from logweir.sources.commits import job_id
 from logweir.sources.deadletters import write_batch
 from logweir.sources.hot import append_hot
 from logweir.streaming.processors import AnchoredWindows, Cooldown, RecurringErrors, merge_instants
@@ -49,10 +51,11 @@ def _start(
 def write_batches(
     stream: DataFrame, path: str, checkpoint: str, mode: str = "append", trigger: dict | None = None
 ) -> StreamingQuery:
-    """Write a stream as Parquet, one folder per micro-batch."""
+    """Write a stream as Parquet; each row carries its micro-batch's number."""
+    job = job_id(stream.sparkSession, checkpoint)
 
     def sink(batch: DataFrame, number: int) -> None:
-        write_batch(batch, path, number)
+        write_batch(batch, path, number, job)
 
     return _start(stream, sink, checkpoint, trigger or DETECTION_TRIGGER, mode)
 
@@ -61,12 +64,13 @@ def normalize_job(
     lines: DataFrame, hot: str, dead: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
     """Lines to the hot table; undecodable ones to the dead letters."""
+    job = job_id(lines.sparkSession, checkpoint)
 
     def sink(batch: DataFrame, number: int) -> None:
         decoded = decode_events(batch).persist()
         try:
-            append_hot(normalize(accepted(decoded), F.col("arrived")), hot, number)
-            write_batch(dead_letters(decoded, F.col("arrived")), dead, number)
+            append_hot(normalize(accepted(decoded), F.col("arrived")), hot, number, job)
+            write_batch(dead_letters(decoded, F.col("arrived")), dead, number, job)
         finally:
             decoded.unpersist()
 
@@ -78,9 +82,10 @@ def archive_job(
     layout: tuple[str, ...] = LAYOUT,
 ) -> StreamingQuery:
     """Every line, verbatim, to the archive."""
+    job = job_id(lines.sparkSession, checkpoint)
 
     def sink(batch: DataFrame, number: int) -> None:
-        write_archive(batch, path, F.col("arrived"), layout, batch=number)
+        write_archive(batch, path, F.col("arrived"), layout, batch=number, job=job)
 
     return _start(lines, sink, checkpoint, trigger or ARCHIVE_TRIGGER, "append")
 
@@ -243,5 +248,7 @@ def notify_job(
 
 
 def dedup_stream(events: DataFrame, delay: timedelta) -> DataFrame:
-    """One event per id, as far apart as the watermark delay."""
-    return events.withWatermark("timestamp", window_text(delay)).dropDuplicatesWithinWatermark(["event_id"])
+    """One event per id, as far apart as the watermark delay; events without an id are all kept."""
+    timed = events.withWatermark("timestamp", window_text(delay))
+    named = F.coalesce("event_id", F.lit("")) != ""
+    return timed.filter(named).dropDuplicatesWithinWatermark(["event_id"]).unionByName(timed.filter(~named))

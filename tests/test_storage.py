@@ -8,7 +8,7 @@ from logweir.functions.json import decode_events
 from logweir.operators import quality
 from logweir.operators.normalize import accepted, normalize
 from logweir.params import Retention
-from logweir.sources import archive, hot
+from logweir.sources import archive, commits, hot
 from logweir.sources.logstream import raw_log_lines
 
 NOW = datetime(2024, 1, 31, 12)
@@ -62,9 +62,9 @@ def test_archive_batch_is_idempotent(spark, tmp_path):
     path = str(tmp_path / "raw")
     lines = frame(spark, raw())
     for _ in range(2):
-        archive.write_archive(lines, path, NOW, batch=3)
-    archive.write_archive(frame(spark, raw(3)), path, NOW, batch=4)
-    assert archive.read_archive(spark, path, batched=True).count() == 63
+        archive.write_archive(lines, path, NOW, batch=3, job="j")
+    archive.write_archive(frame(spark, raw(3)), path, NOW, batch=4, job="j")
+    assert archive.read_archive(spark, path).count() == 63
 
 
 def events(spark, n=60):
@@ -84,23 +84,77 @@ def test_normalized_archive(spark, tmp_path):
 def test_hot_append_replaces_a_repeated_batch(spark, tmp_path):
     path = str(tmp_path / "hot")
     rows = normalize(events(spark), NOW)
-    assert hot.append_hot(rows, path, 1) == 60
-    assert hot.append_hot(rows, path, 1) == 60
-    assert hot.append_hot(rows.limit(5), path, 2) == 5
-    assert hot.append_hot(rows.limit(0), path, 3) == 0
+    for _ in range(2):
+        assert hot.append_hot(rows, path, 1, "j") == 60
+    assert hot.append_hot(rows.limit(5), path, 2, "j") == 5
+    assert hot.append_hot(rows.limit(0), path, 3, "j") == 0
     assert hot.read_hot(spark, path).count() == 65
 
 
+def test_jobs_and_plain_appends_share_a_table(spark, tmp_path):
+    path, lines = str(tmp_path / "hot"), str(tmp_path / "raw")
+    rows = normalize(events(spark), NOW)
+    for job in ("a", "b", "b"):
+        hot.append_hot(rows, path, 0, job)
+        archive.write_archive(frame(spark, raw()), lines, NOW, batch=0, job=job)
+    for _ in range(2):
+        hot.append_hot(rows.limit(5), path)
+        archive.write_archive(frame(spark, raw(5)), lines, NOW)
+    assert hot.read_hot(spark, path).count() == 130
+    assert archive.read_archive(spark, lines).count() == 130
+    assert archive.scan_archive(spark, lines).count() == 130
+    with pytest.raises(ValueError, match="needs the job"):
+        hot.append_hot(rows, path, 1)
+
+
+def test_an_attempt_that_broke_off_leaves_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "hot")
+    rows = normalize(events(spark), NOW)
+    moved = commits._Folder.move
+
+    def breaks(self, old, new):
+        if new.endswith(".done"):
+            raise OSError("driver lost")
+        moved(self, old, new)
+
+    monkeypatch.setattr(commits._Folder, "move", breaks)
+    with pytest.raises(OSError, match="driver lost"):
+        hot.append_hot(rows, path, 0, "j")
+    monkeypatch.setattr(commits._Folder, "move", moved)
+    hot.append_hot(rows, path, 0, "j")
+    assert hot.read_hot(spark, path).count() == 60
+
+
+def test_compaction_bounds_the_files_of_a_day(spark, tmp_path):
+    path = str(tmp_path / "hot")
+    rows = normalize(events(spark), NOW).filter("timestamp < '2024-01-02'")
+    for batch in range(6):
+        hot.append_hot(rows, path, batch, "j")
+    before, after = hot.compact_day(spark, path, datetime(2024, 1, 1).date())
+    assert before >= 6 and after == 1
+    hot.append_hot(rows, path, 5, "j")  # still known
+    assert hot.read_hot(spark, path).count() == 6 * rows.count()
+
+
+def test_expired_days_are_removed(spark, tmp_path):
+    path = str(tmp_path / "hot")
+    hot.append_hot(normalize(events(spark, 1000), NOW), path)
+    kept = hot.read_hot(spark, path).filter("timestamp >= '2024-01-03'").count()
+    gone = hot.expire_hot(spark, path, datetime(2024, 2, 2, 12), Retention(hot_days=30))
+    assert gone == ["day=2024-01-01", "day=2024-01-02"]
+    assert hot.read_hot(spark, path).count() == kept
+
+
 def test_hot_append_checks_what_arrived(spark, tmp_path, monkeypatch):
     rows = normalize(events(spark), NOW)
     monkeypatch.setattr(hot.Observation, "get", {"rows": 61})
     with pytest.raises(hot.AppendMismatch, match="60 of 61 rows"):
-        hot.append_hot(rows, str(tmp_path / "hot"), 1)
+        hot.append_hot(rows, str(tmp_path / "hot"))
 
 
 def test_hot_range_prunes_days(spark, tmp_path):
     path = str(tmp_path / "hot")
-    hot.append_hot(normalize(events(spark, 1000), NOW), path, 1)
+    hot.append_hot(normalize(events(spark, 1000), NOW), path)
     rows = hot.read_hot(spark, path, datetime(2024, 1, 3), datetime(2024, 1, 3, 12)).filter("service = 'a'")
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "day#" in plan.split("PartitionFilters: [")[1].split("]")[0]
