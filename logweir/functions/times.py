@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,7 +16,9 @@ HOT_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{3}$"
 
 
 def ntz(value: datetime) -> Column:
-    """Literal naive UTC time."""
+    """Literal naive UTC time; an aware time is converted."""
+    if value.tzinfo is not None:
+        value = value.astimezone(timezone.utc).replace(tzinfo=None)
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 

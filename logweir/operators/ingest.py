@@ -93,10 +93,10 @@ def keyed(events: DataFrame) -> DataFrame:
 
 
 def request_outcome(events: DataFrame, request: str) -> DataFrame:
-    """Accepted and failed events of each request."""
+    """Accepted and failed events of each request, and why it was refused as a whole, if it was."""
     valid = F.col("valid")
     return events.groupBy(request).agg(
-        F.count_if(valid).alias("accepted"), F.count_if(~valid).alias("failed")
+        F.count_if(valid).alias("accepted"), F.count_if(~valid).alias("failed"), F.max("request_error").alias("refused")
     )
 
 

@@ -14,9 +14,9 @@ PERCENTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
 
 def _value_slice(value: Column) -> Column:
-    """A slice of the number line that never decreases with the value."""
+    """A slice of the number line that never decreases with the value; NaN, the largest, has the last."""
     size = F.log2(F.lit(1.0) + F.abs(value)) * F.lit(64)
-    return F.floor(F.signum(value) * size).cast("bigint")
+    return F.when(F.isnan(value), F.lit(2**62)).otherwise(F.floor(F.signum(value) * size).cast("bigint"))
 
 
 def order_statistics(

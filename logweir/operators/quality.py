@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 
 def dedup_events(events: DataFrame, order: list[Column] | None = None) -> DataFrame:
-    """One row per event id: the earliest, or the first in the given order.
+    """One row per event id: the earliest, or the first in the given order; ties are
+    broken by all columns. Events without an id are different events: all are kept.
 
     The rank limit is applied before the shuffle too, so many copies of one event
     shrink to one per task.
     """
-    ranked = Window.partitionBy("event_id").orderBy(*(order or [F.asc("timestamp")]))
-    return events.withColumn("_rank", F.row_number().over(ranked)).filter("_rank = 1").drop("_rank")
+    named = F.coalesce("event_id", F.lit("")) != ""
+    ties = [F.col(c) for c, kind in events.dtypes if c != "event_id" and not kind.startswith(("map", "variant"))]
+    ranked = Window.partitionBy("event_id").orderBy(*(order or [F.asc("timestamp")]), *ties)
+    first = events.filter(named).withColumn("_rank", F.row_number().over(ranked)).filter("_rank = 1").drop("_rank")
+    return first.unionByName(events.filter(~named))
 
 
 def duplicate_count(events: DataFrame) -> DataFrame:

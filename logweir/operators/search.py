@@ -51,7 +51,8 @@ def filter_cold(logs: DataFrame, req: SearchRequest, open_end: bool = False) ->
     if req.service:
         rows = rows.filter(F.col("service") == req.service)
     if req.severity:
-        rows = rows.filter(F.lower("severity") == F.lower(F.lit(req.severity)))
+        fold = lambda text: F.lower(F.upper(text))  # noqa: E731  also folds U+017F, as decoding does
+        rows = rows.filter(fold(F.col("severity")) == fold(F.lit(req.severity)))
     if req.search:
         rows = rows.filter(contains_folded(F.col("message"), req.search))
     return rows
@@ -172,11 +173,6 @@ class ScanBudgetExceeded(RuntimeError):
 
 def within_scan_budget(rows: DataFrame, max_rows: int) -> DataFrame:
     """The rows unchanged, or an error when a scan would read too many."""
-    seen = rows.select(F.lit(1))
-    # Reading stops early for a small budget; a large one is counted in place.
-    scanned = len(seen.take(max_rows + 1)) if max_rows < DEEP_PAGE else seen.count()
-    if scanned > max_rows:
-        raise ScanBudgetExceeded(
-            f"cold query exceeds {max_rows}-event scan limit; narrow the time range or filters"
-        )
+    if rows.select(F.lit(1)).limit(max_rows + 1).count() > max_rows:
+        raise ScanBudgetExceeded(f"more than {max_rows} archived rows to read: choose a shorter range")
     return rows

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 DEFAULT_LIMIT = 100
 MAX_LIMIT = 10_000
@@ -19,6 +19,11 @@ RELATIVE_RANGES = {
 }
 
 
+def _naive(time: datetime) -> datetime:
+    """The time in UTC without a zone, as tables hold it."""
+    return time.astimezone(timezone.utc).replace(tzinfo=None) if time.tzinfo else time
+
+
 @dataclass(frozen=True)
 class SearchRequest:
     service: str = ""
@@ -33,11 +38,11 @@ class SearchRequest:
         """Fill the defaults relative to `as_of` and bound the page size."""
         if self.offset < 0:
             raise ValueError("offset must not be negative")
-        end = self.end or as_of
+        end = _naive(self.end or as_of)
         return replace(
             self,
             end=end,
-            start=self.start or end - DEFAULT_RANGE,
+            start=_naive(self.start) if self.start else end - DEFAULT_RANGE,
             limit=min(self.limit, MAX_LIMIT) if self.limit > 0 else DEFAULT_LIMIT,
         )
 
@@ -46,6 +51,10 @@ class SearchRequest:
         span = RELATIVE_RANGES.get(name, DEFAULT_RANGE)
         return cls(start=as_of - span, end=as_of, **filters)
 
+    def clamped(self) -> bool:
+        """Whether the page is smaller than asked for."""
+        return self.limit > MAX_LIMIT
+
     @property
     def page(self) -> int:
         """Zero-based page number of a resolved request."""

@@ -166,7 +166,7 @@ TIMELINE = """SELECT time_bucket(INTERVAL {bucket}, timestamp) AS bucket, count(
   WHERE timestamp >= TIMESTAMP '2024-01-31' - INTERVAL {hours} HOUR AND timestamp <= TIMESTAMP '2024-01-31'
   {more} GROUP BY 1"""
 HOT_MATCH = """timestamp >= TIMESTAMP '2024-01-24 00:00:01' AND timestamp <= TIMESTAMP '2024-01-31'
-  AND service = 'payment' AND severity = 'ERROR' AND contains(lower(message), 'timed out')"""
+  AND service = 'billing' AND severity = 'ERROR' AND contains(lower(message), 'timed out')"""
 COLUMNS = "event_id, timestamp, service, severity, message, attributes, trace_id, source, region, version"
 MERGED = f"""merged AS (
   SELECT {COLUMNS} FROM logs_hot WHERE timestamp >= TIMESTAMP '2024-01-24' AND timestamp <= TIMESTAMP '2024-01-31'
@@ -200,17 +200,18 @@ ORACLES: dict[str, str] = {
     "cold_scan": sql(WIRE, GOOD, f"SELECT {COLUMNS} FROM good"),
     "cold_scan_pruned": sql(
         WIRE, GOOD,
-        """SELECT event_id, timestamp, severity, message FROM good WHERE service = 'payment'
+        """SELECT event_id, timestamp, severity, message FROM good WHERE service = 'billing'
   AND timestamp BETWEEN TIMESTAMP '2024-01-10 06:00:00' AND TIMESTAMP '2024-01-12 18:00:00'""",
     ),
     "scan_budget": sql(
         WIRE, RAW, ROUTED,
-        "SELECT day, count(*) AS scanned FROM routed WHERE day BETWEEN '2024-01-10' AND '2024-01-12' GROUP BY 1",
+        """SELECT day, count(*) AS scanned FROM routed GROUP BY 1
+  UNION ALL SELECT 'refused', 100 WHERE (SELECT count(*) FROM routed) > 100""",
     ),
     "normalize_events": sql(WIRE, HOT, f"SELECT {COLUMNS} FROM logs_hot"),
     "hot_scan": sql(WIRE, HOT, f"SELECT {COLUMNS} FROM logs_hot"),
     "list_partitions": sql(
-        WIRE, RAW, ROUTED, "SELECT DISTINCT day, service FROM routed WHERE service = 'payment'"
+        WIRE, RAW, ROUTED, "SELECT DISTINCT day, service FROM routed WHERE service = 'billing'"
     ),
     "replay_archive": sql(
         WIRE,
@@ -229,6 +230,11 @@ ORACLES: dict[str, str] = {
         WIRE, HOT,
         f"SELECT {DAY.format('timestamp')} AS day, service, severity, count(*) AS events FROM logs_hot GROUP BY 1, 2, 3",
     ),
+    "hot_append_two_jobs": sql(
+        WIRE, HOT,
+        f"SELECT {DAY.format('timestamp')} AS day, service, severity, count(*) AS events FROM logs_hot GROUP BY 1, 2, 3",
+    ),
+    "archive_two_jobs": sql(WIRE, RAW, ROUTED, "SELECT value, day, service FROM routed"),
     "append_ack": sql(
         WIRE, HOT, "SELECT count(*) AS sent_rows, count(*) AS committed_rows FROM logs_hot"
     ),
@@ -392,16 +398,16 @@ ORACLES: dict[str, str] = {
         """SELECT 'r1' AS rule_id, 'error_rate' AS condition, service, window_start, total,
     round(error_rate, 6) AS value, 0.12::DOUBLE AS threshold FROM days WHERE total >= 20 AND error_rate >= 0.12::DOUBLE
   UNION ALL SELECT 'r2', 'error_rate', service, window_start, total, round(error_rate, 6), 0.05::DOUBLE FROM halves
-    WHERE service = 'payment' AND total >= 10 AND error_rate >= 0.05::DOUBLE
+    WHERE service = 'billing' AND total >= 10 AND error_rate >= 0.05::DOUBLE
   UNION ALL SELECT 'r3', 'event_volume', service, window_start, total, CAST(total AS DOUBLE), 40.0::DOUBLE FROM days
     WHERE total >= 40
   UNION ALL SELECT 'r4', 'latency_p99', service, window_start, total, round(p99, 6), 60.0::DOUBLE FROM days
-    WHERE service = 'search' AND total >= 5 AND p99 >= 60""",
+    WHERE service = 'lookup' AND total >= 5 AND p99 >= 60""",
     ),
     # aggregations
     "timeline_5m": sql(WIRE, HOT, TIMELINE.format(bucket="5 MINUTE", hours=168, more="")),
     "timeline_1h": sql(
-        WIRE, HOT, TIMELINE.format(bucket="1 HOUR", hours=720, more="AND service = 'payment'")
+        WIRE, HOT, TIMELINE.format(bucket="1 HOUR", hours=720, more="AND service = 'billing'")
     ),
     "aggregates": sql(WIRE, HOT, COUNTS, "SELECT service, severity, n AS count FROM counts"),
     "summary": sql(
@@ -441,8 +447,9 @@ ORACLES: dict[str, str] = {
     ),
     "ingest_outcome": sql(
         WIRE, SENT_EVENTS,
-        """SELECT request_id, count(*) FILTER (WHERE service != '' AND message != '') AS accepted,
-    count(*) FILTER (WHERE service = '' OR message = '') AS failed FROM sent GROUP BY 1""",
+        """SELECT request_id, count(*) FILTER (WHERE service != '' AND message != '' AND request_id % 40 NOT IN (7, 9)) AS accepted,
+    count(*) FILTER (WHERE (service = '' OR message = '') AND request_id % 40 NOT IN (7, 9)) AS failed,
+    CASE WHEN request_id % 40 = 7 THEN 'unmarshal: not a request' END AS refused FROM sent GROUP BY 1""",
     ),
     "ingest_by_service": sql(
         WIRE, SENT_EVENTS,

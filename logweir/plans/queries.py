@@ -20,6 +20,8 @@ from logweir.plans.tables import (
     AS_OF,
     DETECTION,
     archive,
+    fill_archive,
+    fresh,
     line_files,
     logs_dup,
     logs_hot,
@@ -47,7 +49,7 @@ def query(fn: Query, name: str = "") -> Query:
 
 
 HOT_REQUEST = SearchRequest(
-    service="payment", severity="ERROR", search="TIMED out",
+    service="billing", severity="ERROR", search="TIMED out",
     start=datetime(2024, 1, 24, 0, 0, 1), end=AS_OF, limit=20, offset=5,
 )
 COLD_REQUEST = SearchRequest(
@@ -60,9 +62,9 @@ MERGED_REQUEST = SearchRequest(
 REQUEST_EVENTS = 20
 RULES = [
     AlertRule("r1", "errors", "", "error_rate", 0.12, 1440, 20),
-    AlertRule("r2", "payment errors", "payment", "error_rate", 0.05, 720, 10),
+    AlertRule("r2", "billing errors", "billing", "error_rate", 0.05, 720, 10),
     AlertRule("r3", "volume", "", "event_volume", 40.0, 1440, 1),
-    AlertRule("r4", "slow", "search", "latency_p99", 60.0, 1440, 5),
+    AlertRule("r4", "slow", "lookup", "latency_p99", 60.0, 1440, 5),
     AlertRule("r5", "off", "", "event_volume", 0.0, 1440, 0, enabled=False),
 ]
 
@@ -110,18 +112,24 @@ def cold_scan(spark, sf_dir):
 def cold_scan_pruned(spark, sf_dir):
     return cold_store.scan_archive(
         spark, archive(spark, sf_dir), datetime(2024, 1, 10, 6), datetime(2024, 1, 12, 18),
-        service="payment", layout=ARCHIVE_LAYOUT,
+        service="billing", layout=ARCHIVE_LAYOUT,
     ).select("event_id", "timestamp", "severity", "message")
 
 
 @query
 def scan_budget(spark, sf_dir):
-    lines = cold_store.read_archive(
-        spark, archive(spark, sf_dir), datetime(2024, 1, 10), datetime(2024, 1, 12), layout=ARCHIVE_LAYOUT
-    )
-    return search.within_scan_budget(lines, 1_000_000_000).groupBy("day").agg(
+    """The whole archive within a budget of a billion lines, and a row for a budget that it exceeds."""
+    lines = cold_store.read_archive(spark, archive(spark, sf_dir), layout=ARCHIVE_LAYOUT)
+    allowed = search.within_scan_budget(lines, 1_000_000_000).groupBy("day").agg(
         F.count("*").alias("scanned")
     ).select(F.col("day").cast("string").alias("day"), "scanned")
+    try:
+        refused = search.within_scan_budget(lines, 100).limit(0)
+    except search.ScanBudgetExceeded:
+        refused = lines.limit(1)
+    return allowed.unionByName(
+        refused.select(F.lit("refused").alias("day"), F.lit(100).cast("bigint").alias("scanned"))
+    )
 
 
 @query
@@ -137,19 +145,17 @@ def hot_scan(spark, sf_dir):
 @query
 def list_partitions(spark, sf_dir):
     return cold_store.list_partitions(
-        spark, archive(spark, sf_dir), "payment", ARCHIVE_LAYOUT
+        spark, archive(spark, sf_dir), "billing", ARCHIVE_LAYOUT
     ).select(F.col("day").cast("string").alias("day"), "service")
 
 
 @query
 def replay_archive(spark, sf_dir):
     """The archive through the current parser into a fresh hot table."""
-
-    def write(path: str) -> None:
-        events = cold_store.scan_archive(spark, archive(spark, sf_dir), layout=ARCHIVE_LAYOUT)
-        hot_store.append_hot(normalize.normalize(events, AS_OF), path)
-
-    return hot_store.read_hot(spark, once(spark, sf_dir, "replayed", write)).select(*LOG_COLUMNS)
+    path = fresh(spark, "replayed")
+    events = cold_store.scan_archive(spark, archive(spark, sf_dir), layout=ARCHIVE_LAYOUT)
+    hot_store.append_hot(normalize.normalize(events, AS_OF), path)
+    return hot_store.read_hot(spark, path).select(*LOG_COLUMNS)
 
 
 @query
@@ -183,15 +189,42 @@ def _hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hot_append(spark, sf_dir):
-    return hot_store.read_hot(spark, _hot_table(spark, sf_dir)).groupBy(
-        F.col("day").cast("string").alias("day"), "service", "severity"
-    ).agg(F.count("*").alias("events"))
+    path = fresh(spark, "hot")
+    hot_store.append_hot(logs_hot(spark, sf_dir), path)
+    return _by_day(hot_store.read_hot(spark, path))
+
+
+def _by_day(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(F.col("day").cast("string").alias("day"), "service", "severity").agg(
+        F.count("*").alias("events")
+    )
+
+
+@query
+def hot_append_two_jobs(spark, sf_dir):
+    """Thirds of the rows by two jobs with the same batch number, one of them twice, and a plain append."""
+    path, rows = fresh(spark, "hot"), logs_hot(spark, sf_dir)
+    third = F.col("event_id").cast("bigint") % 3
+    for part, job in ((0, "a"), (1, "b"), (1, "b")):
+        hot_store.append_hot(rows.filter(third == part), path, batch=0, job=job)
+    hot_store.append_hot(rows.filter(third == 2), path)
+    return _by_day(hot_store.read_hot(spark, path))
+
+
+@query
+def archive_two_jobs(spark, sf_dir):
+    """The same for the archive."""
+    path, lines = fresh(spark, "archive"), logs_raw(spark, sf_dir)
+    for part, job, batch in ((0, "a", 0), (1, "b", 0), (1, "b", 0), (2, "", None)):
+        here = lines.filter(F.col("pos") % 3 == part).select("value")
+        cold_store.write_archive(here, path, AS_OF, ARCHIVE_LAYOUT, batch=batch, job=job)
+    return _archived(spark, path)
 
 
 @query
 def append_ack(spark, sf_dir):
     """Rows sent and rows found, for a batch that is written twice."""
-    path = f"{workspace(spark)}/ack-{uuid.uuid4().hex}"
+    path = fresh(spark, "ack")
     for _ in range(2):
         sent = hot_store.append_hot(logs_hot(spark, sf_dir), path, batch=7, job="ack")
     return hot_store.read_hot(spark, path).agg(
@@ -209,17 +242,19 @@ def hot_retention(spark, sf_dir):
 
 @query
 def archive_write(spark, sf_dir):
-    return cold_store.read_archive(spark, archive(spark, sf_dir), layout=ARCHIVE_LAYOUT).select(
+    return _archived(spark, fill_archive(spark, sf_dir, fresh(spark, "archive")))
+
+
+def _archived(spark: SparkSession, path: str) -> DataFrame:
+    return cold_store.read_archive(spark, path, layout=ARCHIVE_LAYOUT).select(
         "value", F.col("day").cast("string").alias("day"), "service"
     )
 
 
 @query
 def archive_normalized(spark, sf_dir):
-    path = once(
-        spark, sf_dir, "archive_normalized",
-        lambda p: cold_store.write_normalized_archive(logs_hot(spark, sf_dir), p, ARCHIVE_LAYOUT),
-    )
+    path = fresh(spark, "archive-normalized")
+    cold_store.write_normalized_archive(logs_hot(spark, sf_dir), path, ARCHIVE_LAYOUT)
     return cold_store.scan_archive(spark, path, layout=ARCHIVE_LAYOUT)
 
 
@@ -520,7 +555,7 @@ def timeline_5m(spark, sf_dir):
 
 @query
 def timeline_1h(spark, sf_dir):
-    return aggregates.timeline(_hot(spark, sf_dir), AS_OF, hours=720, service="payment")
+    return aggregates.timeline(_hot(spark, sf_dir), AS_OF, hours=720, service="billing")
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -572,7 +607,12 @@ def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ingest_outcome(spark, sf_dir):
-    return ingest.request_outcome(_arrivals(spark, sf_dir), "request_id")
+    """Some of the requests are broken, some are empty."""
+    number = F.col("request_id") % 40
+    requests = _requests(spark, sf_dir).withColumn(
+        "body", F.when(number == 7, "{bad").when(number == 9, '{"events":[]}').otherwise(F.col("body"))
+    )
+    return ingest.request_outcome(ingest.validate(ingest.explode_requests(requests)), "request_id")
 
 
 @query

@@ -6,6 +6,7 @@ from the very same rows.
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,24 +33,24 @@ ARCHIVE_LAYOUT = ("day", "service")
 
 WIRE_SQL = """
 SELECT CAST(event_id AS STRING) AS event_id, ts AS timestamp,
-  CASE user_id % 10 WHEN 0 THEN 'payment' WHEN 1 THEN 'auth' WHEN 2 THEN 'inventory'
-    WHEN 3 THEN 'shipping' WHEN 4 THEN 'notification' WHEN 5 THEN 'user-service'
-    WHEN 6 THEN 'order-service' WHEN 7 THEN 'search' WHEN 8 THEN 'recommendation'
-    ELSE 'analytics' END AS service,
+  CASE user_id % 10 WHEN 0 THEN 'billing' WHEN 1 THEN 'login' WHEN 2 THEN 'stock'
+    WHEN 3 THEN 'dispatch' WHEN 4 THEN 'mailer' WHEN 5 THEN 'profiles'
+    WHEN 6 THEN 'baskets' WHEN 7 THEN 'lookup' WHEN 8 THEN 'hints'
+    ELSE 'reports' END AS service,
   CASE event_type
     WHEN 'error' THEN CASE event_id % 3 WHEN 0 THEN 'err' WHEN 1 THEN ' Error ' ELSE 'CRITICAL' END
     WHEN 'signup' THEN 'information' WHEN 'purchase' THEN 'Warn' WHEN 'view' THEN 'trace'
     ELSE CASE event_id % 2 WHEN 0 THEN '' ELSE 'notice' END END AS severity,
   CASE event_type
-    WHEN 'error' THEN concat('payment ', substr(md5(CAST(event_id AS STRING)), 1, 12),
+    WHEN 'error' THEN concat('billing ', substr(md5(CAST(event_id AS STRING)), 1, 12),
       ' timed out after ', CAST(event_id % 5000 AS STRING), ' ms from 10.0.',
       CAST(user_id % 256 AS STRING), '.', CAST(event_id % 256 AS STRING),
       ' token=', CAST(event_id AS STRING))
     WHEN 'signup' THEN concat('user', CAST(user_id AS STRING), '@example.com authenticated')
     WHEN 'purchase' THEN concat('card 4111-1111-1111-',
       substr(CAST(10000 + event_id % 10000 AS STRING), 2, 4), ' charged')
-    WHEN 'view' THEN 'cache miss for key'
-    ELSE 'request processed successfully' END AS message,
+    WHEN 'view' THEN 'no cached value for key'
+    ELSE 'request finished' END AS message,
   CASE WHEN event_id % 7 = 0 THEN concat('{"http.status_code":',
       CAST(200 + event_id % 300 AS STRING), ',"api_token":"t', CAST(event_id AS STRING), '"}')
     ELSE props END AS attributes,
@@ -86,12 +87,9 @@ SELECT * FROM {logs} WHERE CAST(event_id AS BIGINT) % 20 = 0
 """
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """A given table. One that is a single small file is spread over the cores;
-    a large one already comes in more partitions than that."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table, in the partitions that the session's file settings give it."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _sql(spark: SparkSession, text: str, source: DataFrame) -> DataFrame:
@@ -100,9 +98,9 @@ def _sql(spark: SparkSession, text: str, source: DataFrame) -> DataFrame:
     return spark.sql(text, source=source)
 
 
-def logs_wire(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
+def logs_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    events = table(spark, sf_dir, "events", spread)
+    events = table(spark, sf_dir, "events")
     return _sql(spark, WIRE_SQL.replace("FROM events", "FROM \0"), events)
 
 
@@ -161,14 +159,19 @@ def once(spark: SparkSession, sf_dir: str, name: str, write) -> str:
     return _written[key]
 
 
-def archive(spark: SparkSession, sf_dir: str) -> str:
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new folder for one run of a query whose work is the writing."""
+    return f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def fill_archive(spark: SparkSession, sf_dir: str, path: str) -> str:
     """The raw lines as an archive."""
+    write_archive(logs_raw(spark, sf_dir).select("value"), path, AS_OF, ARCHIVE_LAYOUT)
+    return path
 
-    def write(path: str) -> None:
-        lines = logs_raw(spark, sf_dir).select("value")
-        write_archive(lines, path, AS_OF, ARCHIVE_LAYOUT)
 
-    return once(spark, sf_dir, "archive", write)
+def archive(spark: SparkSession, sf_dir: str) -> str:
+    return once(spark, sf_dir, "archive", lambda path: fill_archive(spark, sf_dir, path))
 
 
 def line_files(
@@ -179,7 +182,7 @@ def line_files(
     Returns the folder and the number of files of a step, which a trigger has to
     take together: within a step files have no order.
     """
-    logs = logs_wire(spark, sf_dir, spread=False)
+    logs = logs_wire(spark, sf_dir)
     lines = _raw(spark, _dup(spark, logs) if duplicates else logs)
     files = lines.rdd.getNumPartitions()
 
