@@ -189,7 +189,8 @@ def mix_sizes(docs: DataFrame, block: int = 128, per_shard: int = 4096, seed: in
     rows = placed(slim, sources, ["doc_id", "source"])
     chosen = slots(spark, sources, seed, per_shard).select(F.col("s").alias("c_s"), F.col("block").alias("c_block"))
     parts = pieces(rows, block)
-    taken = parts.join(chosen, (F.col("s") == F.col("c_s")) & (F.col("block") == F.col("c_block")), "left")
+    # Spark can't know that the slots are as many as the blocks: it would send them all to every task.
+    taken = parts.join(chosen.hint("merge"), (F.col("s") == F.col("c_s")) & (F.col("block") == F.col("c_block")), "left")
     # `at` tells the rows of a source apart, also repeated ones: documents with words never share it.
     taken = taken.groupBy("doc_id", "s", "size", "at").agg(
         F.sum(F.when(F.col("c_s").isNotNull(), F.col("words")).otherwise(0)).alias("taken")
@@ -216,7 +217,7 @@ def mix(docs: DataFrame, block: int = 128, per_shard: int = 4096, seed: int = 17
         F.array_join(F.slice(own, (F.col("first") + 1).cast("int"), F.col("words").cast("int")), "").alias("text"),
     )
     chosen = slots(docs.sparkSession, sources, seed, per_shard).select("shard", "pass_no", F.col("s").alias("c_s"), F.col("block").alias("c_block"))
-    return parts.join(chosen, (F.col("s") == F.col("c_s")) & (F.col("block") == F.col("c_block"))).drop("c_s", "c_block")
+    return parts.join(chosen.hint("merge"), (F.col("s") == F.col("c_s")) & (F.col("block") == F.col("c_block"))).drop("c_s", "c_block")
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
