@@ -193,7 +193,7 @@ def line_quality(
             if weights is None:
                 out = np.full(batch.num_rows, float(sizes[1] > 0))
             else:
-                x = np.array([field.quality(*line_features(t.as_py())) for t in batch.column("text")]).reshape(batch.num_rows, -1)
+                x = np.array([field.quality(*line_features(t.as_py())) for t in batch.column("text")]).reshape(batch.num_rows, len(weights) - 1)
                 out = apply_logistic(weights, x)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(out, pa.float64())})
 

@@ -162,17 +162,17 @@ def toxicity(
                 yield pa.record_batch({"x": pa.array(x, pa.list_(pa.float64())), "label": batch.column("label")})
 
         found = rows.select("text", "label").mapInArrow(measure, "x array<double>, label int").collect()  # 2 * per_class rows at most
-        x, y = np.array([r["x"] for r in found]).reshape(len(found), -1), np.array([r["label"] for r in found], float)
+        x, y = np.array([r["x"] for r in found]).reshape(len(found), 1 + len(WINDOWS)), np.array([r["label"] for r in found], float)
         # The classes weigh as in the whole of the labels, not as in the bounded sample.
         weight = np.where(y == 1, sizes[1] / max(y.sum(), 1), sizes[0] / max((1 - y).sum(), 1))
-        weights = logistic(x, y, weight)
+        weights = logistic(x, y, weight) if len(set(y)) == 2 else None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if weights is None:
                 out = np.zeros(batch.num_rows)
             else:
-                x = np.array([sent.value.features(t.as_py()) for t in batch.column("text")]).reshape(batch.num_rows, -1)
+                x = np.array([sent.value.features(t.as_py()) for t in batch.column("text")]).reshape(batch.num_rows, len(weights) - 1)
                 out = apply_logistic(weights, x)
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(out, pa.float64())})
 
