@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweir.functions.text import fingerprint, fixed2, is_error, message_template
-from logweir.functions.times import interval, seconds, time_slice, window_start
+from logweir.functions.times import interval, parse_rfc3339, seconds, time_slice, window_start
 from logweir.operators.aggregates import error_events
 from logweir.operators.metrics import order_statistics
 from logweir.operators.running import running_totals
@@ -262,6 +262,21 @@ def alert_records(alerts: DataFrame) -> DataFrame:
     return alerts.select(F.col("fingerprint").alias("key"), F.to_json(F.struct(*fields)).alias("value"))
 
 
+def decode_alerts(records: DataFrame, value: str = "value") -> DataFrame:
+    """Alerts of the alert topic. A record that is no alert keeps its other columns
+    and says so in `error`; whoever notifies skips it."""
+    text = "STRING"
+    kinds = {c: "DOUBLE" if c == "value" else text for c in ALERT_COLUMNS}
+    schema = ", ".join(f"{c} {kind}" for c, kind in kinds.items()) + ", _bad STRING"
+    parsed = F.from_json(value, schema, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    others = [c for c in records.columns if c != value]
+    rows = records.select(*others, parsed.alias("_alert"))
+    time = parse_rfc3339(F.col("_alert.triggered_at"))
+    good = F.col("_alert").isNotNull() & F.col("_alert._bad").isNull() & time.isNotNull()
+    fields = [F.when(good, time if c == "triggered_at" else F.col(f"_alert.{c}")).alias(c) for c in ALERT_COLUMNS]
+    return rows.select(*others, *fields, F.when(~good, F.lit("unmarshal: not an alert")).alias("error"))
+
+
 def rules_table(spark: SparkSession, rules: list[AlertRule]) -> DataFrame:
     if len(rules) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")

@@ -69,7 +69,8 @@ def _with_percentiles(
 ) -> DataFrame:
     ranks = order_statistics(samples, keys, value, {f"{n}_ms": p for n, p in PERCENTILES.items()})
     stats = basic.join(ranks, keys, "left")
-    return stats.fillna(0.0, [f"{n}_ms" for n in PERCENTILES])
+    # fillna() would take NaN for a missing value too.
+    return stats.withColumns({f"{n}_ms": F.coalesce(f"{n}_ms", F.lit(0.0)) for n in PERCENTILES})
 
 
 def last_samples(samples: DataFrame, keys: list[str], order: list[Column], n: int = 1000) -> DataFrame:

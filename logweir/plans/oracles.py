@@ -57,6 +57,7 @@ TEXTS = """texts AS (
   SELECT concat('e', event_id) AS id, message AS text FROM logs_wire
   UNION ALL SELECT concat('d', doc_id), text FROM documents
   UNION ALL SELECT concat('c', conv_id, '.', turn), text FROM conversations)"""
+WHOLE_ALERT = "CAST(floor(epoch(triggered_at)) AS BIGINT) % 3 <> 0"
 PREVIEW = "CASE WHEN length({0}) > 120 THEN concat(substr({0}, 1, 120), '...') ELSE {0} END"
 SAMPLES = """samples AS (
   SELECT user_id % 10 AS worker, ts, event_id, value AS latency_ms, CAST(1 AS BIGINT) AS sent,
@@ -267,6 +268,18 @@ ORACLES: dict[str, str] = {
         """SELECT id AS alert_id, service, rule_id AS rule, severity, message, value, fingerprint, triggered_at,
     status FROM recurring""",
     ),
+    "decode_alerts": sql(
+        WIRE, *recurring("logs_wire"),
+        f"""SELECT fingerprint AS key, {", ".join(
+            f"CASE WHEN {WHOLE_ALERT} THEN {c} END AS {c}" for c in
+            ("id", "rule_id", "service", "fingerprint", "severity", "value", "message", "triggered_at", "status"))},
+    CASE WHEN NOT ({WHOLE_ALERT}) THEN 'unmarshal: not an alert' END AS error FROM recurring""",
+    ),
+    "stream_notifications": sql(
+        WIRE, *recurring("logs_wire"),
+        f"""SELECT id AS alert_id, service, rule_id AS rule, severity, message, value, fingerprint, triggered_at,
+    status FROM recurring WHERE {WHOLE_ALERT}""",
+    ),
     # projections
     "decode_strict": sql(
         WIRE,

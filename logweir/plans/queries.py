@@ -31,7 +31,7 @@ from logweir.plans.tables import (
     samples,
     table,
 )
-from logweir.schema import LOG_COLUMNS
+from logweir.schema import ALERT_COLUMNS, LOG_COLUMNS
 from logweir.session import configure, workspace
 from logweir.sources import archive as cold_store
 from logweir.sources import hot as hot_store
@@ -282,6 +282,19 @@ def notification_payload(spark, sf_dir):
     return detection.notification_payload(recurring_errors(spark, sf_dir))
 
 
+def _alert_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert records, those of every third second cut short."""
+    alerts = recurring_errors(spark, sf_dir)
+    records = detection.alert_records(alerts)
+    broken = F.get_json_object("value", "$.triggered_at").try_cast("timestamp").cast("long") % 3 == 0
+    return records.select("key", F.when(broken, F.expr("left(value, 20)")).otherwise(F.col("value")).alias("value"))
+
+
+@query
+def decode_alerts(spark, sf_dir):
+    return detection.decode_alerts(_alert_topic(spark, sf_dir))
+
+
 # --- projections -------------------------------------------------------------
 
 
@@ -840,6 +853,18 @@ def stream_cooldown(spark, sf_dir):
     return spark.read.parquet(run.write(stream)).select("id", "fingerprint", "triggered_at")
 
 
+@query
+def stream_notifications(spark, sf_dir):
+    """The alert topic through decoding and cooldown to what is sent."""
+    run = _Run(spark, sf_dir)
+    topic = run.path("alerts")
+    _alert_topic(spark, sf_dir).select("value").write.text(topic)
+    alerts = detection.decode_alerts(file_source(run.session, topic, 1)).filter("error IS NULL")
+    stream = jobs.cooldown_stream(alerts, DETECTION.alert_cooldown, DELAY)
+    sent = spark.read.schema(stream.schema).parquet(run.write(stream))
+    return detection.notification_payload(sent.select(*ALERT_COLUMNS))
+
+
 @query
 def stream_dedup(spark, sf_dir):
     run = _Run(spark, sf_dir, dup=True)

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from datetime import datetime, timedelta
@@ -258,6 +259,12 @@ def test_percentiles(spark):
     assert (empty.samples, empty.p50_ms, empty.max_ms) == (0, 0.0, 0.0)
 
 
+def test_nan_sorts_last(spark):
+    df = spark.createDataFrame([("a", v) for v in (1.0, float("nan"), 2.0, -3.0)], "worker STRING, latency_ms DOUBLE")
+    row = metrics.latency_stats(df, ["worker"]).first()
+    assert row.p50_ms == 2.0 and math.isnan(row.p99_ms)
+
+
 def test_histogram_quantile(spark):
     data = [("a", 0.5)] * 50 + [("a", 1.5)] * 40 + [("a", 99.0)] * 10 + [("b", 0.2)] * 10
     df = spark.createDataFrame(data, "k STRING, v DOUBLE")

@@ -63,6 +63,13 @@ def test_blank_is_not_empty(spark):
     assert [r.valid for r in ingest.validate(rows).collect()] == [True, False, False, True]
 
 
+def test_refused_requests_are_told_from_empty_ones(spark):
+    rows = ingest.explode_requests(requests(spark, ["{bad", '{"events":[]}']))
+    name = [c for c in rows.columns if c.startswith("request")][0]
+    out = ingest.request_outcome(ingest.validate(rows), name).collect()
+    assert sorted((r.accepted, r.failed, r.refused or "") for r in out) == [(0, 0, ""), (0, 0, "unmarshal: not a request")]
+
+
 def test_keyed(spark):
     rows = ingest.with_defaults(ingest.explode_requests(requests(spark, [json.dumps({"events": [event(source="s")]})])), NOW)
     got = ingest.keyed(rows).collect()[0]

@@ -1,5 +1,5 @@
 from dataclasses import replace
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -34,6 +34,12 @@ def ids(df):
     return [r.event_id for r in df.collect()]
 
 
+def test_aware_times_are_utc():
+    zone = timezone(timedelta(hours=2))
+    req = search.SearchRequest(start=datetime(2024, 1, 1, 12, tzinfo=zone), limit=20_000).resolved(datetime(2024, 1, 2))
+    assert req.start == datetime(2024, 1, 1, 10) and req.limit == 10_000
+
+
 def test_request_defaults():
     req = SearchRequest().resolved(AS_OF)
     assert (req.start, req.end, req.limit) == (AS_OF - timedelta(days=1), AS_OF, 100)

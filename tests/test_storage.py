@@ -186,6 +186,14 @@ def test_reconcile_and_duplicates(spark):
     assert quality.dedup_events(copies).count() == 60
 
 
+def test_events_without_an_id_are_not_copies(spark):
+    rows = spark.createDataFrame(
+        [("", 1, "a"), ("", 1, "b"), (None, 2, "c"), ("x", 3, "z"), ("x", 3, "d"), ("x", 2, "e")],
+        "event_id STRING, timestamp INT, message STRING",
+    )
+    assert sorted(r.message for r in quality.dedup_events(rows).collect()) == ["a", "b", "c", "e"]
+
+
 def test_dedup_limits_copies_before_the_shuffle(spark):
     plan = quality.dedup_events(spark.range(10_000).select((F.col("id") % 3).alias("event_id"), F.col("id").alias("timestamp")))
     text = plan._jdf.queryExecution().executedPlan().toString()
