@@ -72,6 +72,21 @@ def reconcile(hot: DataFrame, cold: DataFrame) -> DataFrame:
     )
 
 
+def cross_check(accepted: DataFrame, processed: DataFrame, dead: DataFrame, archived: DataFrame) -> DataFrame:
+    """Events of each day and service by fate: what was accepted has to be archived, and
+    to be processed or dead-lettered. Every input needs `day` and `service` per event."""
+    fates = {"accepted": accepted, "processed": processed, "dead_lettered": dead, "archived": archived}
+    marked = None
+    for fate, rows in fates.items():
+        own = rows.select("day", "service", F.lit(fate).alias("fate"))
+        marked = own if marked is None else marked.unionByName(own)
+    counts = marked.groupBy("day", "service").agg(*[F.count_if(F.col("fate") == f).alias(f) for f in fates])
+    complete = (F.col("accepted") == F.col("archived")) & (
+        F.col("accepted") == F.col("processed") + F.col("dead_lettered")
+    )
+    return counts.withColumn("balanced", complete)
+
+
 def missing_events(expected: DataFrame, found: DataFrame) -> DataFrame:
     """Ids of `expected` that `found` lacks."""
     return presence(expected, found).filter(

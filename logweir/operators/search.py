@@ -64,6 +64,18 @@ def attribute_at_least(name: str, minimum: int) -> Column:
     return value >= minimum
 
 
+def attribute_equals(name: str, text: str) -> Column:
+    """Predicate on an attribute's text: a number or boolean compares as it prints."""
+    value = F.try_variant_get(F.try_parse_json("attributes"), f"$['{name}']", "string")
+    return value == text
+
+
+def attribute_contains(name: str, text: str) -> Column:
+    """Predicate on a part of an attribute's text, whatever its case."""
+    value = F.try_variant_get(F.try_parse_json("attributes"), f"$['{name}']", "string")
+    return contains_folded(value, text)
+
+
 def newest_first() -> list[Column]:
     return [F.desc("timestamp"), F.desc("event_id")]
 

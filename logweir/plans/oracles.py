@@ -375,6 +375,11 @@ ORACLES: dict[str, str] = {
         WIRE, HOT,
         """SELECT event_id, service FROM logs_hot
   WHERE CAST(json_extract_string(attributes, '$."http.status_code"') AS BIGINT) >= 400""",
+    ),
+    "attribute_text_filter": sql(
+        WIRE, HOT,
+        f"""SELECT 'exact' AS match, event_id FROM logs_hot WHERE {NUMBER} % 7 = 0 AND {STATUS} = 404
+  UNION ALL SELECT 'part', event_id FROM logs_hot WHERE {NUMBER} % 7 = 0""",
     ),
     "search_hot": sql(
         WIRE, HOT,
@@ -405,6 +410,13 @@ ORACLES: dict[str, str] = {
         """SELECT CASE WHEN c.event_id IS NULL THEN 'hot_only' WHEN h.event_id IS NULL THEN 'cold_only' ELSE 'both' END
     AS status, count(*) AS events, count(h.event_id) AS hot_rows, count(c.event_id) AS cold_rows
   FROM logs_hot h FULL OUTER JOIN good c ON h.event_id = c.event_id GROUP BY 1""",
+    ),
+    "cross_check": sql(
+        WIRE, RAW, ROUTED,
+        """SELECT day, service, count(*) AS accepted, count(*) FILTER (WHERE NOT bad) AS processed,
+    count(*) FILTER (WHERE bad) AS dead_lettered, count(*) AS archived, true AS balanced
+  FROM (SELECT r.day, r.service, p.pos % 100 < 5 AS bad FROM routed r JOIN logs_raw p ON r.value = p.value AND p.pos % 100 <> 0
+    UNION ALL SELECT r.day, r.service, true FROM routed r WHERE r.value = '{bad') GROUP BY 1, 2""",
     ),
     "rule_table": sql(
         WIRE, f"days AS ({window_values('1 DAY')})", f"halves AS ({window_values('12 HOUR')})",

@@ -485,6 +485,14 @@ def attribute_filter(spark, sf_dir):
     )
 
 
+@query
+def attribute_text_filter(spark, sf_dir):
+    rows = _hot(spark, sf_dir)
+    exact = rows.filter(search.attribute_equals("http.status_code", "404")).select(F.lit("exact").alias("match"), "event_id")
+    part = rows.filter(search.attribute_contains("api_token", "redact")).select(F.lit("part").alias("match"), "event_id")
+    return exact.unionByName(part)
+
+
 @query
 def search_hot(spark, sf_dir):
     hot, cold = _tiers(spark, sf_dir)
@@ -548,6 +556,24 @@ def reconcile_tiers(spark, sf_dir):
     return quality.reconcile(logs_hot(spark, sf_dir), cold)
 
 
+@query
+def cross_check(spark, sf_dir):
+    lines = logs_raw(spark, sf_dir)
+    decoded = fj.decode_events(lines.select("value"))
+    processed = normalize.accepted(decoded).select(
+        F.to_date("timestamp").alias("day"),
+        F.coalesce(F.nullif("service", F.lit("")), F.lit(cold_store.UNKNOWN_SERVICE)).alias("service"),
+    )
+    dead = normalize.dead_letters(decoded, AS_OF).select(F.col("raw").alias("value"))
+    checked = quality.cross_check(
+        cold_store.routed(lines.select("value"), AS_OF),
+        processed,
+        cold_store.routed(dead, AS_OF),
+        cold_store.read_archive(spark, archive(spark, sf_dir), layout=ARCHIVE_LAYOUT),
+    )
+    return checked.withColumn("day", F.col("day").cast("string"))
+
+
 @query
 def rule_table(spark, sf_dir):
     latencies = table(spark, sf_dir, "events").select(
