@@ -5,12 +5,14 @@ a parity sketch: two sketches differ in at most as many bits as the sets have el
 only one of them. Two sets of at most m elements with a Jaccard index of at least t differ
 in at most d = (1 - t) / (1 + t) * 2m elements. So, for each band of sizes, the sketch is
 cut into more than d segments: of a linked pair at least one segment is equal in both
-(pigeonhole). Documents that share a segment become candidates, a star per segment.
-
-Equal sets are one class from the start. Candidate stars are closed into groups, and a
-group is verified in blocks: inside a task, sketches bound the difference of each pair
-first, then the sets are compared exactly; pairs known to be connected are skipped, and a
-task returns a spanning forest of its links, never all pairs. Groups of any size are split
+(pigeonhole).
+
+Equal sets are one class from the start. Where classes share a segment, short sketches
+bound their differences from below, and pairs beyond d are left out; what remains is closed
+into groups, and a group is verified in blocks: inside a task, longer sketches bound the
+difference of each pair first, then the sets are compared exactly; pairs known to be
+connected are skipped, and a task returns a spanning forest of its links, never all pairs.
+Groups of any size are split
 into blocks of `block` classes, and blocks meet in pairs of the same or neighbouring size
 bands, so no group is one task and no link is lost. Links are closed into components.
 
@@ -46,6 +48,10 @@ PERCENT = 85
 #: Sizes up to which sets of a linked pair must be equal, then bands that grow by half.
 FIRST, GROWTH = 7, 1.5
 SEGMENT_BITS, SKETCH_BITS = 256, 4096
+#: Bits of a short sketch: as many as elements, rounded up to a power of two within these.
+LEAST_BITS, MOST_BITS = 256, 16_384
+#: Classes of one segment that a task compares; of more, all are left to the blocks.
+MOST = 5_000
 #: Texts that are cut into words at once.
 SLICE = 500
 
@@ -123,21 +129,22 @@ def segment_keys(shingles: np.ndarray, edges: list[int]) -> Iterator[np.ndarray]
 
 
 def classes(texts: DataFrame) -> DataFrame:
-    """doc_id, content, n_shingles and class of each row; class is NULL for an empty set."""
+    """doc_id, content, n_shingles, class and short sketch of each row; class is NULL for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [(len(s), class_of(s) if len(s) else None) for s in shingle_sets(batch.column("text"))]
+            own = [(len(s), class_of(s) if len(s) else None, _short(s).tobytes()) for s in shingle_sets(batch.column("text"))]
+            n, names, sketches = zip(*own, strict=True) if own else ((), (), ())
             yield pa.record_batch({
-                "doc_id": batch.column("doc_id"), "content": batch.column("content"),
-                "n_shingles": pa.array([n for n, _ in own], pa.int64()), "class": pa.array([c for _, c in own], pa.int64()),
+                "doc_id": batch.column("doc_id"), "content": batch.column("content"), "n_shingles": pa.array(n, pa.int64()),
+                "class": pa.array(names, pa.int64()), "sketch": pa.array(sketches, pa.binary()),
             })
 
-    return texts.mapInArrow(run, "doc_id bigint, content bigint, n_shingles bigint, class bigint")
+    return texts.mapInArrow(run, "doc_id bigint, content bigint, n_shingles bigint, class bigint, sketch binary")
 
 
-def candidates(texts: DataFrame, longest: int) -> DataFrame:
-    """(a, b): classes that share a segment, as a star around the least of each segment."""
+def meetings(texts: DataFrame, longest: int) -> DataFrame:
+    """(key, class): the classes of every segment that at least two classes share."""
     edges = band_edges(longest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +167,69 @@ def candidates(texts: DataFrame, longest: int) -> DataFrame:
                 yield _keyed(keys, names, sizes)
 
     rows = texts.select("text").mapInArrow(run, "key bigint, class bigint")
-    least = F.first("class").over(Window.partitionBy("key").orderBy("class"))
-    stars = rows.select(F.col("class").alias("a"), least.alias("b")).where("a <> b")
-    return stars.distinct()
+    in_key = Window.partitionBy("key")
+    rows = rows.select(
+        "key", "class", F.lag("class").over(in_key.orderBy("class")).alias("before"),
+        (F.min("class").over(in_key) != F.max("class").over(in_key)).alias("shared"),
+    )
+    # A copy that another task handed on stands next to the first, and goes.
+    return rows.where(F.col("shared") & (F.col("before").isNull() | (F.col("before") != F.col("class")))).select("key", "class")
+
+
+def candidates(met: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b): what connects the classes of a segment whose sketches are near enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, names, sizes, bits, first = None, [], [], [], None
+        for batch in batches:  # sorted by key: a segment is a run of rows
+            found: list[tuple[int, int]] = []
+            for row_key, name, n, sketch in zip(*(batch.column(c).to_pylist() for c in ("key", "class", "n", "sketch")), strict=True):
+                if row_key != key:
+                    found += near(names, sizes, bits)
+                    key, names, sizes, bits, first = row_key, [], [], [], None
+                if first is None and len(names) < MOST:
+                    names.append(name)
+                    sizes.append(n)
+                    bits.append(sketch)
+                else:  # too many to compare here: all stay candidates of the first
+                    first = names[0] if first is None else first
+                    found += [(first, other) for other in [*names[1:], name]]
+                    names, sizes, bits = [], [], []
+            yield _edges(found)
+        yield _edges(near(names, sizes, bits))
+
+    known = sketches.select(F.col("class").alias("k"), F.col("n_shingles").cast("int").alias("n"), "sketch")
+    rows = met.join(known, F.col("class") == F.col("k")).select("key", "class", "n", "sketch")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def near(names: list[int], sizes: list[int], bits: list[bytes]) -> list[tuple[int, int]]:
+    """What connects the pairs whose sketches and sizes allow a link."""
+    if len(names) < 2:
+        return []
+    n = np.array(sizes)
+    least = min(map(len, bits))
+    # A sketch folds into a shorter one, as its bits are remainders by powers of two.
+    sketches = np.array([np.bitwise_xor.reduce(np.frombuffer(b, dtype=np.uint64).reshape(-1, least // 8), axis=0) for b in bits])
+    root = np.arange(len(names))
+    for i in range(len(names) - 1):
+        others = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        if not len(others):
+            continue
+        apart = np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+        apart = np.maximum(apart, np.abs(n[others] - n[i]))
+        for j in others[(100 + PERCENT) * apart <= (100 - PERCENT) * (n[i] + n[others])]:
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+    return _stars(names, root)
+
+
+def _stars(names: list[int], root: np.ndarray) -> list[tuple[int, int]]:
+    """Each connected set as a star around its least name, which labels settle on at once."""
+    least: dict[int, int] = {}
+    for name, r in zip(names, root.tolist(), strict=True):
+        least[r] = min(name, least.get(r, name))
+    return [(least[r], name) for name, r in zip(names, root.tolist(), strict=True) if name != least[r]]
 
 
 def _keyed(keys: list[np.ndarray], names: list[int], sizes: list[int]) -> pa.RecordBatch:
@@ -255,7 +322,6 @@ def verified(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     n = np.array([len(s) for s in sets])
     sketches = np.array([_sketch(s) for s in sets])
     root = np.arange(len(sets))
-    found = []
     for i in range(len(sets) - 1):
         last = int(np.searchsorted(n, 100 * n[i] // PERCENT, side="right"))  # sizes that can still reach the threshold
         others = i + 1 + np.flatnonzero(root[i + 1 : last] != root[i])
@@ -269,12 +335,15 @@ def verified(sets: list[np.ndarray]) -> list[tuple[int, int]]:
             shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if 100 * shared >= PERCENT * (n[i] + n[j] - shared):
                 root[root == root[j]] = root[i]
-                found.append((class_of(sets[i]), class_of(sets[j])))
-    return found
+    return _stars([class_of(s) for s in sets], root)
 
 
-def _sketch(shingles: np.ndarray) -> np.ndarray:
-    parity = np.bincount((shingles % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+def _short(shingles: np.ndarray) -> np.ndarray:
+    return _sketch(shingles, min(MOST_BITS, max(LEAST_BITS, 1 << max(len(shingles) - 1, 0).bit_length())))
+
+
+def _sketch(shingles: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    parity = np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.uint64)
 
 
@@ -285,11 +354,11 @@ def jaccard_join(docs: DataFrame, block: int = 512) -> DataFrame:
     ).withColumn("content", F.xxhash64("text"))
     named = checkpoint(classes(texts))
     longest = int(named.agg(F.max("n_shingles")).first()[0] or 0)
-    stars = checkpoint(candidates(texts, longest))
-    groups = components(stars)
     least = named.where("class is not null").groupBy("class").agg(
-        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "content")).alias("row"), F.min("n_shingles").alias("n_shingles")
-    )
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "content")).alias("row"),
+        F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"),
+    )
+    groups = components(checkpoint(candidates(checkpoint(meetings(texts, longest)), least)))
     grouped = least.join(groups, F.col("class") == F.col("node")).select(
         "row.doc_id", "row.content", "class", "n_shingles", "component"
     )
