@@ -16,9 +16,10 @@ Groups of any size are split
 into blocks of `block` classes, and blocks meet in pairs of the same or neighbouring size
 bands, so no group is one task and no link is lost. Links are closed into components.
 
-A segment that is empty in both documents is equal as well. There are `spare` segments
-beyond d + 1, so a document with at most `spare` empty ones needn't hand these on; one with
-more does. Hence texts do not meet for what both lack, yet no pair is lost.
+Segments with no bit or a single one set are light: many texts share them by chance. There
+are `spare` segments beyond d + 1, so more than `spare` segments of a linked pair are equal,
+and a document with at most `spare` light ones needn't hand these on; one with more does.
+Equal segments are light in both documents or in neither, so no pair is lost.
 
 Classes are told apart by 64-bit hashes of their sets (a chance of n^2 / 2^65 that any two
 of n classes are mixed up).
@@ -104,7 +105,7 @@ def band_edges(longest: int) -> list[int]:
 def segments(band_end: int) -> tuple[int, int]:
     """(segments, spare) for sets of fewer than `band_end` elements."""
     differ = 2 * (band_end - 1) * (100 - PERCENT) // (100 + PERCENT)
-    spare = 2 + (differ + 1) // 50
+    spare = 2 + (differ + 1) // 14
     return differ + 1 + spare, spare
 
 
@@ -116,15 +117,17 @@ def segment_keys(shingles: np.ndarray, edges: list[int]) -> Iterator[np.ndarray]
             continue
         count, spare = segments(high)
         segment = (shingles >> np.uint64(32)) % np.uint64(count)
-        # A bit's part in its segment's key; parts of bits that are set twice cancel, as in the sketch.
-        part = _mixed(segment * np.uint64(SEGMENT_BITS) + shingles % np.uint64(SEGMENT_BITS) + np.uint64(1))
-        order = np.argsort(segment, kind="stable")
-        segment, part = segment[order], part[order]
-        first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-        keys, name = np.bitwise_xor.reduceat(part, first), segment[first]
-        if count - len(first) > spare:
-            empty = np.setdiff1d(np.arange(count, dtype=np.uint64), name)
-            keys, name = np.concatenate([keys, np.zeros(len(empty), np.uint64)]), np.concatenate([name, empty])
+        bits, times = np.unique(segment * np.uint64(SEGMENT_BITS) + shingles % np.uint64(SEGMENT_BITS), return_counts=True)
+        bits = bits[times % 2 == 1]  # XOR clears what is set twice
+        of = (bits // np.uint64(SEGMENT_BITS)).astype(np.int64)
+        weight = np.bincount(of, minlength=count)
+        keys = np.zeros(count, dtype=np.uint64)
+        if len(of):
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            keys[of[first]] = np.bitwise_xor.reduceat(_mixed(bits + np.uint64(1)), first)
+        light = weight < 2
+        name = np.flatnonzero(~light) if light.sum() <= spare else np.arange(count)
+        keys, name = keys[name], name.astype(np.uint64)
         yield _mixed(keys ^ _mixed(np.uint64(high) * np.uint64(1 << 24) + name)).view(np.int64)
 
 
