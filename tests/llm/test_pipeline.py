@@ -31,5 +31,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted((r.doc_id, r.n_tokens) for r in rows[5]) == sorted((r.doc_id, len(codec.encode(r.text))) for r in rows[4])
 
 
-def test_run(spark):
-    assert corpus_pipeline.run(spark, SF_DIR).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+def test_run_applies_the_stages_in_turn(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[:2] + corpus_pipeline.STAGES[4:])
+    out = corpus_pipeline.run(spark, SF_DIR)
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
