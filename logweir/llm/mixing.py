@@ -30,7 +30,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweir.llm.common import n_words
@@ -210,12 +210,18 @@ def mix(docs: DataFrame, block: int = 128, per_shard: int = 4096, seed: int = 17
     """The mix itself: shard, pass_no, block; s, at, first and the text of each document in the block; its other columns as row."""
     sources = plan_sources(docs.select("source", "text"), block, max_sources)
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
-    parts = pieces(placed(docs.select("doc_id", "source", "text", others), sources, ["row", "text"]), block)
-    own = F.regexp_extract_all("text", F.lit(PARTS), F.lit(0))
-    parts = parts.select(
-        "row", "s", "at", "first", "block", "words",
-        F.array_join(F.slice(own, (F.col("first") + 1).cast("int"), F.col("words").cast("int")), "").alias("text"),
-    )
+    rows = placed(docs.select("doc_id", "source", "text", others), sources, ["row", "text"])
+    rows = rows.where("size > 0").select("row", "s", "at", F.regexp_extract_all("text", F.lit(PARTS), F.lit(0)).alias("own"))
+    # A text is cut once; that its words are counted here keeps the cut out of the function below.
+    at, end = F.col("at"), F.col("at") + F.size("own")
+
+    def piece(index: Column) -> Column:
+        first, last = F.greatest(index * block, at) - at, F.least((index + 1) * block, end) - at
+        text = F.array_join(F.slice("own", (first + 1).cast("int"), (last - first).cast("int")), "")
+        return F.struct(index.alias("block"), first.alias("first"), (last - first).alias("words"), text.alias("text"))
+
+    reached = F.sequence(F.floor(at / block), F.floor((end - 1) / block))
+    parts = rows.select("row", "s", "at", F.inline(F.transform(reached, piece)))
     chosen = slots(docs.sparkSession, sources, seed, per_shard).select("shard", "pass_no", F.col("s").alias("c_s"), F.col("block").alias("c_block"))
     return parts.join(chosen.hint("merge"), (F.col("s") == F.col("c_s")) & (F.col("block") == F.col("c_block"))).drop("c_s", "c_block")
 
