@@ -11,9 +11,8 @@ with one distribution for pieces that begin a word and one for those inside, and
 chance that a word ends. The piece scores start from the vocabulary's order and are fitted
 to all training documents by expectation maximisation (forward-backward over the table of
 distinct words; each weighs the same, as each gives the same mass to the lattice). A
-training word is also an edge of its own
-over the whole lattice, with an absolutely discounted count; the discounted mass goes to
-the lattice of pieces:
+training word is also an edge of its own over the whole lattice, with an absolutely
+discounted count; the discounted mass goes to the lattice of pieces:
 
     p(w) = max(c - D, 0) / N + (D * V / N) * lattice(w).
 
@@ -32,33 +31,45 @@ empty result. Extra columns are not read. Very long words cost their length.
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweir.llm.common import LOWER, UPPER, checkpoint
+from logweir.llm.common import checkpoint
 from logweir.llm.learning import fold
 
 PIECES = "piece_bpe_32k.model"
 START = "▁"
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-TO_LOWER = str.maketrans(UPPER, LOWER)
 #: Longest piece looked for; the share of probability of single characters, over all code points.
 LONGEST, SPARE, CODE_POINTS = 16, 1e-4, 0x110000
 DISCOUNT = 0.75
-#: Distinct words that a task holds before it hands its counts on; characters scored at once.
-HELD, CHUNK = 300_000, 400_000
+#: Bytes of text cut into words at once; characters of words scored at once.
+SLICE_BYTES, CHUNK = 8_000_000, 400_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokens(text: str) -> list[str]:
-    return WORDS.findall(text.translate(TO_LOWER))
+def words_of(texts: pa.Array) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
+    """Slices of the texts: (first text, end, distinct words, each word's number among these, each word's text in the slice)."""
+    start = 0
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    while start < len(texts):
+        stop = start + max(1, int(np.searchsorted(np.cumsum(sizes[start : start + 4000]), SLICE_BYTES)))
+        stop = min(stop, start + 4000, len(texts))
+        # Both kernels are about ASCII only: A-Z, and the blanks 9 to 13 and 32.
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(start, stop - start)))
+        flat = split.flatten().dictionary_encode()
+        of = np.repeat(np.arange(stop - start), pc.list_value_length(split).to_numpy())
+        number, names = flat.indices.to_numpy(), flat.dictionary.to_pylist()
+        if "" in names:  # what stands before a leading or behind a trailing blank
+            real = number != names.index("")
+            number, of = number[real], of[real]
+        yield start, stop, names, number, of
+        start = stop
 
 
 class Lattice:
@@ -66,12 +77,16 @@ class Lattice:
 
     def __init__(self, starts: list[str], insides: list[str], log_start: np.ndarray, log_inside: np.ndarray, stop: float):
         self.sizes = (len(starts), len(insides))
-        self.keys, self.order = [], []
+        self.keys, self.order, self.maybe = [], [], []
         for pieces in (starts, insides):
             h = np.array([_hash(p) for p in pieces], dtype=np.uint64)
             order = np.argsort(h, kind="stable")
             self.keys.append(h[order])
             self.order.append(order)
+            # Most substrings are no piece: a bitmap of the hashes' first bits tells without a search.
+            maybe = np.zeros(1 << 20, dtype=bool)
+            maybe[h >> np.uint64(44)] = True
+            self.maybe.append(maybe)
         self.set(log_start, log_inside, stop)
 
     def set(self, log_start: np.ndarray, log_inside: np.ndarray, stop: float) -> None:
@@ -88,10 +103,11 @@ class Lattice:
             h = np.zeros(n, dtype=np.uint64)
             for k in range(min(most, width - at)):
                 h = h * BASE + codes[:, at + k] + np.uint64(1)
-                if len(keys):
-                    found = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    hit = keys[found] == h
-                    own = order[found[hit]]
+                hit = np.flatnonzero(self.maybe[kind][h >> np.uint64(44)])
+                if len(hit):
+                    found = np.minimum(np.searchsorted(keys, h[hit]), len(keys) - 1)
+                    right = keys[found] == h[hit]
+                    hit, own = hit[right], order[found[right]]
                     weight[hit, at, k], piece[hit, at, k] = logs[own] + math.log(1 - SPARE), own
             spare = math.log(SPARE / CODE_POINTS)
             weight[:, at, 0] = np.logaddexp(weight[:, at, 0], spare)
@@ -193,27 +209,17 @@ def word_table(texts: DataFrame) -> DataFrame:
     """(word, c): every word of the texts, with its count in those that are not held out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train: Counter = Counter()
-        other: set[str] = set()
         for batch in batches:
-            for text, held in zip(batch.column("text"), batch.column("held_out").to_pylist(), strict=True):
-                (other if held else train).update(tokens(text.as_py()))
-                if len(train) + len(other) > HELD:
-                    yield _counted(train, other)
-                    train, other = Counter(), set()
-        yield _counted(train, other)
+            train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
+            for start, _, names, number, of in words_of(batch.column("text")):
+                used = np.unique(number)
+                n = np.bincount(number, weights=train[start + of], minlength=len(names)).astype(np.int64)
+                yield pa.record_batch({"word": pa.array(names, pa.string()).take(pa.array(used)), "n": pa.array(n[used])})
 
     found = texts.select("text", "held_out").mapInArrow(run, "word string, n bigint")
     return found.groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def _counted(train: Counter, other: set[str]) -> pa.RecordBatch:
-    more = [w for w in other if w not in train]
-    return pa.record_batch({
-        "word": pa.array([*train, *more], pa.string()), "n": pa.array([*train.values(), *[0] * len(more)], pa.int64()),
-    })
-
-
 def fit(words: DataFrame, path: str, rounds: int) -> Lattice:
     """Piece scores from the training words by `rounds` of expectation maximisation.
 
@@ -283,28 +289,26 @@ def lm_scores(docs: DataFrame, path: str | None = None, rounds: int = 2, head: i
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each text: a row with the sums over frequent words, and a row for each other word."""
-        known = frequent.value
+        of_word = frequent.value
         for batch in batches:
-            ids, keys, helds = (batch.column(k).to_pylist() for k in ("doc_id", "key", "held_out"))
-            rows: list[tuple] = []
-            for doc_id, key, held, text in zip(ids, keys, helds, batch.column("text"), strict=True):
-                own = tokens(text.as_py())
-                n_known, base, model = int(end[0]), end[1], end[2]
-                for word, times in Counter(own).items():
-                    entry = known.get(word)
-                    if entry is None:
-                        rows.append((doc_id, key, held, word, times, 0, 0, 0.0, 0.0, 0))
-                    else:
-                        n_known += times * entry[0]
-                        base += times * entry[1]
-                        model += times * entry[2]
-                # No word holds a blank: this key meets no word and spreads over all tasks.
-                rows.append((doc_id, key, held, f" {key}", 0, len(own) + 1, n_known, base, model, 1))
-                if len(rows) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), KINDS.values(), strict=True)], list(KINDS))
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), KINDS.values(), strict=True)], list(KINDS))
+            for start, stop, names, number, of in words_of(batch.column("text")):
+                entries = [of_word.get(w) for w in names]
+                rare = np.fromiter((e is None for e in entries), dtype=bool, count=len(names))
+                worth = np.array([e or (0, 0.0, 0.0) for e in entries], dtype=float).reshape(-1, 3)
+                size = stop - start
+                sums = [np.bincount(of, weights=x[number], minlength=size) for x in worth.T]
+                own = batch.slice(start, size).select(["doc_id", "key", "held_out"])
+                # No word holds a blank: this word is met by none, and spreads over all tasks.
+                whole = [f" {key}" for key in own.column("key").to_pylist()]
+                zero = np.zeros(size, dtype=np.int64)
+                yield _parts(own, pa.array(whole, pa.string()), zero, np.bincount(of, minlength=size) + 1,
+                             sums[0].astype(np.int64) + int(end[0]), sums[1] + end[1], sums[2] + end[2], zero + 1)
+                at = np.flatnonzero(rare[number])
+                pair, times = np.unique(of[at] * max(len(names), 1) + number[at], return_counts=True)
+                text, word = pair // max(len(names), 1), pair % max(len(names), 1)
+                zero, blank = np.zeros(len(pair), dtype=np.int64), np.zeros(len(pair))
+                words = pa.array(names, pa.string()).take(pa.array(word))
+                yield _parts(own.take(pa.array(text)), words, times, zero, zero, blank, blank, zero)
 
     parts = texts.withColumn("key", F.xxhash64("text")).mapInArrow(split, SCHEMA)
     found = parts.join(scored.select(F.col("word").alias("w"), "known", "base", "model"), F.col("word") == F.col("w"), "left")
@@ -325,11 +329,14 @@ def lm_scores(docs: DataFrame, path: str | None = None, rounds: int = 2, head: i
     )
 
 
-KINDS = {
-    "doc_id": pa.int64(), "key": pa.int64(), "held_out": pa.bool_(), "word": pa.string(), "times": pa.int64(),
-    "n_tokens": pa.int64(), "n_known": pa.int64(), "h_base": pa.float64(), "h_model": pa.float64(), "whole": pa.int64(),
-}
 SCHEMA = (
     "doc_id bigint, key bigint, held_out boolean, word string, times bigint, n_tokens bigint, n_known bigint,"
     " h_base double, h_model double, whole bigint"
 )
+
+
+def _parts(own: pa.RecordBatch, words: pa.Array, *columns: np.ndarray) -> pa.RecordBatch:
+    names = ["times", "n_tokens", "n_known", "h_base", "h_model", "whole"]
+    return pa.RecordBatch.from_arrays(
+        [*own.columns, words, *map(pa.array, columns)], ["doc_id", "key", "held_out", "word", *names]
+    )
