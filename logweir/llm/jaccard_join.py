@@ -44,10 +44,11 @@ from pyspark.sql import functions as F
 
 from logweir.llm.common import checkpoint
 
+#: The settings of the query; callers give their own.
 SHINGLE = 4
 PERCENT = 85
-#: Sizes up to which sets of a linked pair must be equal, then bands that grow by half.
-FIRST, GROWTH = 7, 1.5
+#: Bands of sizes grow by half; linked sets are of the same or of neighbouring bands from 67 % on.
+GROWTH, LEAST_PERCENT = 1.5, 67
 SEGMENT_BITS, SKETCH_BITS = 256, 4096
 #: Bits of a short sketch: as many as elements, rounded up to a power of two within these.
 LEAST_BITS, MOST_BITS = 256, 16_384
@@ -64,8 +65,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles of `shingle` words."""
     for start in range(0, len(texts), SLICE):
         # Both kernels are about ASCII only: A-Z, and the blanks 9 to 13 and 32.
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(start, SLICE)))
@@ -78,12 +79,12 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
         kept = real[place] if len(place) else np.zeros(0, bool)
         bounds = np.concatenate([[0], np.cumsum(kept)])[bounds]
         h = hashes[place[kept]]
-        every = np.zeros(max(len(h) - SHINGLE + 1, 0), dtype=np.uint64)
-        for k in range(SHINGLE):
-            every = _mixed(every + h[k : len(h) - SHINGLE + 1 + k] + np.uint64(k + 1)) if len(every) else every
+        every = np.zeros(max(len(h) - shingle + 1, 0), dtype=np.uint64)
+        for k in range(shingle):
+            every = _mixed(every + h[k : len(h) - shingle + 1 + k] + np.uint64(k + 1)) if len(every) else every
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            if b - a >= SHINGLE:
-                yield np.unique(every[a : b - SHINGLE + 1])
+            if b - a >= shingle:
+                yield np.unique(every[a : b - shingle + 1])
             elif b > a:
                 yield np.array([xxhash.xxh64_intdigest(h[a:b].tobytes(), 1)], dtype=np.uint64)
             else:
@@ -95,27 +96,28 @@ def class_of(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes()) - 2**63
 
 
-def band_edges(longest: int) -> list[int]:
-    edges = [1, FIRST]
+def band_edges(longest: int, percent: int = PERCENT) -> list[int]:
+    # Below the second edge linked sets are equal: a set short of one element of m has (m - 1) / m of it.
+    edges = [1, ceil(100 / (100 - percent))]
     while edges[-1] <= longest:
         edges.append(ceil(edges[-1] * GROWTH))
     return edges
 
 
-def segments(band_end: int) -> tuple[int, int]:
+def segments(band_end: int, percent: int = PERCENT) -> tuple[int, int]:
     """(segments, spare) for sets of fewer than `band_end` elements."""
-    differ = 2 * (band_end - 1) * (100 - PERCENT) // (100 + PERCENT)
+    differ = 2 * (band_end - 1) * (100 - percent) // (100 + percent)
     spare = 2 + (differ + 1) // 14
     return differ + 1 + spare, spare
 
 
-def segment_keys(shingles: np.ndarray, edges: list[int]) -> Iterator[np.ndarray]:
+def segment_keys(shingles: np.ndarray, edges: list[int], percent: int = PERCENT) -> Iterator[np.ndarray]:
     """Keys of the sketch's segments for each band in which the set may meet a partner of at least its size."""
     n = len(shingles)
     for low, high in zip(edges[1:-1], edges[2:], strict=True):  # in the first band linked sets are equal
-        if not (n < high and 100 * n >= PERCENT * low):
+        if not (n < high and 100 * n >= percent * low):
             continue
-        count, spare = segments(high)
+        count, spare = segments(high, percent)
         segment = (shingles >> np.uint64(32)) % np.uint64(count)
         bits, times = np.unique(segment * np.uint64(SEGMENT_BITS) + shingles % np.uint64(SEGMENT_BITS), return_counts=True)
         bits = bits[times % 2 == 1]  # XOR clears what is set twice
@@ -131,12 +133,12 @@ def segment_keys(shingles: np.ndarray, edges: list[int]) -> Iterator[np.ndarray]
         yield _mixed(keys ^ _mixed(np.uint64(high) * np.uint64(1 << 24) + name)).view(np.int64)
 
 
-def classes(texts: DataFrame) -> DataFrame:
+def classes(texts: DataFrame, shingle: int) -> DataFrame:
     """doc_id, content, n_shingles, class and short sketch of each row; class is NULL for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [(len(s), class_of(s) if len(s) else None, _short(s).tobytes()) for s in shingle_sets(batch.column("text"))]
+            own = [(len(s), class_of(s) if len(s) else None, _short(s).tobytes()) for s in shingle_sets(batch.column("text"), shingle)]
             n, names, sketches = zip(*own, strict=True) if own else ((), (), ())
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"), "content": batch.column("content"), "n_shingles": pa.array(n, pa.int64()),
@@ -146,19 +148,19 @@ def classes(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id bigint, content bigint, n_shingles bigint, class bigint, sketch binary")
 
 
-def meetings(texts: DataFrame, longest: int) -> DataFrame:
+def meetings(texts: DataFrame, longest: int, shingle: int, percent: int) -> DataFrame:
     """(key, class): the classes of every segment that at least two classes share."""
-    edges = band_edges(longest)
+    edges = band_edges(longest, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within a task hand their segments on once
         for batch in batches:
             keys, names, sizes, held = [], [], [], 0
-            for s in shingle_sets(batch.column("text")):
+            for s in shingle_sets(batch.column("text"), shingle):
                 if not len(s) or (name := class_of(s)) in seen:
                     continue
                 seen.add(name)
-                for own in segment_keys(s, edges):
+                for own in segment_keys(s, edges, percent):
                     keys.append(own)
                     names.append(name)
                     sizes.append(len(own))
@@ -179,7 +181,7 @@ def meetings(texts: DataFrame, longest: int) -> DataFrame:
     return rows.where(F.col("shared") & (F.col("before").isNull() | (F.col("before") != F.col("class")))).select("key", "class")
 
 
-def candidates(met: DataFrame, sketches: DataFrame) -> DataFrame:
+def candidates(met: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """(a, b): what connects the classes of a segment whose sketches are near enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +190,7 @@ def candidates(met: DataFrame, sketches: DataFrame) -> DataFrame:
             found: list[tuple[int, int]] = []
             for row_key, name, n, sketch in zip(*(batch.column(c).to_pylist() for c in ("key", "class", "n", "sketch")), strict=True):
                 if row_key != key:
-                    found += near(names, sizes, bits)
+                    found += near(names, sizes, bits, percent)
                     key, names, sizes, bits, first = row_key, [], [], [], None
                 if first is None and len(names) < MOST:
                     names.append(name)
@@ -199,14 +201,14 @@ def candidates(met: DataFrame, sketches: DataFrame) -> DataFrame:
                     found += [(first, other) for other in [*names[1:], name]]
                     names, sizes, bits = [], [], []
             yield _edges(found)
-        yield _edges(near(names, sizes, bits))
+        yield _edges(near(names, sizes, bits, percent))
 
     known = sketches.select(F.col("class").alias("k"), F.col("n_shingles").cast("int").alias("n"), "sketch")
     rows = met.join(known, F.col("class") == F.col("k")).select("key", "class", "n", "sketch")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near(names: list[int], sizes: list[int], bits: list[bytes]) -> list[tuple[int, int]]:
+def near(names: list[int], sizes: list[int], bits: list[bytes], percent: int) -> list[tuple[int, int]]:
     """What connects the pairs whose sketches and sizes allow a link."""
     if len(names) < 2:
         return []
@@ -221,7 +223,7 @@ def near(names: list[int], sizes: list[int], bits: list[bytes]) -> list[tuple[in
             continue
         apart = np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1, dtype=np.int64)
         apart = np.maximum(apart, np.abs(n[others] - n[i]))
-        for j in others[(100 + PERCENT) * apart <= (100 - PERCENT) * (n[i] + n[others])]:
+        for j in others[(100 + percent) * apart <= (100 - percent) * (n[i] + n[others])]:
             if root[j] != root[i]:
                 root[root == root[j]] = root[i]
     return _stars(names, root)
@@ -264,9 +266,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def blocked(grouped: DataFrame, block: int, longest: int) -> DataFrame:
+def blocked(grouped: DataFrame, block: int, longest: int, percent: int) -> DataFrame:
     """Add `pair`, the block pairs that each class (doc_id, content, class, n_shingles, component) takes part in."""
-    edges = F.lit(band_edges(longest))
+    edges = F.lit(band_edges(longest, percent))
     band = F.size(F.filter(edges, lambda e: e <= F.col("n_shingles")))
     sizes = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("members")).withColumnRenamed("component", "s_component")
     rows = grouped.join(sizes, F.col("component") == F.col("s_component")).drop("s_component")
@@ -293,18 +295,18 @@ def blocked(grouped: DataFrame, block: int, longest: int) -> DataFrame:
     )
 
 
-def links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+def links(texts: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b): a spanning forest of the links among the texts of each block pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
         for batch in batches:  # sorted by pair: a block pair is a run of rows
-            for row_key, s in zip(batch.column("pair").to_pylist(), shingle_sets(batch.column("text")), strict=True):
+            for row_key, s in zip(batch.column("pair").to_pylist(), shingle_sets(batch.column("text"), shingle), strict=True):
                 if row_key != key:
-                    yield _edges(verified(held))
+                    yield _edges(verified(held, percent))
                     held, key = [], row_key
                 held.append(s)
-        yield _edges(verified(held))
+        yield _edges(verified(held, percent))
 
     wanted = pairs.select(F.col("doc_id").alias("p_id"), F.col("content").alias("p_content"), "pair")
     rows = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("content") == F.col("p_content")))
@@ -316,7 +318,7 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
-def verified(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def verified(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links among the sets that connect what all their links connect."""
     names = {class_of(s): s for s in sets}
     sets = sorted(names.values(), key=len)
@@ -326,17 +328,17 @@ def verified(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     sketches = np.array([_sketch(s) for s in sets])
     root = np.arange(len(sets))
     for i in range(len(sets) - 1):
-        last = int(np.searchsorted(n, 100 * n[i] // PERCENT, side="right"))  # sizes that can still reach the threshold
+        last = int(np.searchsorted(n, 100 * n[i] // percent, side="right"))  # sizes that can still reach the threshold
         others = i + 1 + np.flatnonzero(root[i + 1 : last] != root[i])
         if not len(others):
             continue
         apart = np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1, dtype=np.int64)
-        near = others[(100 + PERCENT) * apart <= (100 - PERCENT) * (n[i] + n[others])]
+        near = others[(100 + percent) * apart <= (100 - percent) * (n[i] + n[others])]
         for j in near:
             if root[j] == root[i]:
                 continue
             shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * shared >= PERCENT * (n[i] + n[j] - shared):
+            if 100 * shared >= percent * (n[i] + n[j] - shared):
                 root[root == root[j]] = root[i]
     return _stars([class_of(s) for s in sets], root)
 
@@ -350,22 +352,27 @@ def _sketch(shingles: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8)).view(np.uint64)
 
 
-def jaccard_join(docs: DataFrame, block: int = 512) -> DataFrame:
-    """doc_id, content, n_shingles and component_id of each row of `docs`."""
+def jaccard_join(docs: DataFrame, block: int = 512, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, content, n_shingles and component_id of each row of `docs`.
+
+    Linked are texts whose sets of `shingle`-word shingles have a Jaccard index of `percent` % at least.
+    """
+    if not LEAST_PERCENT <= percent < 100 or shingle < 1:
+        raise ValueError(f"percent must be {LEAST_PERCENT} to 99 and shingle 1 at least, not {percent} and {shingle}")
     texts = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("content", F.xxhash64("text"))
-    named = checkpoint(classes(texts))
+    named = checkpoint(classes(texts, shingle))
     longest = int(named.agg(F.max("n_shingles")).first()[0] or 0)
     least = named.where("class is not null").groupBy("class").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "content")).alias("row"),
         F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"),
     )
-    groups = components(checkpoint(candidates(checkpoint(meetings(texts, longest)), least)))
+    groups = components(checkpoint(candidates(checkpoint(meetings(texts, longest, shingle, percent)), least, percent)))
     grouped = least.join(groups, F.col("class") == F.col("node")).select(
         "row.doc_id", "row.content", "class", "n_shingles", "component"
     )
-    joined = components(checkpoint(links(texts, blocked(grouped, block, longest))))
+    joined = components(checkpoint(links(texts, blocked(grouped, block, longest, percent), shingle, percent)))
     rows = named.join(joined, F.col("class") == F.col("node"), "left").withColumn("of", F.coalesce("component", "class"))
     heads = rows.where("of is not null").groupBy("of").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("of", "h_of")
     return rows.join(heads, F.col("of") == F.col("h_of"), "left").select(
@@ -373,12 +380,12 @@ def jaccard_join(docs: DataFrame, block: int = 512) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs`, with all columns, of which one is left of each component: that with the component's id.
 
     Of repeated rows with that id one is left; rows without words are all left.
     """
-    found = jaccard_join(docs)
+    found = jaccard_join(docs, shingle=shingle, percent=percent)
     kept = found.where(F.col("n_shingles").eqNullSafe(F.lit(0)) | F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = kept.groupBy("doc_id", "component_id").agg(
         F.min("content").alias("content"), F.max(F.col("n_shingles") == 0).alias("every")

@@ -241,6 +241,30 @@ def test_jaccard_join_of_awkward_rows(spark, awkward, awkward_rows, empty):
     assert jaccard_join.jaccard_join(empty).count() == 0 and jaccard_join.one_of_each(empty).count() == 0
 
 
+def test_jaccard_join_takes_shingle_and_percent(spark):
+    sets = {}
+    rows = near_copies(3)
+    # 4 of 5 and 29 of 36 shingles of five words are linked at 80 %; 30 of 37 of four words are not at 85 %.
+    rows += [(900, "a b c d e f g h", "x"), (901, "a b c d e f g h i", "x")]
+    rows += [(910, " ".join(f"u{i}" for i in range(40)), "x"), (911, " ".join(f"u{i}" for i in range(33)), "x")]
+    for i, text, _ in rows:
+        w = text.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+    near = {i: {i} for i in sets}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if 100 * len(a & b) >= 80 * len(a | b) and near[i] is not near[j]:
+                near[i] |= near[j]
+                for k in near[j]:
+                    near[k] = near[i]
+    want = {i: min(group) for i, group in near.items()}
+    found = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(docs_of(spark, rows), 16, shingle=5, percent=80).collect()}
+    assert found == want and found[901] == 900 and found[911] == 910
+    assert {r.doc_id for r in jaccard_join.one_of_each(docs_of(spark, rows), shingle=5, percent=80).collect()} == set(want.values())
+    with pytest.raises(ValueError):
+        jaccard_join.jaccard_join(docs_of(spark, rows), percent=60)
+
+
 def test_segments_share_of_every_linked_pair():
     rng = np.random.default_rng(3)
     edges = jaccard_join.band_edges(2000)

@@ -35,3 +35,9 @@ def test_run_applies_the_stages_in_turn(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[:2] + corpus_pipeline.STAGES[4:])
     out = corpus_pipeline.run(spark, SF_DIR)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+
+
+def test_near_copies_go_by_five_words_and_four_fifths(spark):
+    rows = [(1, " ".join(f"u{i}" for i in range(40)), "a"), (2, " ".join(f"u{i}" for i in range(33)), "a")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+    assert [r.doc_id for r in dict(corpus_pipeline.STAGES)["jaccard_join"](spark, docs, SF_DIR).collect()] == [1]
