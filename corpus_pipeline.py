@@ -18,8 +18,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return keep_good(docs)
+    """Documents that the rules reject go; a line on more than 10 documents of a source is boilerplate, whatever its share."""
+    return keep_good(docs, max_documents=10, max_share=None)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

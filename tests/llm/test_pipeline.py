@@ -2,6 +2,7 @@ from support import SF_DIR
 
 import corpus_pipeline
 from logweir.llm.byte_bpe import Codec, RANKS
+from logweir.llm.quality_rules import boilerplate
 from test_operators import WORD, brute_components, brute_repeats
 
 
@@ -41,3 +42,19 @@ def test_near_copies_go_by_five_words_and_four_fifths(spark):
     rows = [(1, " ".join(f"u{i}" for i in range(40)), "a"), (2, " ".join(f"u{i}" for i in range(33)), "a")]
     docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
     assert [r.doc_id for r in dict(corpus_pipeline.STAGES)["jaccard_join"](spark, docs, SF_DIR).collect()] == [1]
+
+
+def test_rules_remove_lines_and_reject_depleted_documents(spark):
+    stage = dict(corpus_pipeline.STAGES)["quality_rules"]
+    line = " ".join(f"menu{i}" for i in range(40))
+    own = lambda i, n: " ".join(f"own{i}x{k}" for k in range(n))
+    # 11 of 1,011 documents hold the line (1 %): those with little else go. On 10 documents of another source it stays.
+    rows = [(i, f"{line}\n{own(i, 50 if i < 5 else 3)}", "a") for i in range(11)] + [(100 + i, own(i, 30), "a") for i in range(1000)]
+    rows += [(2000 + i, f"{line}\nown{i}", "b") for i in range(10)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+    assert {r.doc_id for r in stage(spark, docs, SF_DIR).collect()} == {i for i, *_ in rows} - set(range(5, 11))
+
+
+def test_rules_remove_lines_of_the_test_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert boilerplate(docs, 10, None).count() == 11
