@@ -23,8 +23,8 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines of a source go."""
-    return line_dedup(docs)
+    """Lines on more than 2 % of a source's pages go; up to three pages are chance."""
+    return line_dedup(docs, min_pages=4)
 
 
 def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

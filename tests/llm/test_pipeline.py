@@ -58,3 +58,11 @@ def test_rules_remove_lines_and_reject_depleted_documents(spark):
 def test_rules_remove_lines_of_the_test_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert boilerplate(docs, 10, None).count() == 11
+
+
+def test_line_dedup_acts_on_small_sources(spark):
+    rows = [(i, f"menu top\nown {i}", "a") for i in range(19)] + [(50 + i, ("menu top\n" if i < 4 else "") + f"other {i}", "b") for i in range(8)]
+    rows += [(70 + i, ("menu top\n" if i < 3 else "") + f"more {i}", "c") for i in range(8)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+    out = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, SF_DIR).collect()}
+    assert out == {i: t if s == "c" else t.removeprefix("menu top\n") for i, t, s in rows}
