@@ -357,6 +357,15 @@ def jaccard_join(docs: DataFrame, block: int = 512, shingle: int = SHINGLE, perc
 
     Linked are texts whose sets of `shingle`-word shingles have a Jaccard index of `percent` % at least.
     """
+    rows = labelled(docs, block, shingle, percent)
+    heads = rows.where("of is not null").groupBy("of").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("of", "h_of")
+    return rows.join(heads, F.col("of") == F.col("h_of"), "left").select(
+        "doc_id", "content", "n_shingles", F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    )
+
+
+def labelled(docs: DataFrame, block: int, shingle: int, percent: int) -> DataFrame:
+    """doc_id, content, n_shingles and `of` of each row of `docs`: the least class of its component, NULL for an empty set."""
     if not LEAST_PERCENT <= percent < 100 or shingle < 1:
         raise ValueError(f"percent must be {LEAST_PERCENT} to 99 and shingle 1 at least, not {percent} and {shingle}")
     texts = docs.select(
@@ -373,23 +382,21 @@ def jaccard_join(docs: DataFrame, block: int = 512, shingle: int = SHINGLE, perc
         "row.doc_id", "row.content", "class", "n_shingles", "component"
     )
     joined = components(checkpoint(links(texts, blocked(grouped, block, longest, percent), shingle, percent)))
-    rows = named.join(joined, F.col("class") == F.col("node"), "left").withColumn("of", F.coalesce("component", "class"))
-    heads = rows.where("of is not null").groupBy("of").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("of", "h_of")
-    return rows.join(heads, F.col("of") == F.col("h_of"), "left").select(
-        "doc_id", "content", "n_shingles", F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
+    rows = named.join(joined, F.col("class") == F.col("node"), "left")
+    return rows.select("doc_id", "content", "n_shingles", F.coalesce("component", "class").alias("of"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of `docs`, with all columns, of which one is left of each component: that with the component's id.
+def one_of_each(docs: DataFrame, block: int = 512, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs`, with all columns, of which one is left of each component: that with the least id, then content.
 
-    Of repeated rows with that id one is left; rows without words are all left.
+    NULL ids come last. Of repeated rows with that id and text one is left; rows without words are all left.
     """
-    found = jaccard_join(docs, shingle=shingle, percent=percent)
-    kept = found.where(F.col("n_shingles").eqNullSafe(F.lit(0)) | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.groupBy("doc_id", "component_id").agg(
-        F.min("content").alias("content"), F.max(F.col("n_shingles") == 0).alias("every")
-    ).select(F.col("doc_id").alias("k_id"), F.col("content").alias("k_content"), "every")
+    found = labelled(docs, block, shingle, percent)
+    # Rows without words are in no component: each id and content is kept for itself.
+    own = F.when(F.col("of").isNull(), F.struct("doc_id", "content"))
+    kept = found.groupBy("of", own.alias("own")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "content")).alias("row")).select(
+        F.col("row.doc_id").alias("k_id"), F.col("row.content").alias("k_content"), F.col("of").isNull().alias("every")
+    )
     packed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").cast("bigint").alias("__id"),
         F.xxhash64(F.coalesce("text", F.lit(""))).alias("__content"),

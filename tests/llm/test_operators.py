@@ -265,6 +265,15 @@ def test_jaccard_join_takes_shingle_and_percent(spark):
         jaccard_join.jaccard_join(docs_of(spark, rows), percent=60)
 
 
+def test_one_of_each_keeps_what_is_linked_with_nothing(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(12)) for name in "abcde"]
+    rows = [(None, texts[0], "x"), (None, texts[1], "x"), (None, texts[1], "x"), (None, "", "x"), (None, " ", "x"), (None, None, "x"),
+            (7, texts[2], "x"), (7, texts[3], "x"), (7, "", "x"), (8, texts[3], "x"), (9, texts[4], "x"), (None, texts[4], "x")]
+    left = sorted((str(r.doc_id), r.text or "") for r in jaccard_join.one_of_each(docs_of(spark, rows)).collect())
+    unlinked = [("None", texts[0]), ("None", texts[1]), ("7", texts[2]), ("7", texts[3]), ("9", texts[4])]
+    assert left == sorted([*unlinked, ("None", ""), ("None", " "), ("None", ""), ("7", "")])
+
+
 def test_segments_share_of_every_linked_pair():
     rng = np.random.default_rng(3)
     edges = jaccard_join.band_edges(2000)
