@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def has_id() -> Column:
+    """Whether an event has an id, of whatever type."""
+    return F.coalesce(F.col("event_id").cast("string"), F.lit("")) != ""
+
+
 def dedup_events(events: DataFrame, order: list[Column] | None = None) -> DataFrame:
     """One row per event id: the earliest, or the first in the given order; ties are
     broken by all columns. Events without an id are different events: all are kept.
@@ -13,7 +18,7 @@ def dedup_events(events: DataFrame, order: list[Column] | None = None) -> DataFr
     The rank limit is applied before the shuffle too, so many copies of one event
     shrink to one per task.
     """
-    named = F.coalesce("event_id", F.lit("")) != ""
+    named = has_id()
     ties = [F.col(c) for c, kind in events.dtypes if c != "event_id" and not kind.startswith(("map", "variant"))]
     ranked = Window.partitionBy("event_id").orderBy(*(order or [F.asc("timestamp")]), *ties)
     first = events.filter(named).withColumn("_rank", F.row_number().over(ranked)).filter("_rank = 1").drop("_rank")

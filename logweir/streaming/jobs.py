@@ -21,6 +21,7 @@ from logweir.functions.times import seconds, window_text
 from logweir.operators.aggregates import error_events
 from logweir.operators.detection import error_rate_alert
 from logweir.operators.normalize import accepted, dead_letters, default_timestamp, normalize
+from logweir.operators.quality import has_id
 from logweir.operators.spacing import from_millis, millis
 from logweir.params import DetectionConfig
 from logweir.schema import ALERT_COLUMNS, LOG_COLUMNS
@@ -250,5 +251,5 @@ def notify_job(
 def dedup_stream(events: DataFrame, delay: timedelta) -> DataFrame:
     """One event per id, as far apart as the watermark delay; events without an id are all kept."""
     timed = events.withWatermark("timestamp", window_text(delay))
-    named = F.coalesce("event_id", F.lit("")) != ""
+    named = has_id()
     return timed.filter(named).dropDuplicatesWithinWatermark(["event_id"]).unionByName(timed.filter(~named))

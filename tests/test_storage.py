@@ -194,6 +194,11 @@ def test_events_without_an_id_are_not_copies(spark):
     assert sorted(r.message for r in quality.dedup_events(rows).collect()) == ["a", "b", "c", "e"]
 
 
+def test_dedup_takes_ids_of_any_type(spark):
+    rows = spark.createDataFrame([(1, 2, "a"), (1, 1, "b"), (2, 1, "c"), (None, 1, "d"), (None, 1, "d")], "event_id BIGINT, timestamp INT, message STRING")
+    assert sorted(r.message for r in quality.dedup_events(rows).collect()) == ["b", "c", "d", "d"]
+
+
 def test_dedup_limits_copies_before_the_shuffle(spark):
     plan = quality.dedup_events(spark.range(10_000).select((F.col("id") % 3).alias("event_id"), F.col("id").alias("timestamp")))
     text = plan._jdf.queryExecution().executedPlan().toString()
