@@ -165,9 +165,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_le
 FROM judged
 """
 
+WARC = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS place,
+    first_value(page_id) OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS least
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes < 100 OR place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND place > 1 THEN least END AS refers_to
+FROM n
+"""
+
 ORACLES = {
     "op2_line_dedup": LINE_DEDUP,
     "op3_url_filters": _url_filters(),
     "op8_fingerprints": FINGERPRINTS,
     "op10_quality_rules": QUALITY_RULES,
+    "op13_warc": WARC,
 }

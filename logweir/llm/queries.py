@@ -15,6 +15,7 @@ from logweir.llm.mixing import mix_sizes
 from logweir.llm.quality_rules import quality_rules
 from logweir.llm.toxicity import toxicity
 from logweir.llm.url_filters import Rule, url_filters
+from logweir.llm.warc import archived_pages
 
 #: The rules that the query applies.
 URL_RULES = [
@@ -65,6 +66,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
@@ -76,4 +81,5 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
+    "op13_warc": op13_warc,
 }
