@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from logweir.llm.byte_bpe import digests
 from logweir.llm.common import table
 from logweir.llm.fingerprints import edited_likeness
+from logweir.llm.hard_negatives import hard_negatives
 from logweir.llm.jaccard_join import jaccard_join
 from logweir.llm.lattice_lm import lm_scores
 from logweir.llm.line_crf import line_quality
@@ -66,6 +67,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages"))
 
@@ -81,5 +86,6 @@ QUERIES = {
     "op8_fingerprints": op8_fingerprints,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_warc": op13_warc,
 }
