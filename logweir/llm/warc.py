@@ -49,7 +49,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from logweir.llm.common import shared_folder
+from logweir.llm.common import checkpoint, shared_folder
 
 #: The names of header fields, by column. Those with X are extensions.
 HEADERS = {
@@ -69,6 +69,8 @@ RECORD = ", ".join(f"{c} {'bigint' if c in LONG else 'string'}" for c in HEADERS
 LEAST_SHARED = 100
 #: Parts that rows of one payload are dealt to, so that a hot page is several tasks.
 SALTS = 16
+#: Copies of one row that a task writes at once.
+PART = 10_000
 _BY_FIELD = {field.lower(): column for column, field in HEADERS.items()}
 _OTHERS = frozenset({EqualTo, EqualNullSafe, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual, IsNull, IsNotNull,
                      StringStartsWith, StringEndsWith, StringContains})
@@ -341,46 +343,55 @@ def _urn(text: Column) -> Column:
 
 
 def page_records(pages: DataFrame, date: str) -> DataFrame:
-    """The rows of RECORD for `pages`: responses, and revisits of equal payloads."""
+    """The rows of RECORD for `pages`: responses, and revisits of equal payloads.
+
+    Who is a response is decided on rows without payloads; these travel once, to the decision
+    on their row. Rows that are alike in all of this are merged before they travel; all but
+    the first of them are added as rows without a payload of their own.
+    """
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("target_uri"), payload.alias("payload")
     ).withColumns({"payload_bytes": F.octet_length("payload").cast("bigint"), "digest": F.sha2("payload", 256)})
-    # Rows that have all of this in common are repeats of one another.
-    row = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("target_uri").isNull().alias("no_uri"), "target_uri")
-    slim = rows.where(F.col("payload_bytes") >= LEAST_SHARED).select("digest", row.alias("row"))
-    # Repeats are merged first, so that the least row also tells how often it stands in the table.
-    repeats = slim.groupBy("digest", "row").agg(F.count(F.lit(1)).alias("repeats"))
-    first = repeats.groupBy("digest").agg(
-        F.min(F.struct("row", "repeats")).alias("first"), F.sum("repeats").alias("together")
-    ).where("together > 1")
+    alike = ["digest", "page_id", "target_uri", "payload_bytes"]
+    large = F.col("payload_bytes") >= LEAST_SHARED
+    repeats = checkpoint(
+        rows.select(*alike, F.when(~large, F.col("payload")).alias("small")).groupBy(*alike, "small").agg(F.count(F.lit(1)).alias("n"))
+    )
+    rank = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("target_uri").isNull().alias("no_uri"), "target_uri")
+    first = repeats.where(large).groupBy("digest").agg(F.min(rank).alias("first"), F.sum("n").alias("together")).where("together > 1")
     first = first.select(F.col("digest").alias("f_digest"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("f_salt"))
-    # A payload that is too small meets nothing; its key keeps it from being one hot key.
-    lone = F.concat(F.lit("-"), F.xxhash64("page_id", "target_uri").cast("string"))
-    placed = rows.withColumn("key", F.when(F.col("payload_bytes") >= LEAST_SHARED, F.col("digest")).otherwise(lone))
-    placed = placed.withColumn("salt", F.pmod(F.xxhash64("page_id", "target_uri"), F.lit(SALTS)).cast("int"))
-    met = placed.join(first, (F.col("key") == F.col("f_digest")) & (F.col("salt") == F.col("f_salt")), "left")
-    is_first = F.col("first").isNull() | F.col("first.row").eqNullSafe(row)
-    met = met.withColumn("is_first", is_first)
-    tied = F.col("is_first") & (F.coalesce("first.repeats", F.lit(1)) > 1)
-    plain, repeated = met.where(~tied), met.where(tied)
-    # Of a repeated first row one payload is kept; the other repeats are revisits, which hold none.
-    one = repeated.groupBy("digest", "page_id", "target_uri", "payload_bytes").agg(
-        F.first("payload").alias("payload"), F.first("first").alias("first")
+    salt = F.pmod(F.xxhash64("page_id", "target_uri"), F.lit(SALTS)).cast("int")
+    met = repeats.where(large).withColumn("salt", salt).join(
+        first, (F.col("digest") == F.col("f_digest")) & (F.col("salt") == F.col("f_salt"))
+    )
+    # One text per row; it tells NULLs from empty texts, so rows meet by a plain equality.
+    text = lambda c: F.concat(F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.lit("+")), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    key = F.concat("digest", text("page_id"), F.lit(" "), text("target_uri"))
+    decided = met.select(
+        key.alias("d_key"), F.col("first.page_id").alias("first_page"), F.col("first").eqNullSafe(rank).alias("is_first")
+    )
+    merged = rows.withColumn("key", key).groupBy("key").agg(
+        *[F.first(c).alias(c) for c in alike], F.first("payload").alias("payload")
+    )
+    single = merged.join(decided, F.col("key") == F.col("d_key"), "left").select(
+        *alike, "payload", F.coalesce("is_first", F.lit(True)).alias("is_first"), "first_page", F.col("d_key").isNotNull().alias("shared")
     )
-    copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("first.repeats"))).alias("copy")
-    again = one.select("digest", "page_id", "target_uri", "payload_bytes", "payload", "first", copy).withColumn(
-        "is_first", F.col("copy") == 1
+    # Further copies of a row, in parts of PART, so that a row that stands very often is several tasks.
+    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 2) / PART)))
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(PART), F.col("n") - 1 - F.col("part") * PART)))
+    often = repeats.where("n > 1").withColumn("part", parts).withColumn("salt", salt)
+    again = often.join(first, (F.col("digest") == F.col("f_digest")) & (F.col("salt") == F.col("f_salt")), "left")
+    again = again.repartition("digest", "part").withColumn("copy", copies).select(
+        *alike, F.col("small").alias("payload"), (~large).alias("is_first"), F.col("first.page_id").alias("first_page"), F.lit(False).alias("shared")
     )
-    both = plain.drop("copy").unionByName(again, allowMissingColumns=True)
-    shared = F.col("first").isNotNull()
-    return both.select(
+    return single.unionByName(again).select(
         F.when(F.col("is_first"), "response").otherwise("revisit").alias("record_type"),
-        F.when(F.col("is_first") & shared, _urn(F.col("digest"))).otherwise(F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">"))).alias("record_id"),
+        F.when(F.col("is_first") & F.col("shared"), _urn(F.col("digest"))).otherwise(F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">"))).alias("record_id"),
         F.lit(date).alias("date"), "target_uri",
         F.when(~F.col("is_first"), _urn(F.col("digest"))).alias("refers_to_id"),
         F.concat(F.lit("sha256:"), "digest").alias("payload_digest"), "payload_bytes", "page_id",
-        F.when(~F.col("is_first"), F.col("first.row.page_id")).alias("refers_to"),
+        F.when(~F.col("is_first"), F.col("first_page")).alias("refers_to"),
         F.when(F.col("is_first"), F.col("payload")).alias("payload"),
     )
 
