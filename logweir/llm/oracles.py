@@ -186,6 +186,40 @@ FROM positive p JOIN scored s ON p.a = s.a AND NOT s.same AND 50 * p.score <= 10
 QUALIFY rank <= 3
 """
 
+
+def _vector_codes(rounds: int = 4) -> str:
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT n, part, min(struct_pack(far := far, entry := entry)) AS b FROM (
+    SELECT p.n, p.part, e.entry, list_dot_product(x, x) - 2 * list_dot_product(x, c) + list_dot_product(c, c) AS far
+    FROM p JOIN e{k} e ON p.part = e.part) GROUP BY ALL)""")
+        if k < rounds:
+            steps.append(f"""e{k + 1} AS MATERIALIZED (
+  SELECT e.part, e.entry, coalesce(m.c, e.c) AS c FROM e{k} e LEFT JOIN (
+    SELECT part, entry, list(mean ORDER BY i) AS c FROM (
+      SELECT p.part, a.b.entry AS entry, i, floor(sum(x[i]) / count(*)) AS mean
+      FROM p JOIN a{k} a ON p.n = a.n AND p.part = a.part, range(1, (SELECT max(len(x)) FROM p) + 1) r(i) GROUP BY ALL
+    ) GROUP BY ALL) m ON e.part = m.part AND e.entry = m.entry)""")
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS n, * FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE {SOUND})
+), p AS MATERIALIZED (
+  SELECT n, part, v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)] AS x FROM k, range(4) r(part)
+), e0 AS MATERIALIZED (SELECT part, n - 1 AS entry, x AS c FROM p WHERE n <= 256),
+{", ".join(steps)},
+coded AS (
+  SELECT n, string_agg(format('{{:02x}}', b.entry), '' ORDER BY part) AS code, CAST(sum(b.far) AS BIGINT) AS error FROM a{rounds} GROUP BY n
+), book AS (
+  SELECT sha256(string_agg(CAST(CAST(c[i] AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, i)) AS codebooks_sha256
+  FROM e{rounds}, range(1, (SELECT max(len(x)) FROM p) + 1) r(i)
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM k JOIN coded USING (n), book
+"""
+
+
 WARC = """
 WITH p AS (
   SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
@@ -205,5 +239,6 @@ ORACLES = {
     "op8_fingerprints": FINGERPRINTS,
     "op10_quality_rules": QUALITY_RULES,
     "op11_hard_negatives": HARD_NEGATIVES,
+    "op12_vector_codes": _vector_codes(),
     "op13_warc": WARC,
 }

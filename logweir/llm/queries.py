@@ -16,6 +16,7 @@ from logweir.llm.mixing import mix_sizes
 from logweir.llm.quality_rules import quality_rules
 from logweir.llm.toxicity import toxicity
 from logweir.llm.url_filters import Rule, url_filters
+from logweir.llm.vector_codes import vector_codes
 from logweir.llm.warc import archived_pages
 
 #: The rules that the query applies.
@@ -71,6 +72,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages"))
 
@@ -87,5 +92,6 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_vector_codes": op12_vector_codes,
     "op13_warc": op13_warc,
 }

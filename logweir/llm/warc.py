@@ -132,7 +132,9 @@ def read_records(file, keep=None, payloads: bool = True) -> Iterator[dict]:
 
 def _fields(file) -> dict[str, str]:
     fields, last = {}, None
-    while (line := file.readline()) not in (b"\r\n", b"\n", b""):
+    while (line := file.readline()) not in (b"\r\n", b"\n"):
+        if not line:
+            raise ValueError("an archive ends early, inside a header")
         text = line.decode("utf-8", "replace").rstrip("\r\n")
         if text[:1] in (" ", "\t") and last:
             fields[last] += " " + text.strip()  # a folded line
