@@ -268,7 +268,7 @@ def _windows(anchors: Block) -> tuple[np.ndarray, np.ndarray]:
     """Least and largest wanted score of each anchor's windows; `wants` holds positives' scores, or -1, or -2 for all scores."""
     w = anchors.wants
     if len(w) and w[0, 0] == -2:
-        return np.full((len(w), 1), LEAST), np.full((len(w), 1), np.iinfo(np.int64).max)
+        return np.full((len(w), 1), LEAST), np.full((len(w), 1), np.inf)
     low, high = _half(w), w - (w + 19) // 20
     return np.where(w >= 0, low, np.iinfo(np.int64).max), np.where(w >= 0, high, LEAST)
 

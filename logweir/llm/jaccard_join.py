@@ -16,10 +16,11 @@ Groups of any size are split
 into blocks of `block` classes, and blocks meet in pairs of the same or neighbouring size
 bands, so no group is one task and no link is lost. Links are closed into components.
 
-Segments with no bit or a single one set are light: many texts share them by chance. There
+Segments without a bit are light: many texts share them by chance. There
 are `spare` segments beyond d + 1, so more than `spare` segments of a linked pair are equal,
 and a document with at most `spare` light ones needn't hand these on; one with more does.
-Equal segments are light in both documents or in neither, so no pair is lost.
+Equal segments are light in both documents or in neither, so no pair is lost. Linked classes
+share many segments; of those with the same classes one is left before sketches join them.
 
 Classes are told apart by 64-bit hashes of their sets (a chance of n^2 / 2^65 that any two
 of n classes are mixed up).
@@ -49,11 +50,13 @@ SHINGLE = 4
 PERCENT = 85
 #: Bands of sizes grow by half; linked sets are of the same or of neighbouring bands from 67 % on.
 GROWTH, LEAST_PERCENT = 1.5, 67
-SEGMENT_BITS, SKETCH_BITS = 256, 4096
+SEGMENT_BITS, SKETCH_BITS = 65_536, 4096
 #: Bits of a short sketch: as many as elements, rounded up to a power of two within these.
 LEAST_BITS, MOST_BITS = 256, 16_384
 #: Classes of one segment that a task compares; of more, all are left to the blocks.
 MOST = 5_000
+#: Parts that the rows of one component are dealt to.
+SALTS = 32
 #: Texts that are cut into words at once.
 SLICE = 500
 
@@ -127,7 +130,7 @@ def segment_keys(shingles: np.ndarray, edges: list[int], percent: int = PERCENT)
         if len(of):
             first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
             keys[of[first]] = np.bitwise_xor.reduceat(_mixed(bits + np.uint64(1)), first)
-        light = weight < 2
+        light = weight < 1
         name = np.flatnonzero(~light) if light.sum() <= spare else np.arange(count)
         keys, name = keys[name], name.astype(np.uint64)
         yield _mixed(keys ^ _mixed(np.uint64(high) * np.uint64(1 << 24) + name)).view(np.int64)
@@ -181,6 +184,17 @@ def meetings(texts: DataFrame, longest: int, shingle: int, percent: int) -> Data
     return rows.where(F.col("shared") & (F.col("before").isNull() | (F.col("before") != F.col("class")))).select("key", "class")
 
 
+def told_apart(met: DataFrame) -> DataFrame:
+    """(key, class) without the segments whose classes are those of another segment.
+
+    Sets of classes are told apart by two 64-bit sums that don't depend on order.
+    """
+    sums = [F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"sum{k}") for k in (1, 2)]
+    sets = met.groupBy("key").agg(*sums, F.count(F.lit(1)).alias("n"))
+    one = sets.groupBy("sum1", "sum2", "n").agg(F.min("key").alias("one"))
+    return met.join(one, F.col("key") == F.col("one"), "left_semi")
+
+
 def candidates(met: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """(a, b): what connects the classes of a segment whose sketches are near enough."""
 
@@ -359,7 +373,10 @@ def jaccard_join(docs: DataFrame, block: int = 512, shingle: int = SHINGLE, perc
     """
     rows = labelled(docs, block, shingle, percent)
     heads = rows.where("of is not null").groupBy("of").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("of", "h_of")
-    return rows.join(heads, F.col("of") == F.col("h_of"), "left").select(
+    # A component, or the rows without one, may hold a third of all rows.
+    heads = heads.withColumn("h_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "content"), F.lit(SALTS)).cast("int"))
+    return rows.join(heads, (F.col("of") == F.col("h_of")) & (F.col("salt") == F.col("h_salt")), "left").select(
         "doc_id", "content", "n_shingles", F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
@@ -377,7 +394,7 @@ def labelled(docs: DataFrame, block: int, shingle: int, percent: int) -> DataFra
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "content")).alias("row"),
         F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"),
     )
-    groups = components(checkpoint(candidates(checkpoint(meetings(texts, longest, shingle, percent)), least, percent)))
+    groups = components(checkpoint(candidates(told_apart(checkpoint(meetings(texts, longest, shingle, percent))), least, percent)))
     grouped = least.join(groups, F.col("class") == F.col("node")).select(
         "row.doc_id", "row.content", "class", "n_shingles", "component"
     )
