@@ -16,7 +16,7 @@ from logweir.functions.times import interval, parse_rfc3339, seconds, time_slice
 from logweir.operators.aggregates import error_events
 from logweir.operators.metrics import order_statistics
 from logweir.operators.running import running_totals
-from logweir.operators.spacing import MAX_INSTANTS, from_millis, millis, spaced
+from logweir.operators.spacing import BLOCK_MINUTES, from_millis, millis, spaced
 from logweir.params import AlertRule, DetectionConfig
 from logweir.schema import ALERT_COLUMNS, RULE_SCHEMA
 from logweir.session import stored
@@ -138,12 +138,12 @@ def sliding_error_rate(
 
 
 def anchored_windows(
-    events: DataFrame, window: timedelta, max_instants: int = MAX_INSTANTS
+    events: DataFrame, window: timedelta, block_minutes: int = BLOCK_MINUTES
 ) -> DataFrame:
     """Windows that start at a service's first event and again at the first one
     that is older than the window, at millisecond precision."""
     instants = stored(_counts(["service", millis(F.col("timestamp")).alias("at")], events))
-    starts = spaced(instants, ["service"], window, strict=True, max_instants=max_instants)
+    starts = spaced(instants, ["service"], window, strict=True, block_minutes=block_minutes)
     span = seconds(window) * 1000
     # A start serves its own cell of time and the next; starts lie more than a
     # cell apart, so every instant finds exactly one.
@@ -165,7 +165,7 @@ def recurring_errors(
     events: DataFrame,
     config: DetectionConfig = DetectionConfig(),
     slice_seconds: int = SLICE_SECONDS,
-    max_instants: int = MAX_INSTANTS,
+    block_minutes: int = BLOCK_MINUTES,
 ) -> DataFrame:
     """Alerts for error patterns seen more than `recurring_count` times.
 
@@ -211,7 +211,7 @@ def recurring_errors(
     )
     over = stored(counted.filter(F.col("prior") + F.col("n") > config.recurring_count))
     kept = spaced(
-        over, [*pattern, "session"], config.recurring_cooldown, strict=True, max_instants=max_instants
+        over, [*pattern, "session"], config.recurring_cooldown, strict=True, block_minutes=block_minutes
     )
     # Of several occurrences in one instant the first over the limit fires.
     count = F.greatest(F.col("prior"), F.lit(config.recurring_count)) + 1
@@ -232,12 +232,12 @@ def recurring_errors(
     )
 
 
-def cooldown(alerts: DataFrame, quiet: timedelta, max_instants: int = MAX_INSTANTS) -> DataFrame:
+def cooldown(alerts: DataFrame, quiet: timedelta, block_minutes: int = BLOCK_MINUTES) -> DataFrame:
     """Drop an alert when its fingerprint was let through less than `quiet` ago."""
     first = F.min_by(F.struct(*ALERT_COLUMNS), "id").alias("alert")
     timed = alerts.withColumn("at", millis(F.col("triggered_at")))
     instants = stored(timed.groupBy("fingerprint", "at").agg(first))
-    kept = spaced(instants, ["fingerprint"], quiet, max_instants=max_instants)
+    kept = spaced(instants, ["fingerprint"], quiet, block_minutes=block_minutes)
     return instants.join(kept, ["fingerprint", "at"]).select("alert.*")
 
 

@@ -1,30 +1,31 @@
 """Keep a time only if the last kept one of its key is far enough back.
 
-This is a greedy chain: whether a time is kept depends on all before it. Times
-are merged to distinct milliseconds first, so a key's work is bounded by the time
-it spans and not by its number of rows. A key that still has more instants than
-one task should hold is walked in consecutive stretches of time, each taking up
-the last kept time of the stretch before it.
+This is a greedy chain: whether a time is kept depends on all before it. But what a
+block of time makes of the last kept time is a step function, and its steps are few,
+because chains that start apart soon run together. So each block of a
+key is turned into its steps in a task of its own; a walk over the steps, a short row
+per block, gives the time kept before every block; and then all blocks are gone
+through at once. Times are merged to distinct milliseconds first, which bounds a
+block by its length, whatever its number of rows.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 from datetime import timedelta
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweir.functions.chain import spaced_positions
+from logweir.functions.chain import block_steps, spaced_positions, step
 from logweir.functions.times import micros, seconds
-from logweir.session import stored, workspace
+from logweir.session import stored
 
-# Most instants of one key that one task may hold: 160 MB of 64-bit times, or
-# five and a half hours with an event in every millisecond.
-MAX_INSTANTS = 20_000_000
+# Minutes of a block: 1.8 million milliseconds at most.
+BLOCK_MINUTES = 30
 _MINUTE = 60_000
 
 
@@ -41,70 +42,67 @@ def spaced(
     keys: list[str],
     gap: timedelta,
     strict: bool = False,
-    max_instants: int = MAX_INSTANTS,
+    block_minutes: int = BLOCK_MINUTES,
 ) -> DataFrame:
     """The kept (keys, at) of rows with a BIGINT millisecond column `at`."""
     minute = F.floor(F.col("at") / _MINUTE).cast("bigint")
     offset = (F.col("at") - minute * _MINUTE).cast("int")
     # A minute's instants are one short array, so that the keys, which may be
     # long texts, do not travel with every instant.
-    minutes = stored(
-        rows.groupBy(*keys, minute.alias("minute")).agg(F.collect_set(offset).alias("offsets"))
-    )
-    total, peak = (
-        minutes.groupBy(*keys)
-        .agg(F.sum(F.size("offsets")).alias("total"), F.max(F.size("offsets")).alias("peak"))
-        .agg(F.max("total"), F.max("peak"))
-        .first()
-    )
-    gap_ms = seconds(gap) * 1000
-    if not total or total <= max_instants:
-        return _chain(minutes, None, keys, gap_ms, strict)
-    # A minute has 60,000 distinct milliseconds at most, so this always divides.
-    return _chain_in_stretches(minutes, keys, gap_ms, strict, max(1, max_instants // peak))
-
-
-def _chain(
-    minutes: DataFrame, state: DataFrame | None, keys: list[str], gap_ms: int, strict: bool
-) -> DataFrame:
-    def keep(group: pd.DataFrame, last: int | None) -> pd.DataFrame:
-        parts = [m * _MINUTE + np.asarray(o, "int64") for m, o in zip(group["minute"], group["offsets"])]
-        times = np.sort(np.concatenate(parts))
-        kept = times[spaced_positions(times, gap_ms, strict, last)]
+    minutes = rows.groupBy(*keys, minute.alias("minute")).agg(F.collect_set(offset).alias("offsets"))
+    blocks = stored(minutes.withColumn("block", F.floor(F.col("minute") / block_minutes).cast("bigint")))
+    gap_ms, span_ms = seconds(gap) * 1000, block_minutes * _MINUTE
+    return _kept(blocks, _entries(_steps(blocks, keys, gap_ms, span_ms, strict), keys, gap_ms, strict), keys, gap_ms, strict)
+
+
+def _times(group: pd.DataFrame) -> np.ndarray:
+    parts = [m * _MINUTE + np.asarray(o, "int64") for m, o in zip(group["minute"], group["offsets"])]
+    return np.sort(np.concatenate(parts))
+
+
+def _steps(blocks: DataFrame, keys: list[str], gap: int, span: int, strict: bool) -> DataFrame:
+    """(keys, block, starts, lasts): the step function of every block."""
+
+    def steps(group: pd.DataFrame) -> pd.DataFrame:
+        block = int(group["block"].iloc[0])
+        starts, lasts = block_steps(_times(group), block * span, gap, strict)
+        first = group[[*keys, "block"]].head(1)
+        return first.assign(starts=[starts.astype("int64").tobytes()], lasts=[lasts.astype("int64").tobytes()])
+
+    schema = blocks.select(*keys, "block").schema.add("starts", "binary").add("lasts", "binary")
+    return blocks.groupBy(*keys, "block").applyInPandas(steps, schema)
+
+
+def _entries(steps: DataFrame, keys: list[str], gap: int, strict: bool) -> DataFrame:
+    """(keys, block, last): the time kept before every block, NULL before a key's first."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:  # a key's blocks follow one another, in order
+            before = []
+            values = [batch.column(c).to_pylist() for c in (*keys, "starts", "lasts")]
+            for *own, starts, lasts in zip(*values):
+                if own != key:
+                    key, last = own, None
+                before.append(last)
+                last = step(np.frombuffer(starts, "int64"), np.frombuffer(lasts, "int64"), gap, strict, last)
+            names = [*keys, "block"]
+            columns = [*(batch.column(c) for c in names), pa.array(before, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "last"])
+
+    schema = steps.select(*keys, "block", F.col("block").alias("last")).schema
+    for field in schema.fields:
+        field.nullable = True
+    return steps.repartition(*keys).sortWithinPartitions(*keys, "block").mapInArrow(walk, schema)
+
+
+def _kept(blocks: DataFrame, entries: DataFrame, keys: list[str], gap: int, strict: bool) -> DataFrame:
+    def keep(group: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        times = _times(group)
+        last = before["last"].iloc[0]
+        kept = times[spaced_positions(times, gap, strict, None if pd.isna(last) else int(last))]
         return pd.DataFrame({**{k: group[k].iloc[0] for k in keys}, "at": kept}, columns=[*keys, "at"])
 
-    schema = minutes.select(*keys, F.col("minute").alias("at")).schema
-    if state is None:
-        return minutes.groupBy(*keys).applyInPandas(lambda group: keep(group, None), schema)
-
-    def keep_after(group: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        if not len(group):
-            return pd.DataFrame(columns=[*keys, "at"])
-        return keep(group, int(before["at"].iloc[0]) if len(before) else None)
-
-    return minutes.groupBy(*keys).cogroup(state.groupBy(*keys)).applyInPandas(keep_after, schema)
-
-
-def _chain_in_stretches(
-    minutes: DataFrame, keys: list[str], gap_ms: int, strict: bool, length: int
-) -> DataFrame:
-    """Walk stretches of `length` minutes in order, each from the state before it."""
-    spark = minutes.sparkSession
-    folder = f"{workspace(spark)}/spacing-{uuid.uuid4().hex}"
-    parts = minutes.withColumn("stretch", F.floor(F.col("minute") / length).cast("bigint"))
-    parts.hint("rebalance", "stretch").write.partitionBy("stretch").parquet(f"{folder}/minutes")
-    by_stretch = spark.read.schema(parts.schema).parquet(f"{folder}/minutes")
-    order = [r[0] for r in parts.select("stretch").distinct().orderBy("stretch").collect()]
-
-    kept, last = [], None
-    for number in order:
-        now = by_stretch.filter(F.col("stretch") == number).drop("stretch")
-        path = f"{folder}/kept/stretch={number}"
-        _chain(now, last, keys, gap_ms, strict).write.mode("overwrite").parquet(path)
-        kept.append(path)
-        latest = spark.read.parquet(path)
-        if last is not None:
-            latest = latest.unionByName(last)
-        # Stored, so that the plan of each step stays short.
-        last = stored(latest.groupBy(*keys).agg(F.max("at").alias("at")))
-    return reduce(DataFrame.unionByName, [spark.read.parquet(p) for p in kept])
+    schema = blocks.select(*keys, F.col("minute").alias("at")).schema
+    by = [*keys, "block"]
+    return blocks.groupBy(*by).cogroup(entries.groupBy(*by)).applyInPandas(keep, schema)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logweir.functions.chain import spaced_positions
+from logweir.functions.chain import block_steps, spaced_positions, step
 from logweir.operators import detection, metrics
 from logweir.operators.running import running_totals
 from logweir.operators.spacing import spaced
@@ -63,17 +63,45 @@ def test_chain_boundaries():
 
 
 @pytest.mark.parametrize("strict", [False, True])
-@pytest.mark.parametrize("limit", [20_000_000, 150])
-def test_spacing_in_one_go_and_in_stretches(spark, rows, strict, limit):
+@pytest.mark.parametrize(("minutes", "gap"), [(30, 60), (1, 60), (1, 300), (2, 7)])
+def test_spacing_by_blocks_of_any_length(spark, rows, strict, minutes, gap):
     times = [(r[2], int((r[1] - START).total_seconds() * 1000)) for r in rows]
     df = spark.createDataFrame(times, "service STRING, at BIGINT")
     got = {}
-    for r in spaced(df, ["service"], timedelta(seconds=60), strict, limit).collect():
+    for r in spaced(df, ["service"], timedelta(seconds=gap), strict, minutes).collect():
         got.setdefault(r.service, []).append(r["at"])
-    want = {s: greedy([t for x, t in times if x == s], 60_000, strict) for s in {t[0] for t in times}}
+    want = {s: greedy([t for x, t in times if x == s], gap * 1000, strict) for s in {t[0] for t in times}}
     assert {k: sorted(v) for k, v in got.items()} == want
 
 
+@pytest.mark.parametrize("strict", [False, True])
+def test_steps_of_blocks_are_what_the_chain_does(strict):
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        gap, begin = int(rng.integers(1, 60)), 1000
+        times = np.unique(rng.integers(begin, begin + rng.integers(2, 300), rng.integers(1, 80)))
+        starts, lasts = block_steps(times, begin, gap, strict)
+        assert (np.diff(starts) > 0).all() and (np.diff(lasts) != 0).all()
+        for last in [None, *range(begin - gap - 3, begin)]:
+            kept = spaced_positions(times, gap, strict, last)
+            assert step(starts, lasts, gap, strict, last) == (int(times[kept[-1]]) if kept else last)
+
+
+def test_steps_of_dense_blocks_are_few_where_chains_meet():
+    times = np.unique(np.random.default_rng(1).integers(0, 1_800_000, 20_000))
+    starts, _ = block_steps(times, 0, 60_000, False)
+    assert len(starts) < 100  # of some 670 first times
+
+
+def test_spacing_holds_no_key_in_one_task(spark):
+    rows = spark.range(200_000).select(F.lit(None).cast("string").alias("k"), (F.col("id") * 997 + 17).alias("at"))
+    got = sorted(r["at"] for r in spaced(rows, ["k"], timedelta(seconds=5), block_minutes=1).collect())
+    assert got == greedy(range(17, 200_000 * 997, 997), 5000, False)
+    plan = spaced(rows, ["k"], timedelta(seconds=5))._jdf.queryExecution().executedPlan().toString()
+    grouped = [line for line in plan.splitlines() if "InPandas" in line]
+    assert len(grouped) == 2 and all("block" in line for line in grouped)
+
+
 def test_running_totals_in_any_slicing(spark):
     rng = random.Random(3)
     data = [(rng.choice("aab"), i, rng.randint(0, 5)) for i in range(500)]
@@ -151,8 +179,8 @@ def test_sliding_error_rate(events, rows):
         assert got[service, time] == (len(inside), sum(r[3] in ERRORS for r in inside))
 
 
-@pytest.mark.parametrize("limit", [20_000_000, 200])
-def test_anchored_windows(events, rows, limit):
+@pytest.mark.parametrize("minutes", [30, 1])
+def test_anchored_windows(events, rows, minutes):
     windows = {}
     start = {}
     for _, time, service, severity, _ in in_order(rows):
@@ -161,7 +189,7 @@ def test_anchored_windows(events, rows, limit):
         key = (service, start[service])
         total, bad = windows.get(key, (0, 0))
         windows[key] = (total + 1, bad + (severity in ERRORS))
-    got = detection.anchored_windows(events, CONFIG.window, max_instants=limit)
+    got = detection.anchored_windows(events, CONFIG.window, block_minutes=minutes)
     assert {(r.service, r.window_start): (r.total, r.errors) for r in got.collect()} == windows
 
 
@@ -189,9 +217,9 @@ def simulate_recurring(rows, config):
     return fired
 
 
-@pytest.mark.parametrize(("slice_seconds", "limit"), [(10, 20_000_000), (1, 100), (10_000, 20_000_000)])
-def test_recurring_errors(events, rows, slice_seconds, limit):
-    got = detection.recurring_errors(events, CONFIG, slice_seconds, limit).collect()
+@pytest.mark.parametrize(("slice_seconds", "minutes"), [(10, 30), (1, 1), (10_000, 30)])
+def test_recurring_errors(events, rows, slice_seconds, minutes):
+    got = detection.recurring_errors(events, CONFIG, slice_seconds, minutes).collect()
     want = simulate_recurring(rows, CONFIG)
     assert want
     assert sorted((r.service, r.triggered_at, r.value) for r in got) == sorted((s, t, v) for s, _, t, v in want)
