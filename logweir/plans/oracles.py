@@ -602,6 +602,26 @@ ORACLES: dict[str, str] = {
         WIRE, GOOD,
         f"""SELECT service, time_bucket(INTERVAL 1 DAY, timestamp) AS window_start, count(*) AS total,
     count(*) FILTER (WHERE {ERROR}) AS errors FROM good GROUP BY 1, 2""",
+    ),
+    "stream_error_alerts": sql(
+        WIRE, GOOD,
+        f"""state AS (SELECT service, time_bucket(INTERVAL 1 DAY, timestamp) AS window_start, count(*) AS total,
+    count(*) FILTER (WHERE {ERROR}) AS errors FROM good GROUP BY 1, 2)""",
+        f"""SELECT concat('alert-', service, '-', CAST(epoch(window_start) AS BIGINT), '-', total) AS id,
+    'error-rate-threshold' AS rule_id, service, concat('error_rate_', service) AS fingerprint, 'WARNING' AS severity,
+    CAST(errors AS DOUBLE) / total AS value, {RATE_ALERT} AS message, window_start AS triggered_at, 'firing' AS status
+  FROM state WHERE total >= 20 AND CAST(errors AS DOUBLE) / total >= 0.05""",
+    ),
+    "stream_anchored_alerts": sql(
+        WIRE, GOOD, *anchored("good"),
+        f"""state AS (
+  SELECT i.service, i.event_id, i.tick, count(*) OVER w AS total, count(*) FILTER (WHERE {ERROR}) OVER w AS errors
+  FROM instants i JOIN chain c ON i.service = c.service AND i.tick >= c.tick AND i.tick <= c.tick + INTERVAL 1 DAY
+  WINDOW w AS (PARTITION BY i.service, c.tick ORDER BY i.tick, i.event_id ROWS UNBOUNDED PRECEDING))""",
+        f"""SELECT concat('alert-', service, '-', event_id) AS id, 'error-rate-threshold' AS rule_id, service,
+    concat('error_rate_', service) AS fingerprint, 'WARNING' AS severity, CAST(errors AS DOUBLE) / total AS value,
+    {RATE_ALERT} AS message, tick AS triggered_at, 'firing' AS status
+  FROM state WHERE total >= 20 AND CAST(errors AS DOUBLE) / total >= 0.05""",
     ),
     "stream_window_state": sql(WIRE, GOOD, *anchored("good"), ANCHORED_BODY),
     "stream_recurring": sql(WIRE, GOOD, *recurring("good"), "SELECT * FROM recurring"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -790,6 +791,11 @@ def alert_cooldown(spark, sf_dir):
 ONCE = {"availableNow": True}
 # No event is later than this behind one that arrived before it.
 DELAY = timedelta(days=11)
+# Lets the watermark pass all other events; waits in its own key for ever.
+CLOSING = """{"event_id":"end","timestamp":"2100-01-01T00:00:00Z","service":"_closing","severity":"ERROR","message":"closing"}"""
+CLOSING_ALERT = json.dumps({
+    **dict.fromkeys(ALERT_COLUMNS, "_closing"), "value": 0.0, "triggered_at": "2100-01-01T00:00:00Z"
+})
 
 
 class _Run:
@@ -809,6 +815,18 @@ class _Run:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
+    def finished(self, build: Callable[[DataFrame], DataFrame], closing: str = CLOSING) -> DataFrame:
+        """Result of the stream that `build` makes of lines, once the watermark has passed all of them.
+
+        After the given lines the query goes on with one more, `closing`, of a far later time.
+        """
+        folder = self.path("closing")
+        self.session.createDataFrame([], "value STRING").write.text(folder)
+        stream = build(self.lines.unionByName(file_source(self.session, folder)))
+        self.write(stream)
+        self.session.createDataFrame([(closing,)], "value STRING").coalesce(1).write.mode("append").text(folder)
+        return self.session.read.schema(stream.schema.add("batch", "bigint")).parquet(self.write(stream))
+
     def write(self, stream: DataFrame, mode: str = "append") -> str:
         out = self.path("out")
         jobs.write_batches(stream, out, self.path("checkpoint"), mode, ONCE).awaitTermination()
@@ -856,27 +874,47 @@ def stream_error_rate(spark, sf_dir):
 @query
 def stream_window_state(spark, sf_dir):
     run = _Run(spark, sf_dir)
-    stream = jobs.anchored_windows_stream(jobs.event_stream(run.lines), DETECTION, DELAY)
-    return jobs.anchored_snapshots(spark.read.parquet(run.write(stream)))
+    build = lambda lines: jobs.anchored_windows_stream(jobs.event_stream(lines), DETECTION, DELAY)
+    return jobs.anchored_snapshots(run.finished(build))
+
+
+@query
+def stream_anchored_alerts(spark, sf_dir):
+    """Alerts of every event that leaves its anchored window over the threshold, however late it came."""
+    run = _Run(spark, sf_dir)
+    build = lambda lines: jobs.anchored_windows_stream(jobs.event_stream(lines), DETECTION, DELAY)
+    return jobs.anchored_alerts(run.finished(build), DETECTION)
+
+
+@query
+def stream_error_alerts(spark, sf_dir):
+    """Alerts of windows over the threshold, as the last update of each window has it."""
+    run = _Run(spark, sf_dir)
+    windows = jobs.error_rate_windows(jobs.event_stream(run.lines), DETECTION, DELAY)
+    updates = spark.read.parquet(run.write(windows, "update"))
+    return jobs.window_alerts(jobs.latest_updates(updates, ["service", "window_start"]), DETECTION)
 
 
 @query
 def stream_recurring(spark, sf_dir):
     run = _Run(spark, sf_dir)
-    stream = jobs.recurring_errors_stream(jobs.event_stream(run.lines), DETECTION, DELAY)
-    return spark.read.schema(stream.schema).parquet(run.write(stream)).select(*stream.columns)
+    build = lambda lines: jobs.recurring_errors_stream(jobs.event_stream(lines), DETECTION, DELAY)
+    return run.finished(build).drop("batch")
 
 
 @query
 def stream_cooldown(spark, sf_dir):
     """Every error event as an alert of its service, at most one per quarter hour."""
     run = _Run(spark, sf_dir)
-    errors = aggregates.error_events(jobs.event_stream(run.lines))
-    alerts = errors.withColumn("error_rate", F.lit(1.0)).select(
-        *detection.error_rate_alert("timestamp", DETECTION.threshold, F.col("event_id"))
-    )
-    stream = jobs.cooldown_stream(alerts, DETECTION.alert_cooldown, DELAY)
-    return spark.read.parquet(run.write(stream)).select("id", "fingerprint", "triggered_at")
+
+    def build(lines: DataFrame) -> DataFrame:
+        errors = aggregates.error_events(jobs.event_stream(lines))
+        alerts = errors.withColumn("error_rate", F.lit(1.0)).select(
+            *detection.error_rate_alert("timestamp", DETECTION.threshold, F.col("event_id"))
+        )
+        return jobs.cooldown_stream(alerts, DETECTION.alert_cooldown, DELAY)
+
+    return run.finished(build).select("id", "fingerprint", "triggered_at")
 
 
 @query
@@ -885,10 +923,13 @@ def stream_notifications(spark, sf_dir):
     run = _Run(spark, sf_dir)
     topic = run.path("alerts")
     _alert_topic(spark, sf_dir).select("value").write.text(topic)
-    alerts = detection.decode_alerts(file_source(run.session, topic, 1)).filter("error IS NULL")
-    stream = jobs.cooldown_stream(alerts, DETECTION.alert_cooldown, DELAY)
-    sent = spark.read.schema(stream.schema).parquet(run.write(stream))
-    return detection.notification_payload(sent.select(*ALERT_COLUMNS))
+    run.lines = file_source(run.session, topic, 1)
+
+    def build(records: DataFrame) -> DataFrame:
+        alerts = detection.decode_alerts(records).filter("error IS NULL")
+        return jobs.cooldown_stream(alerts, DETECTION.alert_cooldown, DELAY)
+
+    return detection.notification_payload(run.finished(build, CLOSING_ALERT).select(*ALERT_COLUMNS))
 
 
 @query

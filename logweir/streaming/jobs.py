@@ -151,7 +151,7 @@ def anchored_windows_stream(
     """First-event anchored windows: firing events and window snapshots."""
     rows = _timed(events, delay, "service", "event_id", is_error(F.col("severity")).alias("is_error"))
     return rows.groupBy("service").transformWithStateInPandas(
-        AnchoredWindows(seconds(config.window) * 1000, config.min_events, config.threshold),
+        AnchoredWindows(seconds(delay) * 1000, seconds(config.window) * 1000, config.min_events, config.threshold),
         "service STRING, start BIGINT, at BIGINT, event_id STRING, total BIGINT, errors BIGINT",
         "Append",
         "EventTime",
@@ -191,6 +191,7 @@ def recurring_errors_stream(
         .groupBy("service", "template")
         .transformWithStateInPandas(
             RecurringErrors(
+                seconds(delay) * 1000,
                 config.recurring_count,
                 seconds(config.fingerprint_gap) * 1000,
                 seconds(config.recurring_cooldown) * 1000,
@@ -223,9 +224,12 @@ def cooldown_stream(alerts: DataFrame, quiet: timedelta, delay: timedelta) -> Da
         *[F.col(c).cast("timestamp") if c == "triggered_at" else F.col(c) for c in ALERT_COLUMNS],
         millis(F.col("triggered_at")).alias("at"),
     ).withWatermark("triggered_at", window_text(delay))
-    schema = timed.schema
+    columns = {c: "DOUBLE" if c == "value" else "STRING" for c in ALERT_COLUMNS if c != "triggered_at"}
     kept = timed.groupBy("fingerprint").transformWithStateInPandas(
-        Cooldown(seconds(quiet) * 1000), schema, "Append", "EventTime"
+        Cooldown(seconds(delay) * 1000, seconds(quiet) * 1000, columns),
+        "at BIGINT, " + ", ".join(f"{c} {kind}" for c, kind in columns.items()),
+        "Append",
+        "EventTime",
     )
     return kept.withColumn("triggered_at", from_millis(F.col("at"))).select(*ALERT_COLUMNS)
 

@@ -1,8 +1,9 @@
 """Per-key state machines of the detection and alert streams.
 
-Each call gets one key's rows of one micro-batch, in any order. They are sorted
-there and worked through with array operations, so the state is a few numbers
-per key. The size of a micro-batch is the source's rate limit.
+Rows reach a state machine in the order of their times, whatever the order in which they
+came: they wait in the key's state, filed by cells of time, until the watermark says
+that no earlier one can come. A cell's rows are then sorted and worked through with
+array operations. Rows behind the watermark are late for good; Spark drops and counts them.
 """
 
 from __future__ import annotations
@@ -18,34 +19,88 @@ from pyspark.sql.streaming import StatefulProcessor
 from logweir.functions.chain import spaced_positions
 
 
-def _sorted(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(by, ignore_index=True)
+class InOrder(StatefulProcessor):
+    """Files rows by cells of time and hands on each cell once the watermark has passed it.
 
+    Subclasses name the columns they need beside `at`, work through a cell's rows in
+    `advance` and tell in `idle` when a key can be forgotten.
+    """
+
+    columns: dict[str, str] = {}
+
+    def __init__(self, delay_ms: int):
+        # Short against the delay, so that a cell adds little to it.
+        self.cell_ms = max(1000, delay_ms // 8)
+
+    def init(self, handle):
+        self.handle = handle
+        values = ", ".join(f"{c} ARRAY<{kind}>" for c, kind in {"at": "BIGINT", **self.columns}.items())
+        self.waiting = handle.getMapState("waiting", "cell BIGINT, piece BIGINT", values)
+        self.pieces = handle.getValueState("pieces", "n BIGINT")
+
+    def handleInputRows(self, key, rows, timerValues):
+        batch = self.merged(pd.concat(list(rows), ignore_index=True)[["at", *self.columns]])
+        piece = self.pieces.get()[0] + 1 if self.pieces.exists() else 0
+        for cell, part in batch.groupby(batch["at"] // self.cell_ms, sort=False):
+            self.waiting.updateValue((int(cell), piece), tuple(part[c].tolist() for c in part))
+            self.handle.registerTimer((int(cell) + 1) * self.cell_ms)
+        self.pieces.update((piece,))
+        return iter([])
+
+    def merged(self, batch: pd.DataFrame) -> pd.DataFrame:
+        return batch
 
-def _set_timer(handle, at: int) -> None:
-    for old in list(handle.listTimers()):
-        handle.deleteTimer(old if isinstance(old, int) else old[0])
-    handle.registerTimer(at)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        names = ["at", *self.columns]
+        filed = sorted(tuple(k) for k in self.waiting.keys())
+        due = [k for k in filed if (k[0] + 1) * self.cell_ms <= passed]
+        for cell in dict.fromkeys(k[0] for k in due):
+            pieces = [k for k in due if k[0] == cell]
+            parts = [pd.DataFrame(dict(zip(names, self.waiting.getValue(k)))) for k in pieces]
+            yield from self.advance(key, pd.concat(parts, ignore_index=True))
+            for k in pieces:
+                self.waiting.removeKey(k)
+        if len(due) == len(filed):
+            until = self.idle()
+            if until is not None and until < passed:
+                self.state.clear()
+                self.pieces.clear()
+            elif until is not None:
+                self.handle.registerTimer(until + 1)
+
+    def advance(self, key, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
+
+    def idle(self) -> int | None:
+        """The time after which nothing that is to come depends on the state."""
+        raise NotImplementedError
 
+    def close(self):
+        pass
 
-class AnchoredWindows(StatefulProcessor):
+
+class AnchoredWindows(InOrder):
     """Error rate of windows that start at a service's first event.
 
     Emits a row for each event after which the window breaks the threshold, and
-    one snapshot of each window a micro-batch touched (`event_id` is empty).
+    one snapshot of each window that a cell touched (`event_id` is empty).
     """
 
-    def __init__(self, window_ms: int, min_events: int, threshold: float):
+    columns = {"event_id": "STRING", "is_error": "BOOLEAN"}
+
+    def __init__(self, delay_ms: int, window_ms: int, min_events: int, threshold: float):
+        super().__init__(delay_ms)
         self.window_ms = window_ms
         self.min_events = min_events
         self.threshold = threshold
 
     def init(self, handle):
-        self.handle = handle
+        super().init(handle)
         self.state = handle.getValueState("window", "start BIGINT, total BIGINT, errors BIGINT")
 
-    def handleInputRows(self, key, rows, timerValues):
-        batch = _sorted(rows, ["at", "event_id"])
+    def advance(self, key, batch):
+        batch = batch.sort_values(["at", "event_id"], ignore_index=True)
         times = batch["at"].to_numpy()
         errors = batch["is_error"].to_numpy().astype("int64")
         start, total, bad = self.state.get() if self.state.exists() else (None, 0, 0)
@@ -69,14 +124,9 @@ class AnchoredWindows(StatefulProcessor):
             yield out
             position = part.stop
         self.state.update((start, total, bad))
-        _set_timer(self.handle, start + 2 * self.window_ms)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.state.clear()
-        return iter([])
-
-    def close(self):
-        pass
+    def idle(self):
+        return self.state.get()[0] + self.window_ms if self.state.exists() else None
 
 
 def merge_instants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,22 +136,28 @@ def merge_instants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rows.groupby(keys, as_index=False, sort=False)["n"].sum()
 
 
-class RecurringErrors(StatefulProcessor):
+class RecurringErrors(InOrder):
     """Count of an error pattern since it was first seen, and its alerts."""
 
-    def __init__(self, limit: int, idle_ms: int, cooldown_ms: int):
+    columns = {"n": "BIGINT"}
+
+    def __init__(self, delay_ms: int, limit: int, idle_ms: int, cooldown_ms: int):
+        super().__init__(delay_ms)
         self.limit = limit
         self.idle_ms = idle_ms
         self.cooldown_ms = cooldown_ms
 
     def init(self, handle):
-        self.handle = handle
+        super().init(handle)
         self.state = handle.getValueState(
             "pattern", "count BIGINT, first BIGINT, last BIGINT, alerted BIGINT"
         )
 
-    def handleInputRows(self, key, rows, timerValues):
-        batch = pd.concat(list(rows), ignore_index=True).groupby("at", as_index=False)["n"].sum()
+    def merged(self, batch):
+        return batch.groupby("at", as_index=False)["n"].sum()
+
+    def advance(self, key, batch):
+        batch = self.merged(batch)
         times, copies = batch["at"].to_numpy(), batch["n"].to_numpy()
         count, first, last, alerted = self.state.get() if self.state.exists() else (0, None, None, None)
         # Stretches without an idle gap; the first one may go on from the state.
@@ -126,44 +182,39 @@ class RecurringErrors(StatefulProcessor):
                     }
                 )
             count += int(n.sum())
-            last = int(at[-1]) if last is None else max(int(at[-1]), last)
+            last = int(at[-1])
         self.state.update((count, first, last, alerted))
-        _set_timer(self.handle, last + self.idle_ms + 1)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.state.clear()
-        return iter([])
+    def idle(self):
+        return self.state.get()[2] + self.idle_ms if self.state.exists() else None
 
-    def close(self):
-        pass
 
-
-class Cooldown(StatefulProcessor):
+class Cooldown(InOrder):
     """Lets an alert through when its fingerprint has been quiet long enough."""
 
-    def __init__(self, quiet_ms: int):
+    def __init__(self, delay_ms: int, quiet_ms: int, columns: dict[str, str]):
+        super().__init__(delay_ms)
         self.quiet_ms = quiet_ms
+        self.columns = columns
 
     def init(self, handle):
-        self.handle = handle
+        super().init(handle)
         self.state = handle.getValueState("delivered", "last BIGINT")
 
-    def handleInputRows(self, key, rows, timerValues):
-        batch = _sorted(rows, ["at", "id"])
+    def merged(self, batch):
+        # Of the alerts of one instant only the first can be let through.
+        return batch.sort_values(["at", "id"]).drop_duplicates("at")
+
+    def advance(self, key, batch):
+        batch = self.merged(batch).reset_index(drop=True)
         last = self.state.get()[0] if self.state.exists() else None
         kept = spaced_positions(batch["at"].to_numpy(), self.quiet_ms, False, last)
         if kept:
-            last = int(batch["at"].iloc[kept[-1]])
-            self.state.update((last,))
-            _set_timer(self.handle, last + 2 * self.quiet_ms)
+            self.state.update((int(batch["at"].iloc[kept[-1]]),))
             yield batch.iloc[kept]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.state.clear()
-        return iter([])
-
-    def close(self):
-        pass
+    def idle(self):
+        return self.state.get()[0] + self.quiet_ms if self.state.exists() else None
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -12,7 +13,7 @@ from logweir.sources import archive, hot
 from logweir.sources.deadletters import read_dead_letters
 from logweir.sources.logstream import file_source
 from logweir.streaming import jobs
-from test_detection import CONFIG, make_events
+from test_detection import CONFIG, ERRORS, make_events
 
 ONCE = {"availableNow": True}
 DELAY = timedelta(hours=4)
@@ -41,11 +42,16 @@ class Feed:
         staged.rename(self.folder / f"{self.files:03d}.txt")
         self.files += 1
 
+    def close(self):
+        """An event far behind all others, with which the watermark passes them."""
+        self.add([line(("end", datetime(2100, 1, 1), "_closing", "ERROR", "closing"))])
+
     def source(self):
         return file_source(self.spark, str(self.folder), 1)
 
     def events(self):
-        return accepted(decode_events(self.spark.read.text(str(self.folder))))
+        events = accepted(decode_events(self.spark.read.text(str(self.folder))))
+        return events.filter("service <> '_closing'")
 
 
 @pytest.fixture(scope="module")
@@ -119,7 +125,69 @@ def test_error_rate_windows(spark, feed, tmp_path):
     assert alerts.columns == ALERT_COLUMNS and alerts.count() > 0
 
 
+def alerts_of(events):
+    return aggregates.error_events(events).withColumn("error_rate", F.lit(0.5)).select(
+        *detection.error_rate_alert("timestamp", 0.05, F.col("event_id"))
+    )
+
+
+def anchored_firing(events, config):
+    """Per event, in order: what the anchored window of its service then holds."""
+    out, state = set(), {}
+    for r in sorted(events.collect(), key=lambda r: (r.timestamp.replace(microsecond=r.timestamp.microsecond // 1000 * 1000), r.event_id)):
+        at = r.timestamp.replace(microsecond=r.timestamp.microsecond // 1000 * 1000)
+        start, total, bad = state.get(r.service, (None, 0, 0))
+        if start is None or at - start > config.window:
+            start, total, bad = at, 0, 0
+        total, bad = total + 1, bad + (r.severity in ERRORS)
+        state[r.service] = start, total, bad
+        if total >= config.min_events and bad / total >= config.threshold:
+            out.add((f"alert-{r.service}-{r.event_id}", at, round(bad / total, 9)))
+    return out
+
+
+@pytest.fixture()
+def late_feed(spark, tmp_path, rows):
+    """Events that come up to 20 minutes late, across files."""
+    rng = random.Random(11)
+    late = sorted(rows, key=lambda r: r[1] + timedelta(minutes=rng.uniform(0, 20)))
+    assert late != rows
+    feed = Feed(spark, tmp_path)
+    for start in range(0, 1500, 150):
+        feed.add([line(r) for r in late[start : start + 150]])
+    feed.close()
+    return feed
+
+
+LATE = timedelta(minutes=21)
+
+
+def test_late_events_enter_the_right_anchored_window(spark, late_feed, tmp_path):
+    stream = jobs.anchored_windows_stream(jobs.event_stream(late_feed.source()), CONFIG, LATE)
+    query = jobs.write_batches(stream, str(tmp_path / "out"), str(tmp_path / "check"), "append", ONCE)
+    query.awaitTermination()
+    assert jobs.late_rows(query) == 0
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    assert stored.select("batch").distinct().count() > 2  # released as the watermark went on
+    same(jobs.anchored_snapshots(stored), detection.anchored_windows(late_feed.events(), CONFIG.window))
+    got = {(r.id, r.triggered_at, round(r.value, 9)) for r in jobs.anchored_alerts(stored, CONFIG).collect()}
+    assert got and got == anchored_firing(late_feed.events(), CONFIG)
+
+
+def test_late_errors_count_in_their_pattern(spark, late_feed, tmp_path):
+    stream = jobs.recurring_errors_stream(jobs.event_stream(late_feed.source()), CONFIG, LATE)
+    same(run(spark, stream, tmp_path).select(*ALERT_COLUMNS), detection.recurring_errors(late_feed.events(), CONFIG))
+
+
+def test_late_alerts_cool_down_in_order(spark, late_feed, tmp_path):
+    quiet = timedelta(minutes=2)
+    stored = run(spark, jobs.cooldown_stream(alerts_of(jobs.event_stream(late_feed.source())), quiet, LATE), tmp_path)
+    want = detection.cooldown(alerts_of(late_feed.events()), quiet)
+    assert sorted(r.id for r in stored.collect()) == sorted(r.id for r in want.collect())
+
+
 def test_anchored_windows(spark, feed, tmp_path):
+    feed.close()
     stored = run(spark, jobs.anchored_windows_stream(jobs.event_stream(feed.source()), CONFIG, DELAY), tmp_path)
     same(jobs.anchored_snapshots(stored), detection.anchored_windows(feed.events(), CONFIG.window))
     alerts = jobs.anchored_alerts(stored, CONFIG)
@@ -128,22 +196,18 @@ def test_anchored_windows(spark, feed, tmp_path):
 
 
 def test_recurring_errors(spark, feed, tmp_path):
+    feed.close()
     stream = jobs.recurring_errors_stream(jobs.event_stream(feed.source()), CONFIG, DELAY)
     same(run(spark, stream, tmp_path).select(*ALERT_COLUMNS), detection.recurring_errors(feed.events(), CONFIG))
 
 
 def test_cooldown_and_delivery(spark, feed, tmp_path):
     quiet = timedelta(minutes=2)
-
-    def alerts_of(events):
-        return aggregates.error_events(events).withColumn("error_rate", F.lit(0.5)).select(
-            *detection.error_rate_alert("timestamp", 0.05, F.col("event_id"))
-        )
-
+    feed.close()
     sent, failures = [], []
 
     def deliver(batch, number):
-        if not failures and number == 1:
+        if not failures and number == 4:
             failures.append(number)
             raise RuntimeError("webhook down")
         sent.extend(r.alert_id for r in detection.notification_payload(batch).collect())
