@@ -1,8 +1,7 @@
 """Line dedup by site-relative frequency [native].
 
 The pages of a host (here: documents of a source) that hold a line are divided by the
-host's pages; a line above `ratio`, on at least `min_pages` pages, is boilerplate there
-and is dropped from all of the host's pages. The boilerplate lines of a host number at
+host's pages; a line above `ratio` is boilerplate there from all of the host's pages. One or two pages (fewer than `min_pages`) are chance. The boilerplate lines of a host number at
 most its lines per page over `ratio`, whatever its size.
 
 Pages are told apart by their text: copies of one page count once on both sides, else a
@@ -37,7 +36,7 @@ def boilerplate_lines(docs: DataFrame, ratio: float, min_pages: int) -> DataFram
     return marked.groupBy("host", "content").agg(F.collect_set("line").alias("dropped"))
 
 
-def line_dedup(docs: DataFrame, ratio: float = 0.02, min_pages: int = 20, counted: str | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, ratio: float = 0.02, min_pages: int = 3, counted: str | None = None) -> DataFrame:
     """`docs` without the boilerplate lines of each host; `counted` names a column for their number."""
     marks = boilerplate_lines(docs.select("source", "text"), ratio, min_pages)
     packed = docs.select(

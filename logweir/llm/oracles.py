@@ -16,7 +16,7 @@ WITH pages AS (
   SELECT source, count(DISTINCT md5(text)) AS n FROM documents GROUP BY source
 ), drops AS (
   SELECT f.source, line FROM (SELECT source, line, count(*) AS c FROM rows GROUP BY ALL) f
-  JOIN totals t ON f.source IS NOT DISTINCT FROM t.source WHERE c >= 20 AND c > 0.02 * t.n
+  JOIN totals t ON f.source IS NOT DISTINCT FROM t.source WHERE c >= 3 AND c > 0.02 * t.n
 ), marks AS (
   SELECT r.source, content, list(r.line) AS dropped FROM rows r
   JOIN drops d ON r.source IS NOT DISTINCT FROM d.source AND r.line = d.line GROUP BY ALL
@@ -137,10 +137,8 @@ each_line AS (
   SELECT DISTINCT source, content, unnest(range(1, len(own) + 1)) AS pos, unnest(own) AS l FROM base
 ), keyed AS (
   SELECT source, content, pos, {KEY} AS line, len(regexp_extract_all(l, '{WORD}')) AS n FROM each_line
-), totals AS (SELECT source, count(DISTINCT content) AS n FROM base GROUP BY source),
-removed AS (
-  SELECT f.source, line FROM (SELECT source, line, count(DISTINCT content) AS c FROM keyed GROUP BY ALL) f
-  JOIN totals t ON f.source IS NOT DISTINCT FROM t.source WHERE c > 100 AND c > 0.05 * t.n
+), removed AS (
+  SELECT source, line FROM keyed GROUP BY ALL HAVING count(DISTINCT content) > 10
 ), lost AS (
   SELECT k.source, k.content, sum(k.n) AS n FROM keyed k
   JOIN removed r ON k.source IS NOT DISTINCT FROM r.source AND k.line = r.line GROUP BY ALL

@@ -1,14 +1,14 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two bigram models of letter words, one of toxic and one of ordinary texts. An expression
-counts by the different words that it follows, on both levels: copies of a text repeat an
-expression in the same place and add nothing. Each level is discounted: an expression
-with a count of at most `discount` in a class keeps nothing there and takes its
-probability from the level below, and the last level, continuation counts over both
-classes, is shared. So an expression that is rare in both classes scores alike
-in both, whatever chance gave it to one of them, and the models are kept small: only
-expressions beyond the discount have entries, of which the `max_expressions` most
-frequent are held (the bound of what is sent to the tasks).
+counts in a class by the documents it stands in, or by the different words that it follows if these are
+fewer: neither a long text that repeats it nor copies of a text add to it. Counts are
+discounted by what counts of one and two say (Kneser-Ney's estimate), and what that frees
+goes to the level below: from pairs to words, from words to continuation counts over both
+classes, which are shared. Rare expressions, of fewer than `several` places in
+both classes together, have these shared counts only, so whatever chance gave one of
+them to a class, it scores alike in both. What the tasks are sent are the others, which the
+bounded training rows keep few.
 
 A text is scored by log-likelihood ratios, normalised by length: of the whole text and of
 its most toxic windows of several lengths, as a long text may be toxic in one sentence. A
@@ -35,7 +35,8 @@ from logweir.llm.common import checkpoint
 from logweir.llm.learning import apply_logistic, class_counts, fold, labelled, logistic
 
 LETTERS = re.compile(r"[^\W\d_]+")
-WINDOWS = (1, 4, 16)
+WINDOWS, TIERS = (1, 4, 16), (5, 20, 80)
+FEATURES = 1 + len(TIERS) * len(WINDOWS)
 #: Distinct expressions that a task holds before it hands its counts on.
 HELD = 500_000
 
@@ -50,16 +51,16 @@ class Models:
 
     ids: dict[str, int]
     unigram: np.ndarray  # (words, 2): probability by class
+    places: np.ndarray  # (words,): places of both classes together
     back: np.ndarray  # (words, 2): mass that a context leaves to the unigrams
     pairs: np.ndarray  # sorted context * words + word
     kept: np.ndarray  # (pairs, 2): discounted probability of a pair
 
-    def ratios(self, text: str) -> np.ndarray:
-        """Log-likelihood ratio, toxic over ordinary, of each word after the one before it."""
-        found = [self.ids.get(t, 0) for t in tokens(text)]
-        if not found:
-            return np.zeros(0)
-        word = np.array(found, dtype=np.int64)
+    def words(self, text: str) -> np.ndarray:
+        return np.array([self.ids.get(t, 0) for t in tokens(text)], dtype=np.int64)
+
+    def logs(self, word: np.ndarray) -> np.ndarray:
+        """(words, 2): log-probability by class of each word after the one before it."""
         before = np.concatenate([[0], word[:-1]])
         p = self.back[before] * self.unigram[word]
         key = before * len(self.unigram) + word
@@ -67,91 +68,108 @@ class Models:
         if len(self.pairs):
             hit = self.pairs[at] == key
             p[hit] += self.kept[at[hit]]
-        return np.log(p[:, 1]) - np.log(p[:, 0])
+        return np.log(p)
 
     def features(self, text: str) -> list[float]:
-        r = self.ratios(text)
-        if not len(r):
-            return [0.0] * (1 + len(WINDOWS))
-        sums = np.concatenate([[0.0], np.cumsum(r)])
-        best = [float(((sums[w:] - sums[:-w]) / w).max()) if len(r) >= w else float(sums[-1] / w) for w in WINDOWS]
-        return [float(sums[-1] / len(r)), *best]
+        """Log-likelihood ratios, toxic over ordinary, by length: of the text, and of its most toxic windows.
+
+        Windows are taken of well-known words only, once for each number in TIERS: the more places a
+        word has, the less its ratio owes to chance, and the regression weighs that.
+        """
+        word = self.words(text)
+        if not len(word):
+            return [0.0] * FEATURES
+        r = self.logs(word) @ np.array([-1.0, 1.0])
+        out = [float(r.mean())]
+        for tier in TIERS:
+            sums = np.concatenate([[0.0], np.cumsum(np.where(self.places[word] >= tier, r, 0.0))])
+            out += [float(((sums[w:] - sums[:-w]) / w).max()) if len(r) >= w else float(sums[-1] / w) for w in WINDOWS]
+        return out
 
 
 def contexts(rows: DataFrame) -> DataFrame:
-    """(first, second, n0, n1): by class, how many different words the pair follows; first is empty at a text's start."""
+    """(before, first, second, label, doc): each text's distinct pairs of words with the word before; empty at its start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: set = set()
         for batch in batches:
-            for text, label in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
+            for text, label, doc in zip(batch.column("text"), batch.column("label").to_pylist(), batch.column("doc").to_pylist(), strict=True):
                 own = tokens(text.as_py())
-                held.update(zip(["", "", *own[:-2]], ["", *own[:-1]], own, [label] * len(own)))  # noqa: B905
+                held.update(zip(["", "", *own[:-2]], ["", *own[:-1]], own, [label] * len(own), [doc] * len(own)))  # noqa: B905
                 if len(held) > HELD:
                     yield _batch(held)
                     held = set()
         yield _batch(held)
 
-    found = rows.select("text", "label").mapInArrow(run, "before string, first string, second string, label int")
-    triples = found.groupBy("before", "first", "second").agg(
-        F.max(1 - F.col("label")).alias("in0"), F.max("label").alias("in1")
-    )
-    return triples.groupBy("first", "second").agg(F.sum("in0").alias("n0"), F.sum("in1").alias("n1"))
+    texts = rows.select("text", "label", F.xxhash64("text").alias("doc"))
+    return texts.mapInArrow(run, "before string, first string, second string, label int, doc bigint")
 
 
 def _batch(held: set) -> pa.RecordBatch:
-    columns = zip(*held, strict=True) if held else ((), (), (), ())
-    kinds = {"before": pa.string(), "first": pa.string(), "second": pa.string(), "label": pa.int32()}
+    columns = zip(*held, strict=True) if held else ((), (), (), (), ())
+    kinds = {"before": pa.string(), "first": pa.string(), "second": pa.string(), "label": pa.int32(), "doc": pa.int64()}
     return pa.record_batch({name: pa.array(values, kind) for (name, kind), values in zip(kinds.items(), columns, strict=True)})
 
 
-def train(rows: DataFrame, discount: float, max_expressions: int) -> Models:
-    """Both models from labelled rows; the driver receives entries beyond the discount only."""
-    pairs = checkpoint(contexts(rows))
-    words = pairs.groupBy("second").agg(
-        F.count(F.when(F.col("n0") > 0, 1)).alias("n0"), F.count(F.when(F.col("n1") > 0, 1)).alias("n1"), F.count(F.lit(1)).alias("after")
-    )
-    total = words.agg(F.sum("n0"), F.sum("n1"), F.sum("after"), F.count(F.lit(1))).first()
-    n, after, types = np.array([total[0] or 0, total[1] or 0], float), float(total[2] or 0), float(total[3] or 0)
-    common = lambda df, *key: (
-        df.where(F.greatest("n0", "n1") > discount).orderBy((F.col("n0") + F.col("n1")).desc(), *key).limit(max_expressions).toArrow().to_pylist()
-    )
-    unigrams, bigrams = common(words, "second"), common(pairs.where("first <> ''"), "first", "second")
-    left = pairs.groupBy("first").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    ids = {r["second"]: i for i, r in enumerate(unigrams, 1)}
+def counted(found: DataFrame, key: list[str], context: str) -> DataFrame:
+    """(key, n0, n1): by class, in how many documents an expression stands, or after how many words if these are fewer."""
+    places = F.least(F.size(F.collect_set("doc")), F.size(F.collect_set(F.xxhash64(context)))).cast("bigint")
+    by_class = found.groupBy(*key, "label").agg(places.alias("n"))
+    return by_class.groupBy(*key).agg(*[F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)])
+
+
+def discounts(counts: DataFrame) -> np.ndarray:
+    """What a count of either class is short of: n1 / (n1 + 2 n2), from how many expressions have a count of 1 and of 2."""
+    ones = counts.agg(*[F.count_if(F.col(f"n{c}") == k) for c in (0, 1) for k in (1, 2)]).first()
+    return np.array([n1 / (n1 + 2 * n2) if n1 else 0.5 for n1, n2 in (ones[:2], ones[2:])], float)
+
+
+def train(rows: DataFrame, several: int) -> Models:
+    """Both models from labelled rows; the driver receives expressions of `several` places only."""
+    found = checkpoint(contexts(rows))
+    pairs = checkpoint(counted(found, ["first", "second"], "before"))
+    words = checkpoint(counted(found, ["second"], "first"))
+    after = pairs.groupBy("second").count()
+    total = words.agg(F.sum("n0"), F.sum("n1"), F.count(F.lit(1))).first()
+    n, types, every = np.array([total[0] or 0, total[1] or 0], float), float(total[2] or 0), float(pairs.count())
+    common = lambda df: df.where(F.col("n0") + F.col("n1") >= several)
+    known = common(words).join(after, "second").orderBy("second").toArrow().to_pylist()
+    ids = {r["second"]: i for i, r in enumerate(known, 1)}
     size = len(ids) + 1
-    own, shared = np.zeros((size, 2)), np.full(size, 0.5 / (after + 0.5 * (types + 1)))
-    for i, r in enumerate(unigrams, 1):
+    own, shared = np.zeros((size, 2)), np.full(size, 0.5 / (every + 0.5 * (types + 1)))
+    for i, r in enumerate(known, 1):
         own[i] = r["n0"], r["n1"]
-        shared[i] = (r["after"] + 0.5) / (after + 0.5 * (types + 1))
-    own = np.maximum(own - discount, 0) / np.maximum(n, 1)
+        shared[i] = (r["count"] + 0.5) / (every + 0.5 * (types + 1))
+    own = np.maximum(own - discounts(words), 0) / np.maximum(n, 1)
     unigram = own + (1 - own.sum(axis=0)) * shared[:, None]
     follows = np.ones((size, 2))
-    for r in common(left, "first"):
+    left = pairs.where("first <> ''").groupBy("first").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    for r in common(left).toArrow().to_pylist():
         if r["first"] in ids:
             follows[ids[r["first"]]] = max(r["n0"], 1), max(r["n1"], 1)
-    found = sorted((ids[r["first"]] * size + ids[r["second"]], r["n0"], r["n1"]) for r in bigrams if r["first"] in ids and r["second"] in ids)
-    key = np.array([p[0] for p in found], dtype=np.int64)
+    frequent = common(pairs.where("first <> ''")).toArrow().to_pylist()
+    at = sorted((ids[r["first"]] * size + ids[r["second"]], r["n0"], r["n1"]) for r in frequent if r["first"] in ids and r["second"] in ids)
+    key = np.array([p[0] for p in at], dtype=np.int64)
     context = key // size
-    kept = np.maximum(np.array([p[1:] for p in found], dtype=float).reshape(-1, 2) - discount, 0) / follows[context]
+    kept = np.maximum(np.array([p[1:] for p in at], dtype=float).reshape(-1, 2) - discounts(pairs), 0) / follows[context]
     back = np.ones((size, 2))
     np.subtract.at(back, context, kept)
-    return Models(ids, unigram, np.maximum(back, 1e-6), key, kept)
+    places = np.array([0, *[r["n0"] + r["n1"] for r in known]], float)
+    return Models(ids, unigram, places, np.maximum(back, 1e-6), key, kept)
 
 
 def toxicity(
     docs: DataFrame,
     labels: DataFrame,
     per_class: int = 6_000,
-    discount: float = 4.5,
-    max_expressions: int = 100_000,
+    several: int = 5,
     threshold: float = 0.3,
 ) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of `docs`."""
     sizes = class_counts(labels, "toxic")
     rows = labelled(docs, labels, "toxic", per_class)
     none = min(sizes) == 0
-    models = None if none else train(rows, discount, max_expressions)
+    models = None if none else train(rows, several)
     weights = None
     if models:
         sent = docs.sparkSession.sparkContext.broadcast(models)
@@ -162,7 +180,7 @@ def toxicity(
                 yield pa.record_batch({"x": pa.array(x, pa.list_(pa.float64())), "label": batch.column("label")})
 
         found = rows.select("text", "label").mapInArrow(measure, "x array<double>, label int").collect()  # 2 * per_class rows at most
-        x, y = np.array([r["x"] for r in found]).reshape(len(found), 1 + len(WINDOWS)), np.array([r["label"] for r in found], float)
+        x, y = np.array([r["x"] for r in found]).reshape(len(found), FEATURES), np.array([r["label"] for r in found], float)
         # The classes weigh as in the whole of the labels, not as in the bounded sample.
         weight = np.where(y == 1, sizes[1] / max(y.sum(), 1), sizes[0] / max((1 - y).sum(), 1))
         weights = logistic(x, y, weight) if len(set(y)) == 2 else None

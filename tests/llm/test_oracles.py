@@ -18,6 +18,15 @@ def test_query_equals_its_oracle(spark, name):
     assert difference(QUERIES[name](spark, SF_DIR), duck(SF_DIR), ORACLES[name]) is None
 
 
+def test_the_frequency_of_lines_decides_on_the_test_tables(spark):
+    con = duck("/root/testdata/sf0.01")
+    dropped = con.execute(f"SELECT count(*) FILTER (n_dropped > 0) FROM ({ORACLES['op2_line_dedup']})").fetchone()[0]
+    lines, depleted = con.execute(
+        f"SELECT count(*) FILTER (n_left_words < n_words), count(*) FILTER (kept <> NOT base_failed) FROM ({ORACLES['op10_quality_rules']})"
+    ).fetchone()
+    assert dropped > 100 and lines > 5 and depleted > 0
+
+
 @pytest.mark.parametrize("name", ["op2_line_dedup", "op8_fingerprints", "op10_quality_rules"])
 def test_awkward_rows_equal_the_oracle(spark, awkward, name, tmp_path):
     folder = tmp_path / "t"

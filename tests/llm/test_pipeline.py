@@ -1,27 +1,96 @@
+from collections import Counter, defaultdict
+
 from support import SF_DIR
 
 import corpus_pipeline
 from logweir.llm.byte_bpe import Codec, RANKS
 from logweir.llm.quality_rules import boilerplate
-from test_operators import WORD, brute_components, brute_repeats
+from test_operators import LOWER, WORD, brute_repeats
+
+
+def line_key(line):
+    return " ".join(WORD.findall(line.lower()))
+
+
+def holders(rows):
+    """(source, line) -> texts that hold the line, and source -> texts."""
+    held, texts = defaultdict(set), defaultdict(set)
+    for r in rows:
+        texts[r.source].add(r.text)
+        for line in (r.text or "").split("\n"):
+            if WORD.search(line):
+                held[r.source, line_key(line)].add(r.text)
+    return held, texts
+
+
+def brute_rules(rows):
+    held, _ = holders(rows)
+    for r in rows:
+        n = len(WORD.findall(r.text or ""))
+        lost = sum(len(WORD.findall(x)) for x in (r.text or "").split("\n") if len(held[r.source, line_key(x)]) > 10)
+        if n >= 20 and 100 * brute_repeats(r.text) <= 30 * n and n - lost >= 20 and n - lost >= 0.3 * n:
+            yield r
+
+
+def brute_lines(rows):
+    held, texts = holders(rows)
+    for r in rows:
+        own = r.text.split("\n")
+        drop = [WORD.search(x) and 3 <= len(held[r.source, line_key(x)]) > 0.02 * len(texts[r.source]) for x in own]
+        yield (r.doc_id, "\n".join(x for x, d in zip(own, drop) if not d) if any(drop) else r.text)
 
 
-def test_stages_against_brute_force(spark, tmp_path):
-    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "jaccard_join", "mixing", "byte_bpe"]
-    seen = [docs]
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        stage(spark, seen[-1], SF_DIR).write.parquet(str(tmp_path / str(k)))
-        seen.append(spark.read.parquet(str(tmp_path / str(k))))
+def shingles(text):
+    w = WORD.findall(text.translate(LOWER))
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def brute_groups(rows):
+    """The least id of each component of documents linked by 80 % of their shingles, found by an inverted index."""
+    rows = list(rows)
+    sets = [shingles(t) for _, t in rows]
+    index = defaultdict(list)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, own in enumerate(sets):
+        met = Counter(j for s in own for j in index[s])
+        for j, shared in met.items():
+            if 100 * shared >= 80 * (len(own) + len(sets[j]) - shared):
+                root[find(i)] = find(j)
+        for s in own:
+            index[s].append(i)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        least[find(i)] = min(doc_id, least.get(find(i), doc_id))
+    return set(least.values())
+
+
+def test_run_against_brute_force_at_each_stage(spark, tmp_path, monkeypatch):
+    sf_dir = "/root/testdata/sf0.01"
+    monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda spark: str(tmp_path))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = ["quality_rules", "line_dedup", "jaccard_join", "mixing", "byte_bpe"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == names
+    last = corpus_pipeline.run(spark, sf_dir)
+    (folder,) = tmp_path.iterdir()
+    seen = [docs, *(spark.read.parquet(str(folder / f"{k}-{n}")) for k, n in enumerate(names))]
     assert all(d.columns == docs.columns for d in seen[:-1])
+    assert last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     rows = [d.collect() for d in seen]
-    # So few documents have no boilerplate beyond 100 documents: the base rules alone decide.
-    good = {r.doc_id for r in rows[0] if len(WORD.findall(r.text or "")) >= 20 and 100 * brute_repeats(r.text) <= 30 * len(WORD.findall(r.text))}
-    assert {r.doc_id for r in rows[1]} == good
-    # Nor are there 20 pages of a source with one line.
-    assert sorted(rows[2]) == sorted(rows[1])
-    linked = brute_components([(r.doc_id, r.text) for r in rows[2]])
-    assert {str(r.doc_id) for r in rows[3]} == {c for _, _, c in linked}
+    assert sorted(map(tuple, rows[5])) == sorted(map(tuple, last.collect()))
+    good = list(brute_rules(rows[0]))
+    base = sum(len(WORD.findall(r.text or "")) >= 20 and 100 * brute_repeats(r.text) <= 30 * len(WORD.findall(r.text)) for r in rows[0])
+    assert len(good) < base  # depleted documents went
+    assert sorted((r.doc_id, r.text) for r in rows[1]) == sorted((r.doc_id, r.text) for r in good)
+    assert sorted((r.doc_id, r.text) for r in rows[2]) == sorted(brute_lines(rows[1]))
+    assert {(r.doc_id, r.text) for r in rows[1]} != {(r.doc_id, r.text) for r in rows[2]}  # lines went
+    left = [(r.doc_id, r.text) for r in rows[2]]
+    assert {r.doc_id for r in rows[3]} == brute_groups((i, t) for i, t in left if WORD.search(t)) | {i for i, t in left if not WORD.search(t)}
     texts = {r.doc_id: r.text for r in rows[3]}
     assert all(set(WORD.findall(r.text)) <= set(WORD.findall(texts[r.doc_id])) for r in rows[4])
     taken, there = (sum(len(WORD.findall(r.text)) for r in x) for x in (rows[4], rows[3]))
@@ -32,12 +101,6 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert sorted((r.doc_id, r.n_tokens) for r in rows[5]) == sorted((r.doc_id, len(codec.encode(r.text))) for r in rows[4])
 
 
-def test_run_applies_the_stages_in_turn(spark, monkeypatch):
-    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[:2] + corpus_pipeline.STAGES[4:])
-    out = corpus_pipeline.run(spark, SF_DIR)
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
-
-
 def test_near_copies_go_by_five_words_and_four_fifths(spark):
     rows = [(1, " ".join(f"u{i}" for i in range(40)), "a"), (2, " ".join(f"u{i}" for i in range(33)), "a")]
     docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
@@ -57,12 +120,12 @@ def test_rules_remove_lines_and_reject_depleted_documents(spark):
 
 def test_rules_remove_lines_of_the_test_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    assert boilerplate(docs, 10, None).count() == 11
+    assert boilerplate(docs, 10).count() == 11
 
 
 def test_line_dedup_acts_on_small_sources(spark):
-    rows = [(i, f"menu top\nown {i}", "a") for i in range(19)] + [(50 + i, ("menu top\n" if i < 4 else "") + f"other {i}", "b") for i in range(8)]
-    rows += [(70 + i, ("menu top\n" if i < 3 else "") + f"more {i}", "c") for i in range(8)]
+    rows = [(i, f"menu top\nown {i}", "a") for i in range(19)] + [(50 + i, ("menu top\n" if i < 3 else "") + f"other {i}", "b") for i in range(8)]
+    rows += [(70 + i, ("menu top\n" if i < 2 else "") + f"more {i}", "c") for i in range(8)]
     docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
     out = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, SF_DIR).collect()}
     assert out == {i: t if s == "c" else t.removeprefix("menu top\n") for i, t, s in rows}
