@@ -19,12 +19,12 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; a line on more than 10 documents of a source is boilerplate, whatever its share."""
-    return keep_good(docs, max_documents=10, max_share=None)
+    return keep_good(docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than 2 % of a source's pages go; up to three pages are chance."""
-    return line_dedup(docs, min_pages=4)
+    """Lines on more than 2 % of a source's pages go; one or two pages are chance."""
+    return line_dedup(docs)
 
 
 def jaccard_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from logweir.functions import json as fj
 from logweir.functions import text as ft
@@ -825,7 +826,7 @@ class _Run:
         stream = build(self.lines.unionByName(file_source(self.session, folder)))
         self.write(stream)
         self.session.createDataFrame([(closing,)], "value STRING").coalesce(1).write.mode("append").text(folder)
-        return self.session.read.schema(stream.schema.add("batch", "bigint")).parquet(self.write(stream))
+        return self.session.read.schema(stream.schema.add("batch", LongType())).parquet(self.write(stream))
 
     def write(self, stream: DataFrame, mode: str = "append") -> str:
         out = self.path("out")
