@@ -1,8 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two bigram models of letter words, one of toxic and one of ordinary texts. An expression
-counts in a class by the documents it stands in, or by the different words that it follows if these are
-fewer: neither a long text that repeats it nor copies of a text add to it. Counts are
+counts once for each document of a class it stands in, and only once for those where its first place follows
+the same word: neither a long text that repeats it nor copies of a text add to it. Counts are
 discounted by what counts of one and two say (Kneser-Ney's estimate), and what that frees
 goes to the level below: from pairs to words, from words to continuation counts over both
 classes, which are shared. Rare expressions, of fewer than `several` places in
@@ -28,17 +28,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweir.llm.common import checkpoint
+from logweir.llm.common import written
 from logweir.llm.learning import apply_logistic, class_counts, fold, labelled, logistic
 
 LETTERS = re.compile(r"[^\W\d_]+")
 WINDOWS, TIERS = (1, 4, 16), (5, 20, 80)
 FEATURES = 1 + len(TIERS) * len(WINDOWS)
-#: Distinct expressions that a task holds before it hands its counts on.
-HELD = 500_000
+#: Texts whose expressions are handed on at once.
+SLICE = 50
 
 
 def tokens(text: str) -> list[str]:
@@ -49,7 +50,7 @@ def tokens(text: str) -> list[str]:
 class Models:
     """Words have numbers; 0 is any word without an entry."""
 
-    ids: dict[str, int]
+    ids: dict[int, int]  # by name
     unigram: np.ndarray  # (words, 2): probability by class
     places: np.ndarray  # (words,): places of both classes together
     back: np.ndarray  # (words, 2): mass that a context leaves to the unigrams
@@ -57,7 +58,7 @@ class Models:
     kept: np.ndarray  # (pairs, 2): discounted probability of a pair
 
     def words(self, text: str) -> np.ndarray:
-        return np.array([self.ids.get(t, 0) for t in tokens(text)], dtype=np.int64)
+        return np.array([self.ids.get(name(t), 0) for t in tokens(text)], dtype=np.int64)
 
     def logs(self, word: np.ndarray) -> np.ndarray:
         """(words, 2): log-probability by class of each word after the one before it."""
@@ -87,35 +88,42 @@ class Models:
         return out
 
 
-def contexts(rows: DataFrame) -> DataFrame:
-    """(before, first, second, label, doc): each text's distinct pairs of words with the word before; empty at its start."""
+def name(token: str) -> int:
+    """A signed 64-bit name of a word."""
+    return xxhash.xxh64_intdigest(token) - 2**63
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: set = set()
-        for batch in batches:
-            for text, label, doc in zip(batch.column("text"), batch.column("label").to_pylist(), batch.column("doc").to_pylist(), strict=True):
-                own = tokens(text.as_py())
-                held.update(zip(["", "", *own[:-2]], ["", *own[:-1]], own, [label] * len(own), [doc] * len(own)))  # noqa: B905
-                if len(held) > HELD:
-                    yield _batch(held)
-                    held = set()
-        yield _batch(held)
 
-    texts = rows.select("text", "label", F.xxhash64("text").alias("doc"))
-    return texts.mapInArrow(run, "before string, first string, second string, label int, doc bigint")
+#: Names of no word (the place before a text's first), and of the context of words counted by themselves.
+NONE, ALONE = name(""), 0
+
 
+def expressions(text: str, label: int) -> np.ndarray:
+    """Rows (first, second, before, label): each distinct pair and word of a text once, with the word before its first place."""
+    second = np.array([name(t) for t in tokens(text)], dtype=np.int64)
+    first = np.concatenate([[NONE], second[:-1]]) if len(second) else second
+    before = np.concatenate([[NONE], first[:-1]]) if len(second) else second
+    _, pair = np.unique(first * np.int64(31) ^ second * np.int64(-7046029254386353131), return_index=True)
+    _, word = np.unique(second, return_index=True)
+    rows = [(first[pair], second[pair], before[pair]), (np.full(len(word), ALONE), second[word], first[word])]
+    found = np.concatenate([np.stack(r, axis=1) for r in rows]) if len(second) else np.zeros((0, 3), np.int64)
+    return np.column_stack([found, np.full(len(found), label)])
 
-def _batch(held: set) -> pa.RecordBatch:
-    columns = zip(*held, strict=True) if held else ((), (), (), (), ())
-    kinds = {"before": pa.string(), "first": pa.string(), "second": pa.string(), "label": pa.int32(), "doc": pa.int64()}
-    return pa.record_batch({name: pa.array(values, kind) for (name, kind), values in zip(kinds.items(), columns, strict=True)})
 
+def counted(rows: DataFrame) -> DataFrame:
+    """(first, second, n0, n1): by class, the different words before a pair, of its first place in each text; words stand alone after ALONE."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                pairs = zip(part.column("text"), part.column("label").to_pylist(), strict=True)
+                found = np.unique(np.concatenate([expressions(t.as_py(), c) for t, c in pairs]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found.T], ["first", "second", "before", "label"])
 
-def counted(found: DataFrame, key: list[str], context: str) -> DataFrame:
-    """(key, n0, n1): by class, in how many documents an expression stands, or after how many words if these are fewer."""
-    places = F.least(F.size(F.collect_set("doc")), F.size(F.collect_set(F.xxhash64(context)))).cast("bigint")
-    by_class = found.groupBy(*key, "label").agg(places.alias("n"))
-    return by_class.groupBy(*key).agg(*[F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)])
+    found = rows.select("text", "label").mapInArrow(run, "first bigint, second bigint, before bigint, label bigint")
+    # One shuffle for both steps.
+    found = found.repartition("first", "second").dropDuplicates(["first", "second", "label", "before"])
+    return found.groupBy("first", "second").agg(*[F.count_if(F.col("label") == c).alias(f"n{c}") for c in (0, 1)])
 
 
 def discounts(counts: DataFrame) -> np.ndarray:
@@ -126,14 +134,13 @@ def discounts(counts: DataFrame) -> np.ndarray:
 
 def train(rows: DataFrame, several: int) -> Models:
     """Both models from labelled rows; the driver receives expressions of `several` places only."""
-    found = checkpoint(contexts(rows))
-    pairs = checkpoint(counted(found, ["first", "second"], "before"))
-    words = checkpoint(counted(found, ["second"], "first"))
+    every_count = written(counted(rows))
+    pairs, words = every_count.where(F.col("first") != ALONE), every_count.where(F.col("first") == ALONE)
     after = pairs.groupBy("second").count()
     total = words.agg(F.sum("n0"), F.sum("n1"), F.count(F.lit(1))).first()
     n, types, every = np.array([total[0] or 0, total[1] or 0], float), float(total[2] or 0), float(pairs.count())
     common = lambda df: df.where(F.col("n0") + F.col("n1") >= several)
-    known = common(words).join(after, "second").orderBy("second").toArrow().to_pylist()
+    known = common(words).drop("first").join(after, "second").orderBy("second").toArrow().to_pylist()
     ids = {r["second"]: i for i, r in enumerate(known, 1)}
     size = len(ids) + 1
     own, shared = np.zeros((size, 2)), np.full(size, 0.5 / (every + 0.5 * (types + 1)))
@@ -143,11 +150,11 @@ def train(rows: DataFrame, several: int) -> Models:
     own = np.maximum(own - discounts(words), 0) / np.maximum(n, 1)
     unigram = own + (1 - own.sum(axis=0)) * shared[:, None]
     follows = np.ones((size, 2))
-    left = pairs.where("first <> ''").groupBy("first").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    left = pairs.where(F.col("first") != NONE).groupBy("first").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     for r in common(left).toArrow().to_pylist():
         if r["first"] in ids:
             follows[ids[r["first"]]] = max(r["n0"], 1), max(r["n1"], 1)
-    frequent = common(pairs.where("first <> ''")).toArrow().to_pylist()
+    frequent = common(pairs.where(F.col("first") != NONE)).toArrow().to_pylist()
     at = sorted((ids[r["first"]] * size + ids[r["second"]], r["n0"], r["n1"]) for r in frequent if r["first"] in ids and r["second"] in ids)
     key = np.array([p[0] for p in at], dtype=np.int64)
     context = key // size
@@ -161,7 +168,7 @@ def train(rows: DataFrame, several: int) -> Models:
 def toxicity(
     docs: DataFrame,
     labels: DataFrame,
-    per_class: int = 6_000,
+    per_class: int = 4_000,
     several: int = 5,
     threshold: float = 0.3,
 ) -> DataFrame:
