@@ -68,3 +68,10 @@ def parse_timestamp(text: Column) -> Column:
     """Hot-table text form first, RFC 3339 second, NULL when neither fits."""
     hot = F.when(text.rlike(HOT_TEXT), text.try_cast("timestamp_ntz"))
     return F.coalesce(hot, parse_rfc3339(text))
+
+
+def timestamp_error(text: Column) -> Column:
+    """Why a text is no timestamp; NULL for one that is, and for an absent text."""
+    said = F.concat(F.lit("parsing time "), F.to_json(F.struct(text.alias("t"))), F.lit(": neither a hot-table time nor RFC 3339"))
+    said = F.regexp_replace(said, r'^parsing time \{"t":(.*)\}: ', "parsing time $1: ")
+    return F.when(text.isNotNull() & parse_timestamp(text).isNull(), said)

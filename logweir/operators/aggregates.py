@@ -54,8 +54,8 @@ def service_severity_counts(logs: DataFrame) -> DataFrame:
 
 
 def nested_counts(counts: DataFrame) -> DataFrame:
-    """One row per service with a map of its severities."""
-    pairs = F.collect_list(F.struct("severity", "count"))
+    """One row per service with a map of its severities, in their order."""
+    pairs = F.array_sort(F.collect_list(F.struct("severity", "count")))
     return counts.groupBy("service").agg(F.map_from_entries(pairs).alias("severities"))
 
 

@@ -7,12 +7,13 @@ judged by the raw severity, exactly as written by the producer.
 from __future__ import annotations
 
 from datetime import timedelta
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logweir.functions.text import fingerprint, fixed2, is_error, message_template
-from logweir.functions.times import interval, parse_rfc3339, seconds, time_slice, window_start
+from logweir.functions.times import from_micros, interval, micros, parse_rfc3339, seconds, time_slice, window_start
 from logweir.operators.aggregates import error_events
 from logweir.operators.metrics import order_statistics
 from logweir.operators.running import running_totals
@@ -288,46 +289,61 @@ def evaluate_rules(
 ) -> DataFrame:
     """Windows that break an enabled rule, with the value that broke it.
 
-    `latency` names the latency column that latency_p99 rules need.
+    Events are read once, into panes of the longest length that divides all windows; the
+    windows of every rule are rolled up from these. `latency` names the latency column that latency_p99 rules need.
     """
     spark = events.sparkSession
     active = [r for r in rules if r.enabled]
     known = {"error_rate", "event_volume", "latency_p99"}
     if unknown := {r.condition for r in active} - known:
         raise ValueError(f"unknown rule conditions: {sorted(unknown)}")
-    found = None
-    for minutes in sorted({r.window_minutes for r in active}):
-        window = timedelta(minutes=minutes)
-        mine = [r for r in active if r.window_minutes == minutes]
-        values = window_counts(events, window).withColumn("error_rate", _rate())
-        if any(r.condition == "latency_p99" for r in mine):
-            if latency is None:
-                raise ValueError("latency_p99 rules need a latency column")
-            placed = events.withColumn("window_start", window_start(F.col("timestamp"), window))
-            p99 = order_statistics(placed, ["service", "window_start"], latency, {"p99": 0.99})
-            values = values.join(p99, ["service", "window_start"], "left")
-        else:
-            values = values.withColumn("p99", F.lit(None).cast("double"))
-        # At most MAX_RULES rows, so the rules can go to every task.
-        table = F.broadcast(rules_table(spark, mine).withColumnRenamed("service", "rule_service"))
-        # A window answers to the rules of its service and to those for all services.
-        scopes = F.array_distinct(F.array("service", F.lit("")))
-        scoped = values.withColumn("rule_service", F.explode(scopes))
-        value = (
-            F.when(F.col("condition") == "error_rate", F.col("error_rate"))
-            .when(F.col("condition") == "event_volume", F.col("total").cast("double"))
-            .otherwise(F.col("p99"))
-        )
-        hits = (
-            scoped.join(table, "rule_service")
-            .withColumn("value", value)
-            .filter((F.col("total") >= F.col("min_events")) & (F.col("value") >= F.col("threshold")))
-            .select(
-                F.col("id").alias("rule_id"), "condition", "service", "window_start", "total",
-                "value", "threshold",
-            )
-        )
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
+    if not active:
         raise ValueError("no enabled rules")
-    return found
+    timed = [r for r in active if r.condition == "latency_p99"]
+    if timed and latency is None:
+        raise ValueError("latency_p99 rules need a latency column")
+    lengths = sorted({r.window_minutes for r in active})
+    panes = stored(_panes(events, gcd(*lengths), latency if timed else None))
+    keys = ["service", "window_minutes", "window_start"]
+    values = _rolled(panes, lengths).groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("errors").alias("errors"))
+    values = values.withColumn("error_rate", _rate())
+    if timed:
+        held = _rolled(panes, sorted({r.window_minutes for r in timed}))
+        p99 = order_statistics(held, keys, "latency", {"p99": 0.99}, weight="total")
+        values = values.join(p99, keys, "left")
+    else:
+        values = values.withColumn("p99", F.lit(None).cast("double"))
+    # At most MAX_RULES rows, so the rules can go to every task.
+    table = F.broadcast(rules_table(spark, active).withColumnRenamed("service", "rule_service"))
+    # A window answers to the rules of its service and to those for all services.
+    scopes = F.array_distinct(F.array("service", F.lit("")))
+    value = (
+        F.when(F.col("condition") == "error_rate", F.col("error_rate"))
+        .when(F.col("condition") == "event_volume", F.col("total").cast("double"))
+        .otherwise(F.col("p99"))
+    )
+    return (
+        values.withColumn("rule_service", F.explode(scopes))
+        .join(table, ["rule_service", "window_minutes"])
+        .withColumn("value", value)
+        .filter((F.col("total") >= F.col("min_events")) & (F.col("value") >= F.col("threshold")))
+        .select(
+            F.col("id").alias("rule_id"), "condition", "service",
+            from_micros(F.col("window_start")).alias("window_start"), "total", "value", "threshold",
+        )
+    )
+
+
+def _panes(events: DataFrame, minutes: int, latency: str | None) -> DataFrame:
+    """Events and errors per service, pane of time and latency: all that windows of multiples of the pane need."""
+    width = minutes * 60_000_000
+    at = micros(F.col("timestamp"))
+    value = F.col(latency).cast("double") if latency else F.lit(None).cast("double")
+    return _counts(["service", (at - F.pmod(at, F.lit(width))).alias("pane"), value.alias("latency")], events)
+
+
+def _rolled(panes: DataFrame, lengths: list[int]) -> DataFrame:
+    """Each pane in the window of every length that holds it."""
+    length = F.explode(F.array(*[F.lit(n) for n in lengths])).alias("window_minutes")
+    width = F.col("window_minutes").cast("bigint") * F.lit(60_000_000)
+    return panes.select("*", length).withColumn("window_start", F.col("pane") - F.pmod("pane", width))

@@ -8,41 +8,70 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweir.functions.times import from_micros, micros, seconds
-from logweir.operators.running import running_totals
 
 PERCENTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
 
+# Cells that a cell of values is cut into, where a wanted rank lies.
+CELLS = 4096
+
+
 def _value_slice(value: Column) -> Column:
     """A slice of the number line that never decreases with the value; NaN, the largest, has the last."""
-    size = F.log2(F.lit(1.0) + F.abs(value)) * F.lit(64)
+    # Infinity has a slice of its own, below NaN's.
+    size = F.least(F.log2(F.lit(1.0) + F.abs(value)) * F.lit(64), F.lit(2.0**60))
     return F.when(F.isnan(value), F.lit(2**62)).otherwise(F.floor(F.signum(value) * size).cast("bigint"))
 
 
+def _located(rows: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """The cell of each wanted rank among rows (by, _cell, _value, _n), and the rank within it.
+
+    Only the cells' counts are put in order: a row per cell, of which there is a fixed number.
+    """
+    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy(*by, "_cell").agg(
+        F.sum("_n").alias("_held"), F.min("_value").alias("_low"), F.max("_value").alias("_high")
+    ).withColumn("_before", F.coalesce(F.sum("_held").over(before), F.lit(0)))
+    here = (F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_held"))
+    return cells.join(wanted, by).filter(here).withColumn("_rank", F.col("_rank") - F.col("_before"))
+
+
 def order_statistics(
-    samples: DataFrame, keys: list[str], value: str, ranks: dict[str, float]
+    samples: DataFrame, keys: list[str], value: str, ranks: dict[str, float], weight: str | None = None
 ) -> DataFrame:
-    """Exact sorted[int(n * p)] per key, for each named p.
+    """Exact sorted[int(n * p)] per key, for each named p; `weight` names a column that says how often a row counts.
 
-    Equal values are merged before the shuffle, and a key's values are cut into
-    slices of the number line, so no key is sorted in one task.
+    Equal values are merged before the shuffle. Then a histogram tells which slice of the
+    number line holds each wanted rank, a second one which cell of that slice, and only the
+    values of these cells are sorted, so no key and no dense range is sorted in one task.
     """
     if not keys:
         overall = samples.withColumn("_all", F.lit(0))
-        return order_statistics(overall, ["_all"], value, ranks).drop("_all")
+        return order_statistics(overall, ["_all"], value, ranks, weight).drop("_all")
+    often = F.sum(weight) if weight else F.count("*")
     counts = samples.filter(F.col(value).isNotNull()).groupBy(
         *keys, F.col(value).cast("double").alias("_value")
-    ).agg(F.count("*").alias("_n"))
-    placed = counts.withColumn("_slice", _value_slice(F.col("_value")))
-    running = running_totals(placed, keys, "_slice", ["_value"], {"_upto": F.col("_n")})
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    ranked = running.join(totals, keys)
-    picks = []
-    for name, p in ranks.items():
-        rank = F.floor(F.col("_total") * F.lit(float(p)))
-        here = (F.col("_upto") > rank) & (F.col("_upto") - F.col("_n") <= rank)
-        picks.append(F.max(F.when(here, F.col("_value"))).alias(name))
-    return ranked.groupBy(*keys).agg(*picks)
+    ).agg(often.alias("_n"))
+    named = F.array(*[F.struct(F.lit(n).alias("_name"), F.lit(float(p)).alias("_p")) for n, p in ranks.items()])
+    wanted = counts.groupBy(*keys).agg(F.sum("_n").alias("_total")).select(*keys, "_total", F.inline(named))
+    wanted = wanted.select(*keys, "_name", F.floor(F.col("_total") * F.col("_p")).cast("bigint").alias("_rank"))
+
+    sliced = counts.withColumn("_cell", _value_slice(F.col("_value")))
+    slices = _located(sliced, wanted, keys).select(*keys, "_cell", "_name", "_rank", "_low", "_high")
+    inside = sliced.join(slices, [*keys, "_cell"])
+    share = (F.col("_value") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    part = F.when(F.col("_high") > F.col("_low"), F.floor(share * F.lit(CELLS)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    inside = inside.select(*keys, "_name", "_rank", "_value", "_n", part.alias("_cell"))
+    names = [*keys, "_name"]
+    cells = _located(inside, inside.groupBy(*names).agg(F.first("_rank").alias("_rank")), names)
+    few = inside.drop("_rank").join(cells.select(*names, "_cell", "_rank"), [*names, "_cell"])
+
+    upto = F.sum("_n").over(Window.partitionBy(*names).orderBy("_value").rowsBetween(Window.unboundedPreceding, 0))
+    placed = few.withColumn("_upto", upto).filter(
+        (F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_n") <= F.col("_rank"))
+    )
+    picks = [F.max(F.when(F.col("_name") == n, F.col("_value"))).alias(n) for n in ranks]
+    return placed.groupBy(*keys).agg(*picks)
 
 
 def latency_stats(samples: DataFrame, keys: list[str], value: str = "latency_ms") -> DataFrame:

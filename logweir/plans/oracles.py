@@ -337,6 +337,11 @@ ORACLES: dict[str, str] = {
         f"""SELECT event_id, CASE {NUMBER} % 4 WHEN 0 THEN date_trunc('milliseconds', timestamp)
     WHEN 1 THEN timestamp WHEN 2 THEN date_trunc('second', timestamp) - INTERVAL 2 HOUR END AS parsed
   FROM logs_wire""",
+    ),
+    "parse_timestamp_errors": sql(
+        WIRE,
+        f"""SELECT event_id, concat('parsing time "', strftime(timestamp, '%Y-%m-%d %H:%M'),
+    '": neither a hot-table time nor RFC 3339') AS error FROM logs_wire WHERE {NUMBER} % 4 = 3""",
     ),
     "fingerprint": sql(
         WIRE,
@@ -435,6 +440,11 @@ ORACLES: dict[str, str] = {
         WIRE, HOT, TIMELINE.format(bucket="1 HOUR", hours=720, more="AND service = 'billing'")
     ),
     "aggregates": sql(WIRE, HOT, COUNTS, "SELECT service, severity, n AS count FROM counts"),
+    "nested_counts": sql(
+        WIRE, HOT, COUNTS,
+        """SELECT service, concat('{', string_agg(concat('"', severity, '":', n), ',' ORDER BY severity), '}') AS severities
+  FROM counts GROUP BY 1""",
+    ),
     "summary": sql(
         WIRE, HOT, COUNTS,
         f"""SELECT CAST(sum(n) AS BIGINT) AS total, {ERROR_SUM} AS errors, count(DISTINCT service) AS services,

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -399,17 +399,35 @@ def attributes_parse(spark, sf_dir):
     )
 
 
-@query
-def parse_timestamp(spark, sf_dir):
-    wire = logs_wire(spark, sf_dir)
+def _timestamp_text() -> Column:
+    """An event's time in one of four forms, the last of which is none that counts."""
     form = F.col("event_id").cast("bigint") % 4
-    text = (
+    return (
         F.when(form == 0, F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSS"))
         .when(form == 1, F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
         .when(form == 2, F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'+02:00'"))
         .otherwise(F.date_format("timestamp", "yyyy-MM-dd HH:mm"))
     )
-    return wire.select("event_id", times.parse_timestamp(text).alias("parsed"))
+
+
+@query
+def parse_timestamp(spark, sf_dir):
+    wire = logs_wire(spark, sf_dir)
+    return wire.select("event_id", times.parse_timestamp(_timestamp_text()).alias("parsed"))
+
+
+@query
+def parse_timestamp_errors(spark, sf_dir):
+    """Rows whose time cannot be read, with the reason."""
+    told = logs_wire(spark, sf_dir).select("event_id", times.timestamp_error(_timestamp_text()).alias("error"))
+    return told.filter("error IS NOT NULL")
+
+
+@query
+def nested_counts(spark, sf_dir):
+    """Severities of every service as one JSON object."""
+    nested = aggregates.nested_counts(aggregates.service_severity_counts(_hot(spark, sf_dir)))
+    return nested.select("service", F.to_json("severities").alias("severities"))
 
 
 @query

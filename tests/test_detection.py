@@ -1,4 +1,5 @@
 import math
+import math
 import random
 import re
 from datetime import datetime, timedelta
@@ -228,6 +229,38 @@ def test_recurring_errors(events, rows, slice_seconds, minutes):
         assert r.fingerprint.startswith(r.service + ":") and r.status == "firing"
 
 
+def test_rules_of_all_lengths_read_the_events_once(spark, events, monkeypatch):
+    rules = [AlertRule("v", "n", "", "event_volume", 1.0, 5, 1), AlertRule("w", "n", "", "event_volume", 1.0, 15, 1),
+             AlertRule("e", "n", "", "error_rate", 0.0, 10, 1), AlertRule("p", "n", "", "latency_p99", 0.0, 15, 1)]
+    timed = events.withColumn("latency_ms", F.length("message").cast("double"))
+    read = []
+    plain = detection.stored
+    monkeypatch.setattr(detection, "stored", lambda df: read.append(df) or plain(df))
+    hits = detection.evaluate_rules(timed, rules, "latency_ms")
+    (panes,) = read
+    assert panes.columns == ["service", "pane", "latency", "total", "errors"]
+    assert "Scan ExistingRDD" in (plan := hits._jdf.queryExecution().executedPlan().toString()) and "Scan parquet" not in plan
+    for rule in rules[:2]:
+        want = detection.window_counts(events, timedelta(minutes=rule.window_minutes))
+        got = hits.filter(F.col("rule_id") == rule.id).select("service", "window_start", "total")
+        assert sorted(map(tuple, got.collect())) == sorted((r.service, r.window_start, r.total) for r in want.collect())
+
+
+def test_percentiles_of_dense_ranges_and_weights(spark):
+    rng = np.random.default_rng(4)
+    dense = 1000 + rng.random(4000) * 1e-3  # one slice of the number line holds them all
+    rows = [("d", float(x), 1) for x in dense] + [("w", float(x), int(n)) for x, n in zip(rng.normal(size=300), rng.integers(1, 9, 300))]
+    rows += [("same", 7.0, 5), ("odd", float("nan"), 1), ("odd", float("-inf"), 2), ("odd", float("inf"), 1), ("none", None, 3)]
+    df = spark.createDataFrame(rows, "k STRING, v DOUBLE, n BIGINT")
+    ranks = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99}
+    got = {r.k: r for r in metrics.order_statistics(df, ["k"], "v", ranks, weight="n").collect()}
+    assert set(got) == {"d", "w", "same", "odd"}
+    for k in ("d", "w", "same"):
+        values = sorted(v for key, v, n in rows if key == k for _ in range(n))
+        assert [got[k][n] for n in ranks] == [values[int(len(values) * p)] for p in ranks.values()]
+    assert got["odd"].p0 == float("-inf") and got["odd"].p50 == float("inf") and math.isnan(got["odd"].p95)
+
+
 def test_cooldown(spark):
     quarter = timedelta(minutes=15)
     offsets = [0, 1, 14 * 60 + 59, 15 * 60, 15 * 60 + 1, 30 * 60 + 1, 90 * 60]

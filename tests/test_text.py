@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from logweir.functions import text
-from logweir.functions.times import parse_timestamp
+from logweir.functions.times import parse_timestamp, timestamp_error
 
 
 def apply(spark, fn, values):
@@ -87,3 +87,11 @@ def test_parse_timestamp(spark):
         "2024-01-02 03:04:05.678000", "2024-01-02 03:04:05", "2024-01-02 01:04:05.123456",
     ]
     assert got[3:] == [None] * len(bad)
+
+
+def test_timestamp_errors_tell_why(spark):
+    texts = ["2024-01-02 03:04:05.678", "2024-01-02T03:04:05Z", None, "2024-13-02T03:04:05Z", 'a "b"', ""]
+    got = apply(spark, timestamp_error, texts)
+    assert got[:3] == [None] * 3
+    assert got[3] == 'parsing time "2024-13-02T03:04:05Z": neither a hot-table time nor RFC 3339'
+    assert got[4].startswith('parsing time "a \\"b\\"": ') and got[5].startswith('parsing time "": ')
