@@ -151,17 +151,22 @@ def fit(texts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weight:
     return field
 
 
+def _weights(y: np.ndarray, sizes: tuple[int, int]) -> np.ndarray:
+    """The classes weigh as in the whole of the labels, not as in the bounded sample."""
+    return np.where(y == 1, sizes[1] / max(y.sum(), 1), sizes[0] / max((1 - y).sum(), 1))
+
+
 def line_quality(
     docs: DataFrame,
     labels: DataFrame,
     per_class: int = 2_000,
-    max_lines: int = 200,
+    longest: int = 1_000,
     threshold: float = 0.7,
 ) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of `docs`.
 
-    Training takes at most `per_class` labelled rows of each class and the first
-    `max_lines` lines of each; scoring takes whole texts.
+    Training takes at most `per_class` labelled rows of each class. The field is fitted to
+    those of `longest` lines at most, the regression to all of them; texts are always taken whole.
     """
     sizes = class_counts(labels, "quality")
     field = weights = None
@@ -170,11 +175,12 @@ def line_quality(
 
         def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own = [line_features(t.as_py()) for t in batch.column("text")]
+                own = [(*line_features(t.as_py()), c) for t, c in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True)]
+                own = [o for o in own if len(o[1]) <= longest]
                 yield pa.record_batch({
-                    "label": batch.column("label"),
-                    "x": pa.array([f[:max_lines].astype(np.float32).ravel() for f, _ in own], pa.list_(pa.float32())),
-                    "n": pa.array([n[:max_lines] for _, n in own], pa.list_(pa.float64())),
+                    "label": pa.array([c for *_, c in own], pa.int32()),
+                    "x": pa.array([f.astype(np.float32).ravel() for f, *_ in own], pa.list_(pa.float32())),
+                    "n": pa.array([n for _, n, _ in own], pa.list_(pa.float64())),
                 })
 
         found = rows.select("text", "label").mapInArrow(measure, "label int, x array<float>, n array<double>").toArrow()
@@ -182,11 +188,17 @@ def line_quality(
         texts = [(flat(x).reshape(-1, 3 * OWN), flat(n)) for x, n in zip(found["x"], found["n"], strict=True)]
         y = found["label"].to_numpy().astype(float)
         if len(set(y)) == 2:
-            # The classes weigh as in the whole of the labels, not as in the bounded sample.
-            weight = np.where(y == 1, sizes[1] / y.sum(), sizes[0] / (1 - y).sum())
-            field = fit(texts, y, weight)
-            x = np.array([field.quality(f, n) for f, n in texts])
-            weights = logistic(x, y, weight)
+            field = fit(texts, y, _weights(y, sizes))
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = [field.quality(*line_features(t.as_py())) for t in batch.column("text")]
+                yield pa.record_batch({"label": batch.column("label"), "x": pa.array(own, pa.list_(pa.float64()))})
+
+        if field:
+            found = rows.select("text", "label").mapInArrow(judge, "label int, x array<double>").collect()  # 2 * per_class rows
+            y = np.array([r["label"] for r in found], float)
+            weights = logistic(np.array([r["x"] for r in found]), y, _weights(y, sizes))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

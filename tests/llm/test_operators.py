@@ -165,6 +165,15 @@ def test_classifiers(spark, labelled, awkward, empty, operator, label, least):
     assert operator(empty, labels).count() == 0 and operator(awkward, labels.limit(0)).count() == awkward.count()
 
 
+def test_long_texts_train_as_a_whole(spark):
+    good, bad = "A sound line of words stands here for once.", "buy $$ now ## click"
+    rows = [(i, "\n".join([good if i % 2 else bad] * 30), "a") for i in range(40)]
+    rows += [(100 + i, "\n".join([good] * 50 + [bad] * 3000), "a") for i in range(20)]  # their heads say otherwise
+    labels = spark.createDataFrame([(i, int(i < 100 and i % 2), 0) for i, *_ in rows], "doc_id BIGINT, quality INT, toxic INT")
+    out = line_crf.line_quality(docs_of(spark, rows), labels).collect()
+    assert all(r.predicted == (r.doc_id < 100 and r.doc_id % 2) for r in out)
+
+
 def test_marginals_equal_enumeration():
     field = line_crf.LineField(np.zeros(1), np.ones(1))
     field.tie = 0.7
