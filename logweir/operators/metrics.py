@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweir.functions.times import from_micros, micros, seconds
+from logweir.functions.times import from_micros, micros, seconds, time_slice
 
 PERCENTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 
@@ -175,6 +175,46 @@ def histogram_quantile(buckets: DataFrame, keys: list[str], q: float) -> DataFra
     return held.select(*keys, value.alias("quantile"))
 
 
+def counter_increases(
+    scrapes: DataFrame, keys: list[str], time: str, value: str, slice_seconds: int = 3600
+) -> DataFrame:
+    """(keys, time, increase): what a counter gained since the scrape before.
+
+    A counter that fell was reset and counts from zero, as it does at its first scrape. Scrapes
+    are compared within slices of time, and the first of a slice with the last of the slice before,
+    so that no series is one task. Scrapes of one series and time count once, by the largest.
+    """
+    rows = scrapes.groupBy(*keys, time).agg(F.max(value).alias("_now")).withColumn("_slice", time_slice(F.col(time), slice_seconds))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(time)
+    in_order = Window.partitionBy(*keys).orderBy("_slice")
+    ends = rows.groupBy(*keys, "_slice").agg(F.max_by("_now", time).alias("_last"))
+    ends = ends.select(*keys, "_slice", F.lag("_last").over(in_order).alias("_carried"))
+    before = F.coalesce(F.lag("_now").over(inside), F.when(F.row_number().over(inside) == 1, F.col("_carried")))
+    both = rows.join(ends, [*keys, "_slice"]).withColumn("_before", before)
+    gained = F.when(F.col("_now") >= F.col("_before"), F.col("_now") - F.col("_before")).otherwise(F.col("_now"))
+    return both.select(*keys, time, gained.alias("increase"))
+
+
+def trailing_quantile(
+    increases: DataFrame, keys: list[str], q: float, window: timedelta = timedelta(minutes=5),
+    step: timedelta = timedelta(minutes=1), time: str = "timestamp", increase: str = "increase",
+) -> DataFrame:
+    """Quantile of the bucket rates (`le`) over the trailing window, at every step that has any scrape in it.
+
+    The increases of a step are summed first; only these sums are spread over the windows they belong to.
+    """
+    width, stride = seconds(window) * 1_000_000, seconds(step) * 1_000_000
+    if width % stride:
+        raise ValueError("the window must be a multiple of the step")
+    cell = (F.floor(micros(F.col(time)) / stride) * stride).cast("bigint")
+    cells = increases.groupBy(*keys, "le", cell.alias("_cell")).agg(F.sum(increase).alias("_n"))
+    ends = F.sequence(F.col("_cell") + stride, F.col("_cell") + width, F.lit(stride))
+    spread = cells.select(*keys, "le", "_n", F.explode(ends).alias("_end"))
+    buckets = spread.groupBy(*keys, "_end", "le").agg(F.sum("_n").alias("cumulative"))
+    found = histogram_quantile(buckets, [*keys, "_end"], q)
+    return found.select(*keys, from_micros(F.col("_end")).alias("window_end"), "quantile")
+
+
 def event_rate(
     events: DataFrame, keys: list[str], window: timedelta = timedelta(minutes=5),
     step: timedelta = timedelta(minutes=1), time: str = "timestamp",

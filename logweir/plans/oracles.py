@@ -533,6 +533,23 @@ ORACLES: dict[str, str] = {
         """SELECT worker, day, round(CASE WHEN isinf(min(le)) THEN arg_min(lower, le)
     ELSE arg_min(lower + (le - lower) * (rank - below) / (cumulative - below), le) END, 9) AS quantile
   FROM steps WHERE cumulative >= rank GROUP BY 1, 2""",
+    ),
+    "histogram_p95_5m": sql(
+        SAMPLES, BOUNDS,
+        """cells AS (SELECT worker, le, date_trunc('minute', ts) AS minute, count(*) FILTER (WHERE latency_ms / 1000.0::DOUBLE <= le) AS n
+  FROM samples, bounds GROUP BY ALL)""",
+        """counters AS (SELECT worker, le, minute,
+    sum(n) OVER (PARTITION BY worker, le, CAST(minute AS DATE) ORDER BY minute) AS v FROM cells)""",
+        """gains AS (SELECT *, CASE WHEN v >= lag(v) OVER w THEN v - lag(v) OVER w ELSE v END AS gain
+  FROM counters WINDOW w AS (PARTITION BY worker, le ORDER BY minute))""",
+        """ends AS (SELECT worker, le, minute + to_minutes(CAST(i AS BIGINT)) AS window_end, CAST(sum(gain) AS BIGINT) AS cumulative
+  FROM gains, range(1, 6) t(i) GROUP BY ALL)""",
+        """steps AS (SELECT *, coalesce(lag(le) OVER w, 0) AS lower, coalesce(lag(cumulative) OVER w, 0) AS below,
+    max(cumulative) OVER (PARTITION BY worker, window_end) AS total
+  FROM ends WINDOW w AS (PARTITION BY worker, window_end ORDER BY le))""",
+        """SELECT worker, window_end, round(CASE WHEN isinf(min(le)) THEN arg_min(lower, le)
+    ELSE arg_min(lower + (le - lower) * (total * 0.95::DOUBLE - below) / (cumulative - below), le) END, 9) AS quantile
+  FROM steps WHERE total > 0 AND cumulative >= total * 0.95::DOUBLE GROUP BY 1, 2""",
     ),
     "event_rate_5m": sql(
         WIRE,

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -727,6 +727,21 @@ def histogram_p95(spark, sf_dir):
     return p95.withColumn("quantile", F.round("quantile", 9))
 
 
+@query
+def histogram_p95_5m(spark, sf_dir):
+    """p95 of the bucket counters' rates over trailing five minutes; the counters are scraped every minute and reset daily."""
+    rows = samples(spark, sf_dir).select(
+        "worker", (F.col("latency_ms") / 1000.0).alias("seconds"), F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute")
+    )
+    since_reset = Window.partitionBy("worker", "le", F.to_date("minute")).orderBy("minute")
+    scrapes = metrics.bucket_counts(rows, ["worker", "minute"], "seconds", LATENCY_BOUNDS).select(
+        "worker", "le", "minute", F.sum("cumulative").over(since_reset).alias("counter")
+    )
+    increases = metrics.counter_increases(scrapes, ["worker", "le"], "minute", "counter")
+    p95 = metrics.trailing_quantile(increases, ["worker"], 0.95, time="minute")
+    return p95.filter(~F.isnan("quantile")).withColumn("quantile", F.round("quantile", 9))
+
+
 @query
 def event_rate_5m(spark, sf_dir):
     rates = metrics.event_rate(logs_wire(spark, sf_dir), ["service"])

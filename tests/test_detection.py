@@ -326,6 +326,34 @@ def test_nan_sorts_last(spark):
     assert row.p50_ms == 2.0 and math.isnan(row.p99_ms)
 
 
+@pytest.mark.parametrize("slice_seconds", [60, 3600])
+def test_counters_that_reset(spark, slice_seconds):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for k in "ab":
+        value, before = 0, None
+        for i in sorted(rng.sample(range(4000), 200)):
+            value = rng.randint(0, 3) if rng.random() < 0.1 else value + rng.randint(0, 9)
+            at = START + timedelta(seconds=i)
+            want[k, at] = value - before if before is not None and value >= before else value
+            rows.append((k, at, value))
+            before = value
+    df = spark.createDataFrame(rows + rows[:5], "k STRING, at TIMESTAMP_NTZ, v BIGINT")
+    got = {(r.k, r["at"]): r.increase for r in metrics.counter_increases(df, ["k"], "at", "v", slice_seconds).collect()}
+    assert got == want
+
+
+def test_trailing_quantile_follows_the_window(spark):
+    early, late = START, START + timedelta(minutes=3)
+    # Up to 1 s: 10 early events; up to 2 s: those and 10 late ones.
+    rows = [("a", 1.0, early, 10), ("a", 2.0, early, 10), ("a", float("inf"), early, 10),
+            ("a", 1.0, late, 0), ("a", 2.0, late, 10), ("a", float("inf"), late, 10)]
+    df = spark.createDataFrame(rows, "k STRING, le DOUBLE, timestamp TIMESTAMP_NTZ, increase BIGINT")
+    got = {r.window_end: r.quantile for r in metrics.trailing_quantile(df, ["k"], 0.5).collect()}
+    minute = lambda n: START.replace(second=0, microsecond=0) + timedelta(minutes=n)
+    assert [got[minute(n)] for n in range(1, 9)] == [0.5, 0.5, 0.5, 1.0, 1.0, 1.5, 1.5, 1.5]
+
+
 def test_histogram_quantile(spark):
     data = [("a", 0.5)] * 50 + [("a", 1.5)] * 40 + [("a", 99.0)] * 10 + [("b", 0.2)] * 10
     df = spark.createDataFrame(data, "k STRING, v DOUBLE")
