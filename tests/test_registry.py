@@ -9,6 +9,7 @@ from conftest import SF_DIR
 SPARSE = {
     "alert_cooldown", "alert_records", "error_rate_alerts", "notification_payload",
     "decode_alerts", "recurring_errors", "search_hot", "search_merged", "stream_notifications", "stream_recurring",
+    "stream_anchored_alerts", "stream_error_alerts",
 }
 LARGER = "/root/testdata/sf0.01"
 
