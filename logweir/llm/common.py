@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files and checkpoints of frames that nothing refers to any more.
+
+    Its cleaner goes by garbage collections of the driver, which are rare on a large heap, while
+    a job of many steps would keep the files of all of them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared folder: smaller than a checkpoint."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweir.llm.common import checkpoint
+from logweir.llm.common import checkpoint, release
 
 #: The settings of the query; callers give their own.
 SHINGLE = 4
@@ -394,7 +394,12 @@ def labelled(docs: DataFrame, block: int, shingle: int, percent: int) -> DataFra
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "content")).alias("row"),
         F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"),
     )
-    groups = components(checkpoint(candidates(told_apart(checkpoint(meetings(texts, longest, shingle, percent))), least, percent)))
+    spark = docs.sparkSession
+    met = checkpoint(meetings(texts, longest, shingle, percent))
+    release(spark)  # the segments of all texts, of which few met
+    near = checkpoint(candidates(told_apart(met), least, percent))
+    release(spark)
+    groups = components(near)
     grouped = least.join(groups, F.col("class") == F.col("node")).select(
         "row.doc_id", "row.content", "class", "n_shingles", "component"
     )
