@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweir.llm.common import checkpoint, release
+from logweir.llm.common import checkpoint, has_word, release
 
 #: The settings of the query; callers give their own.
 SHINGLE = 4
@@ -403,7 +403,9 @@ def labelled(docs: DataFrame, block: int, shingle: int, percent: int) -> DataFra
     grouped = least.join(groups, F.col("class") == F.col("node")).select(
         "row.doc_id", "row.content", "class", "n_shingles", "component"
     )
-    joined = components(checkpoint(links(texts, blocked(grouped, block, longest, percent), shingle, percent)))
+    linked = checkpoint(links(texts, blocked(grouped, block, longest, percent), shingle, percent))
+    release(spark)  # the texts that were compared
+    joined = components(linked)
     rows = named.join(joined, F.col("class") == F.col("node"), "left")
     return rows.select("doc_id", "content", "n_shingles", F.coalesce("component", "class").alias("of"))
 
@@ -413,16 +415,13 @@ def one_of_each(docs: DataFrame, block: int = 512, shingle: int = SHINGLE, perce
 
     NULL ids come last. Of repeated rows with that id and text one is left; rows without words are all left.
     """
-    found = labelled(docs, block, shingle, percent)
-    # Rows without words are in no component: each id and content is kept for itself.
-    own = F.when(F.col("of").isNull(), F.struct("doc_id", "content"))
-    kept = found.groupBy("of", own.alias("own")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "content")).alias("row")).select(
-        F.col("row.doc_id").alias("k_id"), F.col("row.content").alias("k_content"), F.col("of").isNull().alias("every")
-    )
-    packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").cast("bigint").alias("__id"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("__content"),
-    )
-    rows = packed.join(kept, F.col("__id").eqNullSafe(F.col("k_id")) & (F.col("__content") == F.col("k_content")))
-    single = rows.where("not every").dropDuplicates(["__id", "__content"]).select("__row.*")
-    return single.unionByName(rows.where("every").select("__row.*"))
+    found = labelled(docs, block, shingle, percent).where("of is not null")
+    kept = found.groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "content")).alias("row"))
+    kept = kept.select(F.struct("row.doc_id", "row.content").alias("k_key"))
+    rest = [F.col(f"`{c}`") for c in docs.columns]
+    # Structs compare NULL ids as equal, so that one exchange by the key serves both steps; repeats go before it.
+    key = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"))
+    worded = F.coalesce(has_word(F.col("text")), F.lit(False))
+    single = docs.where(worded).select(F.struct(*rest).alias("__row"), key.alias("__key")).dropDuplicates(["__key"])
+    single = single.join(kept, F.col("__key") == F.col("k_key")).select("__row.*")
+    return single.unionByName(docs.where(~worded).select(*rest))
