@@ -226,6 +226,22 @@ ORACLES: dict[str, str] = {
         f"""SELECT event_id, 'production' AS environment, 'otel-collector' AS source,
     CAST({K} AS VARCHAR) AS k,
     CASE WHEN {NUMBER} % 7 = 0 THEN CAST({STATUS} AS VARCHAR) END AS status_code FROM logs_wire""",
+    ),
+    "raw_log_events": sql(
+        WIRE,
+        f"""SELECT service, CASE {NUMBER} % 10 WHEN 0 THEN TIMESTAMP '2024-01-31 00:00:00'
+      WHEN 1 THEN date_trunc('second', timestamp) ELSE date_trunc('milliseconds', timestamp) END AS timestamp,
+    CASE WHEN {NUMBER} % 10 = 0 THEN 'INFO' ELSE {SEVERITY.format('severity')} END AS severity,
+    {REDACT.format('message')} AS message, 'production' AS environment, 'files' AS source, true AS named
+  FROM logs_wire""",
+    ),
+    "stream_raw_log_events": sql(
+        WIRE,
+        f"""SELECT service, CASE {NUMBER} % 10 WHEN 0 THEN TIMESTAMP '2024-01-31 00:00:00'
+      WHEN 1 THEN date_trunc('second', timestamp) ELSE date_trunc('milliseconds', timestamp) END AS timestamp,
+    CASE WHEN {NUMBER} % 10 = 0 THEN 'INFO' ELSE {SEVERITY.format('severity')} END AS severity,
+    {REDACT.format('message')} AS message, 'production' AS environment, 'files' AS source, true AS named
+  FROM logs_wire""",
     ),
     "hot_append": sql(
         WIRE, HOT,

@@ -25,6 +25,7 @@ from logweir.plans.tables import (
     fill_archive,
     fresh,
     line_files,
+    log_files,
     logs_dup,
     logs_hot,
     logs_raw,
@@ -38,7 +39,7 @@ from logweir.session import configure, workspace
 from logweir.sources import archive as cold_store
 from logweir.sources import hot as hot_store
 from logweir.sources.deadletters import read_dead_letters
-from logweir.sources.logstream import file_source
+from logweir.sources.logstream import file_source, log_file_events, log_file_lines
 from logweir.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,6 +180,33 @@ def attribute_upsert(spark, sf_dir):
     )
 
 
+TAGS = {"deployment.environment": "production", "source": "files"}
+
+
+def _file_events(events: DataFrame) -> DataFrame:
+    tag = lambda name: F.try_variant_get(F.try_parse_json("attributes"), f"$['{name}']", "string")
+    return normalize.normalize(events, AS_OF).select(
+        "service", "timestamp", "severity", "message", tag("deployment.environment").alias("environment"),
+        tag("source").alias("source"), tag("log.file.name").endswith(".txt").alias("named"),
+    )
+
+
+@query
+def raw_log_events(spark, sf_dir):
+    """Plain log files, a folder per service, as full events."""
+    return _file_events(log_file_events(log_file_lines(spark, log_files(spark, sf_dir), "*.txt"), TAGS))
+
+
+@query
+def stream_raw_log_events(spark, sf_dir):
+    """The same files as a stream."""
+    path, out = log_files(spark, sf_dir), fresh(spark, "log-events")
+    events = log_file_events(log_file_lines(spark, path, "*.txt", stream=True), TAGS)
+    writer = events.writeStream.format("parquet").option("checkpointLocation", f"{out}-checkpoint")
+    writer.trigger(availableNow=True).start(out).awaitTermination()
+    return _file_events(spark.read.schema(events.schema).parquet(out))
+
+
 def _hot_table(spark: SparkSession, sf_dir: str) -> str:
     return once(
         spark, sf_dir, "hot", lambda path: hot_store.append_hot(logs_hot(spark, sf_dir), path)

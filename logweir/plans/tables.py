@@ -199,3 +199,15 @@ def line_files(
 
     name = "lines_dup" if duplicates else "lines"
     return once(spark, sf_dir, name, write), files
+
+
+def log_files(spark: SparkSession, sf_dir: str) -> str:
+    """The events as plain log files, a folder per service; every tenth line has no time, every next one a time in seconds."""
+    logs = logs_wire(spark, sf_dir)
+    kind = F.col("event_id").cast("bigint") % 10
+    time = F.when(kind == 1, F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")).when(
+        kind != 0, F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    )
+    level = F.when(kind != 0, F.nullif(F.trim("severity"), F.lit("")))
+    lines = logs.select(F.col("service").alias("folder"), F.concat_ws(" ", time, level, "message").alias("value"))
+    return once(spark, sf_dir, "log-files", lambda path: lines.write.partitionBy("folder").text(path))

@@ -9,7 +9,8 @@ from logweir.operators import quality
 from logweir.operators.normalize import accepted, normalize
 from logweir.params import Retention
 from logweir.sources import archive, commits, hot
-from logweir.sources.logstream import raw_log_lines
+from logweir.schema import LOG_COLUMNS
+from logweir.sources.logstream import log_file_events, log_file_lines, raw_log_lines
 
 NOW = datetime(2024, 1, 31, 12)
 
@@ -208,3 +209,34 @@ def test_dedup_limits_copies_before_the_shuffle(spark):
 def test_raw_log_lines(spark, tmp_path):
     (tmp_path / "app.log").write_text("first\nsecond\n")
     assert sorted(r.message for r in raw_log_lines(spark, str(tmp_path)).collect()) == ["first", "second"]
+
+
+def test_log_file_events(spark, tmp_path):
+    folder = tmp_path / "in" / "pay ments"
+    folder.mkdir(parents=True)
+    (folder / "a b.log").write_text(
+        "2024-01-02T03:04:05.5+01:00 [Error]: no funds\n\n"
+        "2024-01-02 03:04:05\tstarted\n2024-13-02T03:04:05Z ERROR x\n  at frame 1\n2024-01-02T03:04:05Z \n"
+        "2024-01-02T03:04:05Z informationless\n"
+    )
+    (folder / "other.txt").write_text("not read\n")
+    got = log_file_events(log_file_lines(spark, str(tmp_path / "in")), {"env": "x", "log.file.name": "y"})
+    rows = {r.message: r for r in got.collect()}
+    assert got.columns == LOG_COLUMNS and len({r.event_id for r in rows.values()}) == 6
+    assert {m: (r.severity, r.timestamp and r.timestamp.isoformat()) for m, r in rows.items()} == {
+        "no funds": ("Error", "2024-01-02T02:04:05.500000"),
+        "started": ("", "2024-01-02T03:04:05"),
+        "2024-13-02T03:04:05Z ERROR x": ("", None),
+        "  at frame 1": ("", None),
+        "": ("", "2024-01-02T03:04:05"),
+        "informationless": ("", "2024-01-02T03:04:05"),
+    }
+    assert {(r.service, r.attributes) for r in rows.values()} == {("pay ments", '{"env":"x","log.file.name":"y"}')}
+    plain = log_file_events(log_file_lines(spark, str(tmp_path / "in")))
+    assert {r.attributes for r in plain.collect()} == {'{"log.file.name":"a b.log"}'}
+
+    out = str(tmp_path / "out")
+    stream = log_file_events(log_file_lines(spark, str(tmp_path / "in"), stream=True))
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck"))
+    writer.trigger(availableNow=True).start(out).awaitTermination()
+    assert sorted(map(str, spark.read.schema(stream.schema).parquet(out).collect())) == sorted(map(str, plain.collect()))
