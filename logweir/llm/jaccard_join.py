@@ -417,7 +417,9 @@ def one_of_each(docs: DataFrame, block: int = 512, shingle: int = SHINGLE, perce
     """
     found = labelled(docs, block, shingle, percent).where("of is not null")
     kept = found.groupBy("of").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "content")).alias("row"))
-    kept = kept.select(F.struct("row.doc_id", "row.content").alias("k_key"))
+    # `content` is never NULL; said in the type, else the other side would be cast, and sent again.
+    content = F.coalesce("row.content", F.lit(0).cast("bigint")).alias("content")
+    kept = kept.select(F.struct("row.doc_id", content).alias("k_key"))
     rest = [F.col(f"`{c}`") for c in docs.columns]
     # Structs compare NULL ids as equal, so that one exchange by the key serves both steps; repeats go before it.
     key = F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"))
