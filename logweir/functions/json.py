@@ -62,15 +62,30 @@ def object_map(value: Column) -> Column:
     return value.try_cast(_OBJECT)
 
 
+def _fold(text: Column) -> Column:
+    return F.lower(F.replace(text, F.lit("\u017f"), F.lit("s")))
+
+
 def fold_keys(members: Column) -> Column:
     """Lower-case the keys; U+017F is the one other letter that folds to ASCII s."""
+    keys = F.array_join(F.map_keys(members), "\n")
+    folded = F.transform_keys(members, lambda k, _: _fold(k))
+    return F.when(keys == _fold(keys), members).otherwise(folded)
 
-    def fold(text: Column) -> Column:
-        return F.lower(F.replace(text, F.lit("\u017f"), F.lit("s")))
 
-    keys = F.array_join(F.map_keys(members), "\n")
-    folded = F.transform_keys(members, lambda k, _: fold(k))
-    return F.when(keys == fold(keys), members).otherwise(folded)
+def _with_folded(rows: DataFrame, root: Column) -> DataFrame:
+    """Add `_members`, fold_keys() of the members of a parsed event.
+
+    A lambda keeps its whole generator from being compiled, so the keys are told
+    in a step before, and only odd ones are folded in a step of its own.
+    """
+    kept = rows.columns
+    mapped = evaluated_once(rows, _plain=object_map(root))
+    # Nothing but capitals and letters beyond ASCII can fold.
+    keys = F.array_join(F.map_keys("_plain"), "\n")
+    told = evaluated_once(mapped, _odd=keys.rlike("[A-Z\\x{80}-\\x{10ffff}]"))
+    folded = F.transform_keys("_plain", lambda k, _: _fold(k))
+    return told.select(*kept, F.when(F.col("_odd"), folded).otherwise(F.col("_plain")).alias("_members"))
 
 
 def kind(value: Column) -> Column:
@@ -78,20 +93,29 @@ def kind(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
 
 
+def _absent(value: Column) -> Column:
+    """Whether kind() is VOID, without the text of a whole type."""
+    return value.isNull() | F.is_variant_null(value)
+
+
 def _is_text(value: Column) -> Column:
-    return kind(value).isin("STRING", "VOID")
+    return _absent(value) | (F.schema_of_variant(value) == "STRING")
 
 
 def _text(value: Column) -> Column:
     return F.coalesce(value.try_cast("string"), F.lit(""))
 
 
+def _time_text(value: Column) -> Column:
+    return F.when(_is_text(value), value.try_cast("string"))
+
+
 def _event_time(value: Column) -> Column:
-    return F.when(_is_text(value), parse_rfc3339(value.try_cast("string")))
+    return parse_rfc3339(_time_text(value))
 
 
 def _bad_time(value: Column, time: Column) -> Column:
-    return time.isNull() & (kind(value) != "VOID")
+    return time.isNull() & ~_absent(value)
 
 
 def _known_time(time: Column) -> Column:
@@ -102,7 +126,7 @@ def _known_time(time: Column) -> Column:
 def with_members(rows: DataFrame, root: Column) -> DataFrame:
     """Add the members of a parsed event as columns `_<field>`, and the parsed
     time as `_time`. `_object` tells whether there is an object at all."""
-    return split_members(evaluated_once(rows, _members=fold_keys(object_map(root))))
+    return split_members(_with_folded(rows, root))
 
 
 def split_members(mapped: DataFrame) -> DataFrame:
@@ -110,7 +134,13 @@ def split_members(mapped: DataFrame) -> DataFrame:
     split = evaluated_once(
         mapped, _object=members.isNotNull(), **{f"_{c}": members[c] for c in LOG_COLUMNS}
     ).drop("_members")
-    return evaluated_once(split, _time=_event_time(F.col("_timestamp")))
+    return _with_time(split)
+
+
+def _with_time(split: DataFrame) -> DataFrame:
+    """Add `_time`, the time in `_timestamp`; its text is taken once."""
+    told = evaluated_once(split, _written=_time_text(F.col("_timestamp")))
+    return evaluated_once(told, _time=parse_rfc3339(F.col("_written"))).drop("_written")
 
 
 def event_error(root: Column) -> Column:
@@ -119,7 +149,7 @@ def event_error(root: Column) -> Column:
     NULL when it is one. JSON null is an event without any field.
     """
     attributes = F.col("_attributes")
-    not_object = object_map(attributes).isNull() & (kind(attributes) != "VOID")
+    not_object = object_map(attributes).isNull() & ~_absent(attributes)
     error = F.when(root.isNull(), F.lit("unmarshal: invalid JSON")).when(
         ~F.col("_object") & ~F.is_variant_null(root), F.lit("unmarshal: not an object")
     )
@@ -138,7 +168,7 @@ def is_malformed(root: Column, members: Column) -> Column:
         F.coalesce(members.isNull() & ~F.is_variant_null(root), F.lit(False))
         | (F.coalesce(F.size(mistyped), F.lit(0)) > 0)
         | _bad_time(timestamp, _event_time(timestamp))
-        | (object_map(attributes).isNull() & (kind(attributes) != "VOID"))
+        | (object_map(attributes).isNull() & ~_absent(attributes))
     )
 
 
@@ -147,7 +177,7 @@ def event_fields() -> list[Column]:
     time is NULL, attributes stay VARIANT."""
     special = {
         "timestamp": _known_time(F.col("_time")),
-        "attributes": F.when(kind(F.col("_attributes")) != "VOID", F.col("_attributes")),
+        "attributes": F.when(~_absent(F.col("_attributes")), F.col("_attributes")),
     }
     return [special.get(c, _text(F.col(f"_{c}"))).alias(c) for c in LOG_COLUMNS]
 
@@ -159,10 +189,20 @@ def decode_events(lines: DataFrame, value: str = "value") -> DataFrame:
     raw line stays in `value` and other columns pass through. A type error in
     any field fails the whole event.
     """
+    checked, kept = _checked(lines, value)
+    return checked.select(*kept, *event_fields(), "decode_error")
+
+
+def decode_and_route(lines: DataFrame, value: str = "value") -> DataFrame:
+    """decode_events() and with_routing() of the lines in one pass."""
+    checked, kept = _checked(lines, value)
+    return checked.select(*kept, *event_fields(), "decode_error", *_routing(F.col("_object")))
+
+
+def _checked(lines: DataFrame, value: str) -> tuple[DataFrame, list[str]]:
     kept = [c for c in lines.columns if c not in LOG_COLUMNS]
     parsed = with_members(parse_whole(lines.select(*kept), value, "_root"), F.col("_root"))
-    checked = evaluated_once(parsed, decode_error=event_error(F.col("_root")))
-    return checked.select(*kept, *event_fields(), "decode_error")
+    return evaluated_once(parsed, decode_error=event_error(F.col("_root"))), kept
 
 
 def with_routing(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -172,20 +212,19 @@ def with_routing(lines: DataFrame, value: str = "value") -> DataFrame:
     """
     kept = lines.columns
     parsed = parse_whole(lines, value, "_root")
-    mapped = evaluated_once(parsed, _members=fold_keys(object_map(F.col("_root"))))
+    mapped = _with_folded(parsed, F.col("_root"))
     members = F.col("_members")
     split = evaluated_once(mapped, _service=members["service"], _timestamp=members["timestamp"])
-    timed = evaluated_once(split, _time=_event_time(F.col("_timestamp")))
-    readable = (
-        members.isNotNull()
-        & _is_text(F.col("_service"))
-        & ~_bad_time(F.col("_timestamp"), F.col("_time"))
-    )
-    return timed.select(
-        *kept,
+    return _with_time(split).select(*kept, *_routing(members.isNotNull()))
+
+
+def _routing(is_object: Column) -> list[Column]:
+    """Service and time of a split event, both NULL when either cannot be read."""
+    readable = is_object & _is_text(F.col("_service")) & ~_bad_time(F.col("_timestamp"), F.col("_time"))
+    return [
         F.when(readable, _text(F.col("_service"))).alias("_service"),
         F.when(readable, _known_time(F.col("_time"))).alias("_time"),
-    )
+    ]
 
 
 def attributes_variant(attributes: Column) -> Column:
