@@ -13,12 +13,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql.streaming import StatefulProcessor
 
 from logweir.functions.chain import spaced_positions
 
 
+def packed(rows: pd.DataFrame) -> bytes:
+    """Rows as one Arrow value: state takes it as it is, not member by member."""
+    batch = pa.RecordBatch.from_pandas(rows, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(value: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(value).read_pandas()
+
+
 class InOrder(StatefulProcessor):
     """Files rows by cells of time and hands on each cell once the watermark has passed it.
 
@@ -34,15 +48,14 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle):
         self.handle = handle
-        values = ", ".join(f"{c} ARRAY<{kind}>" for c, kind in {"at": "BIGINT", **self.columns}.items())
-        self.waiting = handle.getMapState("waiting", "cell BIGINT, piece BIGINT", values)
+        self.waiting = handle.getMapState("waiting", "cell BIGINT, piece BIGINT", "rows BINARY")
         self.pieces = handle.getValueState("pieces", "n BIGINT")
 
     def handleInputRows(self, key, rows, timerValues):
         batch = self.merged(pd.concat(list(rows), ignore_index=True)[["at", *self.columns]])
         piece = self.pieces.get()[0] + 1 if self.pieces.exists() else 0
         for cell, part in batch.groupby(batch["at"] // self.cell_ms, sort=False):
-            self.waiting.updateValue((int(cell), piece), tuple(part[c].tolist() for c in part))
+            self.waiting.updateValue((int(cell), piece), (packed(part),))
             self.handle.registerTimer((int(cell) + 1) * self.cell_ms)
         self.pieces.update((piece,))
         return iter([])
@@ -52,12 +65,11 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        names = ["at", *self.columns]
         filed = sorted(tuple(k) for k in self.waiting.keys())
         due = [k for k in filed if (k[0] + 1) * self.cell_ms <= passed]
         for cell in dict.fromkeys(k[0] for k in due):
             pieces = [k for k in due if k[0] == cell]
-            parts = [pd.DataFrame(dict(zip(names, self.waiting.getValue(k)))) for k in pieces]
+            parts = [unpacked(self.waiting.getValue(k)[0]) for k in pieces]
             yield from self.advance(key, pd.concat(parts, ignore_index=True))
             for k in pieces:
                 self.waiting.removeKey(k)

@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from logweir.functions import json as fj
@@ -9,6 +10,7 @@ from logweir.functions.times import parse_rfc3339
 from logweir.operators import normalize, quality
 from logweir.plans.queries import QUERIES
 from logweir.sources import archive as cold_store
+from logweir.streaming import processors
 from conftest import SF_DIR
 
 NOW = datetime(2024, 1, 31)
@@ -73,3 +75,44 @@ def test_times_with_and_without_an_offset(spark):
     got = df.select(parse_rfc3339(F.col("t")).cast("string").alias("got"), zoned.cast("string").alias("want"), F.col("t").rlike("(Z|:00)$").alias("fits"))
     for r in got.collect():
         assert r.got == (r.want if r.fits and r.want else None) or not r.fits and r.got is None
+
+
+class Handle:
+    """State of one key, held in memory."""
+
+    def __init__(self):
+        self.map, self.value, self.timers = {}, [], set()
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return Handle()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+    def exists(self):
+        return bool(self.value)
+
+    def update(self, value):
+        self.value = value
+
+
+def test_waiting_rows_are_one_value_of_state():
+    frames = {
+        processors.AnchoredWindows(8000, 1000, 1, 0.5): {"at": [2500, 1, 999], "event_id": ["b", "", "é"], "is_error": [True, False, True]},
+        processors.Cooldown(8000, 1000, {"id": "STRING", "value": "DOUBLE"}): {"at": [1, 2500], "id": ["x", "y"], "value": [0.5, None]},
+    }
+    for processor, columns in frames.items():
+        handle, rows = Handle(), pd.DataFrame(columns)
+        processor.init(handle)
+        list(processor.handleInputRows(("k",), iter([rows]), None))
+        assert sorted(handle.map) == [(0, 0), (2, 0)] and handle.timers == {1000, 3000}
+        assert all(len(v) == 1 and isinstance(v[0], bytes) for v in handle.map.values())
+        back = pd.concat([processors.unpacked(v[0]) for _, v in sorted(handle.map.items())], ignore_index=True)
+        want = rows.sort_values("at", kind="stable", ignore_index=True)
+        pd.testing.assert_frame_equal(back.sort_values("at", ignore_index=True), want, check_dtype=False)
