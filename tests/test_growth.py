@@ -116,3 +116,16 @@ def test_waiting_rows_are_one_value_of_state():
         back = pd.concat([processors.unpacked(v[0]) for _, v in sorted(handle.map.items())], ignore_index=True)
         want = rows.sort_values("at", kind="stable", ignore_index=True)
         pd.testing.assert_frame_equal(back.sort_values("at", ignore_index=True), want, check_dtype=False)
+
+
+def logical(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_of_packed_files_are_dealt_out_before_they_are_decoded(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    cold_store.write_archive(spark.createDataFrame([(x,) for x in LINES[:4]], "value STRING"), path, NOW)
+    scanned = cold_store.scan_archive(spark, path)
+    assert sorted(r.event_id for r in scanned.collect()) == ["1", "2"]
+    before, _, after = logical(scanned).partition("RebalancePartitions")
+    assert "parseJson" in before and "parseJson" not in after and "Relation [value" in after
