@@ -129,3 +129,8 @@ def test_lines_of_packed_files_are_dealt_out_before_they_are_decoded(spark, tmp_
     assert sorted(r.event_id for r in scanned.collect()) == ["1", "2"]
     before, _, after = logical(scanned).partition("RebalancePartitions")
     assert "parseJson" in before and "parseJson" not in after and "Relation [value" in after
+
+
+def test_reconciliation_parses_each_line_once_in_even_tasks(spark):
+    plan_text = logical(QUERIES["reconcile_tiers"](spark, SF_DIR))
+    assert plan_text.count("RebalancePartitions") == 1 and plan_text.count("parseJson") == 1
