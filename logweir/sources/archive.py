@@ -146,7 +146,7 @@ def scan_archive(
     """Decoded events of the archive, attributes as JSON text; blank and
     undecodable lines are skipped.
 
-    A compressed file is read by one task and grows eightfold, so the lines are dealt out
+    A compressed file is read by one task and grows many times, so the lines are dealt out
     evenly before they are decoded.
     """
     lines = read_archive(spark, path, start, end, service, layout).filter(F.col("value") != "")
