@@ -37,26 +37,6 @@ def evaluated_once(df: DataFrame, **values: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
-def parse_whole(lines: DataFrame, value: str, root: str) -> DataFrame:
-    """Add the VARIANT of a text that is one JSON value and nothing else, else NULL.
-
-    The parser stops after the first complete value, so trailing garbage would
-    pass. Wrapped as a two-element array that ends in the text's own hash, the
-    text parses to exactly those two elements only if it is one JSON value.
-    """
-    seal = F.xxhash64(value)
-    text = F.concat(F.lit("["), value, F.lit(","), seal, F.lit("]"))
-    kept = lines.columns
-    sealed = evaluated_once(lines, _sealed=F.try_parse_json(text))
-    wrapped = F.col("_sealed")
-    whole = (F.try_variant_get(wrapped, "$[1]", "bigint") == seal) & F.try_variant_get(
-        wrapped, "$[2]", "variant"
-    ).isNull()
-    return sealed.select(
-        *kept, F.when(whole, F.variant_get(wrapped, "$[0]", "variant")).alias(root)
-    )
-
-
 def object_map(value: Column) -> Column:
     """Top-level members of a VARIANT object, NULL when it is not an object."""
     return value.try_cast(_OBJECT)
@@ -73,19 +53,42 @@ def fold_keys(members: Column) -> Column:
     return F.when(keys == _fold(keys), members).otherwise(folded)
 
 
-def _with_folded(rows: DataFrame, root: Column) -> DataFrame:
-    """Add `_members`, fold_keys() of the members of a parsed event.
+def _with_members(lines: DataFrame, value: str) -> DataFrame:
+    """Add `_members`, fold_keys() of the members of a text that is one JSON value and nothing
+    else, and `_root`, the VARIANT of such a value where it is no object; else both are NULL.
 
-    A lambda keeps its whole generator from being compiled, so the keys are told
-    in a step before, and only odd ones are folded in a step of its own.
+    The parser stops after the first complete value, so trailing garbage would
+    pass. Wrapped as a two-element array that ends in the text's own hash, the
+    text parses to exactly those two elements only if it is one JSON value. They are
+    counted, as asking for a third one that is not there raises an exception inside
+    Spark for every good line.
+
+    The members are taken from the array itself: an object taken out of it first would be
+    built anew, member by member, and then again. A lambda keeps its whole generator from
+    being compiled, so the keys are told in a step before, and only odd ones are folded in
+    a step of its own.
     """
-    kept = rows.columns
-    mapped = evaluated_once(rows, _plain=object_map(root))
+    kept = lines.columns
+    seal = F.xxhash64(value)
+    text = F.concat(F.lit("["), value, F.lit(","), seal, F.lit("]"))
+    sealed = evaluated_once(lines, _sealed=F.try_parse_json(text))
+    wrapped = F.col("_sealed")
+    # What is no whole number is NULL in the array.
+    numbers = evaluated_once(sealed, _numbers=wrapped.try_cast("array<bigint>"))
+    whole = (F.size("_numbers") == 2) & (F.get("_numbers", 1) == seal)
+    checked = evaluated_once(numbers, _whole=whole)
+    mapped = evaluated_once(checked, _plain=F.when(F.col("_whole"), F.try_variant_get(wrapped, "$[0]", _OBJECT)))
     # Nothing but capitals and letters beyond ASCII can fold.
     keys = F.array_join(F.map_keys("_plain"), "\n")
-    told = evaluated_once(mapped, _odd=keys.rlike("[A-Z\\x{80}-\\x{10ffff}]"))
+    other = F.col("_whole") & F.col("_plain").isNull()
+    told = evaluated_once(
+        mapped,
+        _odd=keys.rlike("[A-Z\\x{80}-\\x{10ffff}]"),
+        _root=F.when(other, F.variant_get(wrapped, "$[0]", "variant")),
+    )
     folded = F.transform_keys("_plain", lambda k, _: _fold(k))
-    return told.select(*kept, F.when(F.col("_odd"), folded).otherwise(F.col("_plain")).alias("_members"))
+    members = F.when(F.col("_odd"), folded).otherwise(F.col("_plain"))
+    return told.select(*kept, "_root", members.alias("_members"))
 
 
 def kind(value: Column) -> Column:
@@ -123,13 +126,9 @@ def _known_time(time: Column) -> Column:
     return F.when(time != ntz(datetime(1, 1, 1)), time)
 
 
-def with_members(rows: DataFrame, root: Column) -> DataFrame:
-    """Add the members of a parsed event as columns `_<field>`, and the parsed
-    time as `_time`. `_object` tells whether there is an object at all."""
-    return split_members(_with_folded(rows, root))
-
-
 def split_members(mapped: DataFrame) -> DataFrame:
+    """Split `_members` into columns `_<field>`, and add the parsed time as `_time`.
+    `_object` tells whether there is an object at all."""
     members = F.col("_members")
     split = evaluated_once(
         mapped, _object=members.isNotNull(), **{f"_{c}": members[c] for c in LOG_COLUMNS}
@@ -144,13 +143,14 @@ def _with_time(split: DataFrame) -> DataFrame:
 
 
 def event_error(root: Column) -> Column:
-    """Why the value in `root`, split by with_members(), is not a log event.
+    """Why a value, split by split_members(), is not a log event; `root` is the value
+    where it is no object.
 
     NULL when it is one. JSON null is an event without any field.
     """
     attributes = F.col("_attributes")
     not_object = object_map(attributes).isNull() & ~_absent(attributes)
-    error = F.when(root.isNull(), F.lit("unmarshal: invalid JSON")).when(
+    error = F.when(~F.col("_object") & root.isNull(), F.lit("unmarshal: invalid JSON")).when(
         ~F.col("_object") & ~F.is_variant_null(root), F.lit("unmarshal: not an object")
     )
     for name in STRING_FIELDS:
@@ -173,7 +173,7 @@ def is_malformed(root: Column, members: Column) -> Column:
 
 
 def event_fields() -> list[Column]:
-    """The ten event columns after with_members(). Absent text is empty, absent
+    """The ten event columns after split_members(). Absent text is empty, absent
     time is NULL, attributes stay VARIANT."""
     special = {
         "timestamp": _known_time(F.col("_time")),
@@ -201,7 +201,7 @@ def decode_and_route(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def _checked(lines: DataFrame, value: str) -> tuple[DataFrame, list[str]]:
     kept = [c for c in lines.columns if c not in LOG_COLUMNS]
-    parsed = with_members(parse_whole(lines.select(*kept), value, "_root"), F.col("_root"))
+    parsed = split_members(_with_members(lines.select(*kept), value))
     return evaluated_once(parsed, decode_error=event_error(F.col("_root"))), kept
 
 
@@ -211,8 +211,7 @@ def with_routing(lines: DataFrame, value: str = "value") -> DataFrame:
     Nothing else of the event is looked at.
     """
     kept = lines.columns
-    parsed = parse_whole(lines, value, "_root")
-    mapped = _with_folded(parsed, F.col("_root"))
+    mapped = _with_members(lines, value)
     members = F.col("_members")
     split = evaluated_once(mapped, _service=members["service"], _timestamp=members["timestamp"])
     return _with_time(split).select(*kept, *_routing(members.isNotNull()))

@@ -30,6 +30,8 @@ DETECTION = DetectionConfig(
 )
 # One folder level less than the default: the tables span 720 hours.
 ARCHIVE_LAYOUT = ("day", "service")
+# So that a task that is late or larger holds up little.
+TASKS_A_CORE = 4
 
 WIRE_SQL = """
 SELECT CAST(event_id AS STRING) AS event_id, ts AS timestamp,
@@ -99,8 +101,11 @@ def _sql(spark: SparkSession, text: str, source: DataFrame) -> DataFrame:
 
 
 def logs_wire(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _wire(spark, table(spark, sf_dir, "events"))
+
+
+def _wire(spark: SparkSession, events: DataFrame) -> DataFrame:
     configure(spark)
-    events = table(spark, sf_dir, "events")
     return _sql(spark, WIRE_SQL.replace("FROM events", "FROM \0"), events)
 
 
@@ -114,7 +119,18 @@ def _raw(spark: SparkSession, logs: DataFrame) -> DataFrame:
 
 
 def logs_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _raw(spark, logs_wire(spark, sf_dir))
+    """The raw lines, from events that are dealt out evenly first.
+
+    A row group is read by one task whatever the number of cores. Its events become lines of
+    many times their size, which are parsed where they are made.
+    """
+    return _raw(spark, _wire(spark, _dealt(spark, table(spark, sf_dir, "events"))))
+
+
+def _dealt(spark: SparkSession, events: DataFrame) -> DataFrame:
+    """The events in several tasks for each core, and no fewer than they are read in."""
+    tasks = max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, events.rdd.getNumPartitions())
+    return events.repartition(tasks, "event_id", "ts")
 
 
 def logs_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logweir.functions import json as fj
 from logweir.functions.times import parse_rfc3339
 from logweir.operators import normalize, quality
+from logweir.plans import tables
 from logweir.plans.queries import QUERIES
 from logweir.sources import archive as cold_store
 from logweir.streaming import processors
@@ -134,3 +135,25 @@ def test_lines_of_packed_files_are_dealt_out_before_they_are_decoded(spark, tmp_
 def test_reconciliation_parses_each_line_once_in_even_tasks(spark):
     plan_text = logical(QUERIES["reconcile_tiers"](spark, SF_DIR))
     assert plan_text.count("RebalancePartitions") == 1 and plan_text.count("parseJson") == 1
+
+
+def test_events_of_one_row_group_become_lines_in_even_tasks(spark):
+    lines = tables.logs_raw(spark, SF_DIR)
+    sizes = [r["count"] for r in lines.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == tables.logs_wire(spark, SF_DIR).count() and max(sizes) < sum(sizes) / 4
+
+
+def test_good_lines_are_parsed_without_a_failing_path_or_a_second_object(spark):
+    lines = spark.createDataFrame([(x,) for x in LINES], "value STRING")
+    for df in (cold_store.routed(lines, NOW), fj.decode_events(lines)):
+        taken = [line for line in plan(df).splitlines() if "$[" in line]
+        assert "$[1]" not in "".join(taken) and "$[2]" not in "".join(taken)
+        assert not [x for x in taken if "$[0], VariantType" in x and "_whole" not in x]
+
+
+def test_a_line_that_goes_on_with_its_own_hash_is_refused(spark):
+    lines = spark.createDataFrame([(x,) for x in LINES if x and x[0] == "{"], "value STRING")
+    more = [F.concat("value", F.lit(s), F.xxhash64("value")) for s in (",", "],[", " ")]
+    for value in [*more, F.concat("value", F.lit(",1"))]:
+        errors = {r.decode_error for r in fj.decode_events(lines.select(value.alias("value"))).collect()}
+        assert errors == {"unmarshal: invalid JSON"}
