@@ -55,8 +55,8 @@ SEGMENT_BITS, SKETCH_BITS = 65_536, 4096
 LEAST_BITS, MOST_BITS = 256, 16_384
 #: Classes of one segment that a task compares; of more, all are left to the blocks.
 MOST = 5_000
-#: Parts that the rows of one component are dealt to.
-SALTS = 32
+#: Parts that the rows of a component of more than LARGE rows are dealt to.
+SALTS, LARGE = 32, 1000
 #: Texts that are cut into words at once.
 SLICE = 500
 
@@ -322,7 +322,7 @@ def links(texts: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> Dat
                 held.append(s)
         yield _edges(verified(held, percent))
 
-    wanted = pairs.select(F.col("doc_id").alias("p_id"), F.col("content").alias("p_content"), "pair")
+    wanted = pairs.select(F.col("doc_id").alias("p_id"), F.col("content").alias("p_content"), "pair").hint("merge")
     rows = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("content") == F.col("p_content")))
     rows = rows.select("pair", "text").repartition("pair").sortWithinPartitions("pair")
     return rows.mapInArrow(run, "a bigint, b bigint")
@@ -372,10 +372,16 @@ def jaccard_join(docs: DataFrame, block: int = 512, shingle: int = SHINGLE, perc
     Linked are texts whose sets of `shingle`-word shingles have a Jaccard index of `percent` % at least.
     """
     rows = labelled(docs, block, shingle, percent)
-    heads = rows.where("of is not null").groupBy("of").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("of", "h_of")
-    # A component, or the rows without one, may hold a third of all rows.
-    heads = heads.withColumn("h_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "content"), F.lit(SALTS)).cast("int"))
+    heads = rows.where("of is not null").groupBy(F.col("of").alias("h_of")).agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    heads = checkpoint(heads)
+    # A component, or the rows without one, may hold a third of all rows; only of large ones each part gets the head.
+    large = heads.where(F.col("n") > LARGE).select(F.col("h_of").alias("l_of"))
+    salt = F.pmod(F.xxhash64("doc_id", "content"), F.lit(SALTS)).cast("int")
+    rows = rows.join(F.broadcast(large), F.col("of") == F.col("l_of"), "left")  # a thousandth of the rows at most
+    rows = rows.withColumn("salt", F.when(F.col("of").isNull() | F.col("l_of").isNotNull(), salt).otherwise(0)).drop("l_of")
+    parts = F.when(F.col("n") > LARGE, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    # Spark sizes what comes out of the explode as what goes in: it could broadcast it, large as it is.
+    heads = heads.withColumn("h_salt", F.explode(parts)).hint("merge")
     return rows.join(heads, (F.col("of") == F.col("h_of")) & (F.col("salt") == F.col("h_salt")), "left").select(
         "doc_id", "content", "n_shingles", F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )

@@ -283,6 +283,30 @@ def test_one_of_each_keeps_what_is_linked_with_nothing(spark):
     assert left == sorted([*unlinked, ("None", ""), ("None", " "), ("None", ""), ("7", "")])
 
 
+def broadcast_rows(node):
+    """The rows of each broadcast of a plan that ran."""
+    kind = node.getClass().getSimpleName()
+    if kind == "BroadcastExchangeExec":
+        yield node.metrics().apply("numOutputRows").value()
+    if kind == "AdaptiveSparkPlanExec":
+        below = [node.executedPlan()]
+    elif kind.endswith("QueryStageExec"):
+        below = [node.plan()]
+    else:
+        below = [node.children().apply(i) for i in range(node.children().size())]
+    for x in below:
+        yield from broadcast_rows(x)
+
+
+def test_heads_of_components_are_not_broadcast_for_each_part(spark):
+    rows = [(i, f"some words that stand in text {i} alone", "x") for i in range(2000)]
+    rows += [(5000 + i, "one text that stands on a great many rows", "x") for i in range(jaccard_join.LARGE + 100)] + [(None, "", "x"), (9, "", "x")]
+    frame = jaccard_join.jaccard_join(docs_of(spark, rows), shingle=20)
+    found = sorted((str(r.doc_id), str(r.component_id)) for r in frame.collect())
+    assert found == sorted((str(i), str(5000 if i is not None and i >= 5000 else i)) for i, *_ in rows)
+    assert max(broadcast_rows(frame._jdf.queryExecution().executedPlan()), default=0) <= 2 * len(rows)
+
+
 def test_segments_share_of_every_linked_pair():
     rng = np.random.default_rng(3)
     edges = jaccard_join.band_edges(2000)
