@@ -16,11 +16,14 @@ Groups of any size are split
 into blocks of `block` classes, and blocks meet in pairs of the same or neighbouring size
 bands, so no group is one task and no link is lost. Links are closed into components.
 
-Segments without a bit are light: many texts share them by chance. There
-are `spare` segments beyond d + 1, so more than `spare` segments of a linked pair are equal,
-and a document with at most `spare` light ones needn't hand these on; one with more does.
-Equal segments are light in both documents or in neither, so no pair is lost. Linked classes
+Segments without a bit are light: many texts share them by chance. There are `light` +
+`common` segments beyond d + 1, so more than so many segments of a linked pair are equal,
+and a document with at most `light` light ones needn't hand these on; one with more does.
+Equal segments are light in both documents or in neither, so no pair is lost. Of the others
+each class leaves out its `common` ones that most classes share, as a passage of many texts
+makes: all go by one order, so the rarest that a pair shares is left to both. Linked classes
 share many segments; of those with the same classes one is left before sketches join them.
+Segments travel packed, a row for each bucket of keys and not for each segment.
 
 Classes are told apart by 64-bit hashes of their sets (a chance of n^2 / 2^65 that any two
 of n classes are mixed up).
@@ -51,10 +54,16 @@ PERCENT = 85
 #: Bands of sizes grow by half; linked sets are of the same or of neighbouring bands from 67 % on.
 GROWTH, LEAST_PERCENT = 1.5, 67
 SEGMENT_BITS, SKETCH_BITS = 65_536, 4096
+#: The last bits of a segment's key tell its band; there can't be as many bands.
+BANDS = 64
+#: Keys are dealt to buckets of about so many; a row of a bucket holds the last bytes of its keys and their classes.
+BUCKET, MOST_BUCKETS, KEPT_BYTES = 200_000, 1 << 15, 6
+#: Keys that a task holds before it hands them on.
+MOST_HELD = 500_000
 #: Bits of a short sketch: as many as elements, rounded up to a power of two within these.
 LEAST_BITS, MOST_BITS = 256, 16_384
 #: Classes of one segment that a task compares; of more, all are left to the blocks.
-MOST = 5_000
+MOST = 20_000
 #: Parts that the rows of a component of more than LARGE rows are dealt to.
 SALTS, LARGE = 32, 1000
 #: Texts that are cut into words at once.
@@ -107,20 +116,20 @@ def band_edges(longest: int, percent: int = PERCENT) -> list[int]:
     return edges
 
 
-def segments(band_end: int, percent: int = PERCENT) -> tuple[int, int]:
-    """(segments, spare) for sets of fewer than `band_end` elements."""
+def segments(band_end: int, percent: int = PERCENT) -> tuple[int, int, int]:
+    """(segments, light, common) for sets of fewer than `band_end` elements: so many light and common ones can be spared."""
     differ = 2 * (band_end - 1) * (100 - percent) // (100 + percent)
-    spare = 2 + (differ + 1) // 14
-    return differ + 1 + spare, spare
+    light, common = 2 + (differ + 1) // 14, 2 + (differ + 1) // 5
+    return differ + 1 + light + common, light, common
 
 
 def segment_keys(shingles: np.ndarray, edges: list[int], percent: int = PERCENT) -> Iterator[np.ndarray]:
     """Keys of the sketch's segments for each band in which the set may meet a partner of at least its size."""
     n = len(shingles)
-    for low, high in zip(edges[1:-1], edges[2:], strict=True):  # in the first band linked sets are equal
+    for band, (low, high) in enumerate(zip(edges[1:-1], edges[2:], strict=True)):  # in the first band linked sets are equal
         if not (n < high and 100 * n >= percent * low):
             continue
-        count, spare = segments(high, percent)
+        count, spare, _ = segments(high, percent)
         segment = (shingles >> np.uint64(32)) % np.uint64(count)
         bits, times = np.unique(segment * np.uint64(SEGMENT_BITS) + shingles % np.uint64(SEGMENT_BITS), return_counts=True)
         bits = bits[times % 2 == 1]  # XOR clears what is set twice
@@ -133,7 +142,8 @@ def segment_keys(shingles: np.ndarray, edges: list[int], percent: int = PERCENT)
         light = weight < 1
         name = np.flatnonzero(~light) if light.sum() <= spare else np.arange(count)
         keys, name = keys[name], name.astype(np.uint64)
-        yield _mixed(keys ^ _mixed(np.uint64(high) * np.uint64(1 << 24) + name)).view(np.int64)
+        keys = _mixed(keys ^ _mixed(np.uint64(high) * np.uint64(1 << 24) + name))
+        yield (keys // np.uint64(BANDS) * np.uint64(BANDS) + np.uint64(band)).view(np.int64)
 
 
 def classes(texts: DataFrame, shingle: int) -> DataFrame:
@@ -151,14 +161,21 @@ def classes(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "doc_id bigint, content bigint, n_shingles bigint, class bigint, sketch binary")
 
 
-def meetings(texts: DataFrame, longest: int, shingle: int, percent: int) -> DataFrame:
-    """(key, class): the classes of every segment that at least two classes share."""
+def meetings(texts: DataFrame, longest: int, words: int, shingle: int, percent: int) -> DataFrame:
+    """(key, class): the classes of the segments that at least two classes share, without each class's commonest ones.
+
+    A linked pair shares more segments than a class leaves out. All classes leave out by one order of
+    the segments, so the rarest of those that a pair shares is left to both. Classes are given by
+    their last bits. `words` is about the number of shingles of all texts.
+    """
     edges = band_edges(longest, percent)
+    buckets = min(MOST_BUCKETS, words // BUCKET + 1)
+    most = max(MOST_HELD, 64 * buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within a task hand their segments on once
+        keys, names, sizes, held = [], [], [], 0
         for batch in batches:
-            keys, names, sizes, held = [], [], [], 0
             for s in shingle_sets(batch.column("text"), shingle):
                 if not len(s) or (name := class_of(s)) in seen:
                     continue
@@ -168,20 +185,51 @@ def meetings(texts: DataFrame, longest: int, shingle: int, percent: int) -> Data
                     names.append(name)
                     sizes.append(len(own))
                     held += len(own)
-                if held > 200_000:
-                    yield _keyed(keys, names, sizes)
+                if held > most:
+                    yield _packed(keys, names, sizes, buckets)
                     keys, names, sizes, held = [], [], [], 0
-            if held:
-                yield _keyed(keys, names, sizes)
-
-    rows = texts.select("text").mapInArrow(run, "key bigint, class bigint")
-    in_key = Window.partitionBy("key")
-    rows = rows.select(
-        "key", "class", F.lag("class").over(in_key.orderBy("class")).alias("before"),
-        (F.min("class").over(in_key) != F.max("class").over(in_key)).alias("shared"),
-    )
-    # A copy that another task handed on stands next to the first, and goes.
-    return rows.where(F.col("shared") & (F.col("before").isNull() | (F.col("before") != F.col("class")))).select("key", "class")
+        if held:
+            yield _packed(keys, names, sizes, buckets)
+
+    rows = texts.select("text").mapInArrow(run, "bucket bigint, keys binary, classes binary")
+    rows = rows.groupBy("bucket").applyInArrow(_shared, "key bigint, class bigint, n bigint")
+    band = F.col("key").bitwiseAND(F.lit(BANDS - 1)).cast("int")
+    common = F.lit([0, *(segments(high, percent)[2] for high in edges[2:])])  # one more, as there may be no band
+    place = F.row_number().over(Window.partitionBy("class", band).orderBy(F.desc("n"), "key"))
+    return rows.withColumn("place", place).where(F.col("place") > F.get(common, band + 1)).select("key", "class")
+
+
+def _packed(keys: list[np.ndarray], names: list[int], sizes: list[int], buckets: int) -> pa.RecordBatch:
+    """A row for each bucket, with the last `KEPT_BYTES` bytes of its keys and of their classes."""
+    key, name = np.concatenate(keys).view(np.uint64), np.repeat(np.array(names, np.int64).view(np.uint64), sizes)
+    bucket = ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    order = np.argsort(bucket)
+    own, first = np.unique(bucket[order], return_index=True)
+    ends = [*first[1:].tolist(), len(order)]
+    packed = [x[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT_BYTES].tobytes() for x in (key, name)]
+    cut = [[x[a * KEPT_BYTES : b * KEPT_BYTES] for a, b in zip(first.tolist(), ends, strict=True)] for x in packed]
+    return pa.record_batch({"bucket": pa.array(own.astype(np.int64)), "keys": pa.array(cut[0], pa.binary()), "classes": pa.array(cut[1], pa.binary())})
+
+
+def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    kept = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, KEPT_BYTES)
+    out = np.zeros((len(kept), 8), np.uint8)
+    out[:, :KEPT_BYTES] = kept
+    return out.view("<i8").ravel()
+
+
+def _shared(rows: pa.Table) -> pa.Table:
+    """(key, class, n) of the bucket's keys that n classes share, two at least."""
+    key, name = _unpacked(rows["keys"]), _unpacked(rows["classes"])
+    order = np.lexsort((name, key))
+    key, name = key[order], name[order]
+    new_key = np.concatenate([[True], key[1:] != key[:-1]])
+    fresh = new_key | np.concatenate([[True], name[1:] != name[:-1]])  # a copy that another task handed on goes
+    key, name, new_key = key[fresh], name[fresh], new_key[fresh]
+    n = np.diff(np.append(np.flatnonzero(new_key), len(key)))
+    n = np.repeat(n, n)
+    met = n > 1
+    return pa.table({"key": key[met] + (rows["bucket"][0].as_py() << (8 * KEPT_BYTES)), "class": name[met], "n": n[met]})
 
 
 def told_apart(met: DataFrame) -> DataFrame:
@@ -190,7 +238,7 @@ def told_apart(met: DataFrame) -> DataFrame:
     Sets of classes are told apart by two 64-bit sums that don't depend on order.
     """
     sums = [F.bit_xor(F.xxhash64("class", F.lit(k))).alias(f"sum{k}") for k in (1, 2)]
-    sets = met.groupBy("key").agg(*sums, F.count(F.lit(1)).alias("n"))
+    sets = met.groupBy("key").agg(*sums, F.count(F.lit(1)).alias("n")).where("n > 1")
     one = sets.groupBy("sum1", "sum2", "n").agg(F.min("key").alias("one"))
     return met.join(one, F.col("key") == F.col("one"), "left_semi")
 
@@ -217,9 +265,11 @@ def candidates(met: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             yield _edges(found)
         yield _edges(near(names, sizes, bits, percent))
 
-    known = sketches.select(F.col("class").alias("k"), F.col("n_shingles").cast("int").alias("n"), "sketch")
-    rows = met.join(known, F.col("class") == F.col("k")).select("key", "class", "n", "sketch")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+    short = F.col("class").bitwiseAND(F.lit((1 << (8 * KEPT_BYTES)) - 1))
+    known = sketches.select(short.alias("k"), F.col("class").alias("name"), F.col("n_shingles").cast("int").alias("n"), "sketch")
+    rows = met.join(known, F.col("class") == F.col("k")).select("key", F.col("name").alias("class"), "n", "sketch")
+    # By the key itself Spark would leave this exchange out behind a join by key, and then might not keep that join's rows by key.
+    return rows.repartition(F.xxhash64("key")).sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def near(names: list[int], sizes: list[int], bits: list[bytes], percent: int) -> list[tuple[int, int]]:
@@ -251,10 +301,6 @@ def _stars(names: list[int], root: np.ndarray) -> list[tuple[int, int]]:
     return [(least[r], name) for name, r in zip(names, root.tolist(), strict=True) if name != least[r]]
 
 
-def _keyed(keys: list[np.ndarray], names: list[int], sizes: list[int]) -> pa.RecordBatch:
-    return pa.record_batch({"key": pa.array(np.concatenate(keys)), "class": pa.array(np.repeat(np.array(names, np.int64), sizes))})
-
-
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component): the least node reachable by the edges (a, b), of all nodes that have any.
 
@@ -395,13 +441,13 @@ def labelled(docs: DataFrame, block: int, shingle: int, percent: int) -> DataFra
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("content", F.xxhash64("text"))
     named = checkpoint(classes(texts, shingle))
-    longest = int(named.agg(F.max("n_shingles")).first()[0] or 0)
+    longest, words = (int(x or 0) for x in named.agg(F.max("n_shingles"), F.sum("n_shingles")).first())
     least = named.where("class is not null").groupBy("class").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "content")).alias("row"),
         F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"),
     )
     spark = docs.sparkSession
-    met = checkpoint(meetings(texts, longest, shingle, percent))
+    met = checkpoint(meetings(texts, longest, words, shingle, percent))
     release(spark)  # the segments of all texts, of which few met
     near = checkpoint(candidates(told_apart(met), least, percent))
     release(spark)

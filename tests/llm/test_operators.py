@@ -300,13 +300,32 @@ def broadcast_rows(node):
 
 def test_heads_of_components_are_not_broadcast_for_each_part(spark):
     rows = [(i, f"some words that stand in text {i} alone", "x") for i in range(2000)]
-    rows += [(5000 + i, "one text that stands on a great many rows", "x") for i in range(jaccard_join.LARGE + 100)] + [(None, "", "x"), (9, "", "x")]
+    rows += [(5000 + i, "one text that stands on a great many rows", "x") for i in range(1100)] + [(None, "", "x"), (9, "", "x")]
     frame = jaccard_join.jaccard_join(docs_of(spark, rows), shingle=20)
     found = sorted((str(r.doc_id), str(r.component_id)) for r in frame.collect())
     assert found == sorted((str(i), str(5000 if i is not None and i >= 5000 else i)) for i, *_ in rows)
     assert max(broadcast_rows(frame._jdf.queryExecution().executedPlan()), default=0) <= 2 * len(rows)
 
 
+def test_a_passage_of_many_texts_makes_them_no_candidates(spark, monkeypatch):
+    met, told_apart = [], jaccard_join.told_apart
+    monkeypatch.setattr(jaccard_join, "told_apart", lambda rows: met.append(rows) or told_apart(rows))
+    passage = " ".join(f"shared{k}" for k in range(16))
+    rows = [(i, " ".join([passage, *(f"own{i}x{k}" for k in range(200))]), "x") for i in range(300)]
+    rows += [(300, rows[7][1] + " end", "x")]
+    found = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(docs_of(spark, rows)).collect()}
+    assert found == {i: 7 if i == 300 else i for i in range(301)}
+    assert met[0].groupBy("key").count().agg(F.max("count")).first()[0] == 2
+
+
+def test_packed_segments_are_counted_by_class():
+    keys = [np.array([5 << 40, 9, -7]), np.array([9, 5 << 40]), np.array([9, 11])]
+    rows = [jaccard_join._packed(keys, [-3, 4, 4], [3, 2, 2], 1), jaccard_join._packed(keys[:1], [-3], [3], 1)]
+    out = jaccard_join._shared(jaccard_join.pa.Table.from_batches(rows))
+    last = (1 << 48) - 1
+    assert sorted(zip(*(out[c].to_pylist() for c in ("key", "class", "n")))) == [(9, 4, 2), (9, -3 & last, 2), (5 << 40, 4, 2), (5 << 40, -3 & last, 2)]
+
+
 def test_segments_share_of_every_linked_pair():
     rng = np.random.default_rng(3)
     edges = jaccard_join.band_edges(2000)
